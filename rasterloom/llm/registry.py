@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, sharding
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op6_sharding": sharding.op6_sharding,
+    "op8_packing": packing.op8_packing,
+}
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
