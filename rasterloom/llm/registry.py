@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding
+from . import exact_dedup, packing, secrets, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_secrets": secrets.op5_secrets,
     "op6_sharding": sharding.op6_sharding,
     "op8_packing": packing.op8_packing,
 }
