@@ -13,7 +13,7 @@ piece. Nothing is shuffled but the partition totals.
 
 Tokens are looked up by word: the tokenizer drops white space, so a text's ids
 are those of its white-space separated chunks, and most chunks recur. The
-cache of a task is bounded (``CACHE`` chunks of at most 64 bytes).
+cache of a worker is bounded (``CACHE`` chunks of at most 64 bytes).
 
 Defined results: a null or empty text is one separator. Null and repeated ids
 are packed like others, one document per row. Very long texts are cut like
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 300_000, 64
+LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 800_000, 64
 
 
 def tokenizer_path() -> str:
@@ -40,23 +40,49 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+ENCODERS: dict = {}
+
+
 def text_encoder(path: str):
-    """A function from lists of UTF-8 texts to lists of little-endian uint32 id bytes."""
+    """A function from lists of UTF-8 texts to lists of little-endian uint32 id bytes.
+
+    It lives as long as the Python worker, so tasks share its cache. A new
+    chunk is looked up as a word and its closing ASCII punctuation, which the
+    tokenizer splits anyway, and only new words are encoded."""
+    if path in ENCODERS:
+        return ENCODERS[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok, cache = Tokenizer.from_file(path), {}
 
+    def chunks(text: bytes) -> list[bytes]:
+        # Special tokens and combining marks (UTF-8 CC, CD) are sensitive to case; else case doesn't matter.
+        plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+        return (text.lower() if plain else text).split()
+
+    def parts(chunk: bytes) -> tuple[bytes, ...]:
+        head = chunk.rstrip(PUNCTUATION)
+        whole = b"<|" in chunk or not head or len(head) == len(chunk) or not head[-1:].isalnum()
+        return (chunk,) if whole else (head, chunk[len(head) :])
+
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(cache) > CACHE:
             cache.clear()
-        words = [t.split() for t in texts]
-        new = list(set().union(*words) - cache.keys())
-        found = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True)}
-        cache.update((w, b) for w, b in found.items() if len(w) <= 64)
-        get = (cache | found if any(len(w) > 64 for w in new) else cache).__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
-
+        words = [chunks(t) for t in texts]
+        split = {w: parts(w) for w in set().union(*words) if w not in cache}
+        new = list({p for ps in split.values() for p in ps if p not in cache})
+        found = tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        ids = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(new, found, strict=True)}
+        for w, ps in split.items():
+            ids[w] = b"".join(ids[p] if p in ids else cache[p] for p in ps)
+        cache.update((w, x) for w, x in ids.items() if len(w) <= 64)
+        if any(len(w) > 64 for w in ids):
+            return [b"".join([cache[w] if w in cache else ids[w] for w in ws]) for ws in words]
+        return [b"".join(map(cache.__getitem__, ws)) for ws in words]
+
+    ENCODERS[path] = encode
     return encode
 
 
