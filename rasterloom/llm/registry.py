@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, secrets, sharding
+from . import exact_dedup, neighbours, packing, secrets, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op5_secrets": secrets.op5_secrets,
     "op6_sharding": sharding.op6_sharding,
     "op8_packing": packing.op8_packing,
+    "op9_neighbours": neighbours.op9_neighbours,
 }
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
