@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, neighbours, packing, secrets, sharding
+from . import exact_dedup, neighbours, packing, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op5_secrets": secrets.op5_secrets,
     "op6_sharding": sharding.op6_sharding,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_neighbours": neighbours.op9_neighbours,
 }
