@@ -89,7 +89,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarr
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     if len(y) == 0 or y.min() == y.max():
-        w[-1] = 0 if len(y) == 0 else (30 if y[0] else -30)
+        w[-1] = 30 if len(y) and y[0] else -30
         return w
     shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
