@@ -13,7 +13,7 @@ piece. Nothing is shuffled but the partition totals.
 
 Tokens are looked up by word: the tokenizer drops white space, so a text's ids
 are those of its white-space separated chunks, and most chunks recur. The
-cache of a worker is bounded (``CACHE`` chunks of at most 64 bytes).
+cache of a worker is bounded (twice ``CACHE`` chunks of at most 64 bytes).
 
 Defined results: a null or empty text is one separator. Null and repeated ids
 are packed like others, one document per row. Very long texts are cut like
@@ -23,6 +23,7 @@ others. An empty table gives no piece. Extra columns don't matter.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 800_000, 64
+LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 500_000, 128
 
 
 def tokenizer_path() -> str:
@@ -55,7 +56,9 @@ def text_encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok, cache = Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    known: dict[bytes, bytes] = {}  # chunks seen in several groups of texts
+    fresh: dict[bytes, bytes] = {}  # words seen in one so far
 
     def chunks(text: bytes) -> list[bytes]:
         # Special tokens and combining marks (UTF-8 CC, CD) are sensitive to case; else case doesn't matter.
@@ -67,20 +70,48 @@ def text_encoder(path: str):
         whole = b"<|" in chunk or not head or len(head) == len(chunk) or not head[-1:].isalnum()
         return (chunk,) if whole else (head, chunk[len(head) :])
 
+    model = tok.model
+    # The byte-level alphabet: printable bytes stand for themselves, the rest for 256 and on.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = [chr(b if b in printable else 256 + b - sum(p < b for p in printable)) for b in range(256)]
+
+    def encode_words(pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Letters of the Latin blocks are one word of the model in any case; the rest takes the whole tokenizer."""
+        out, rest = {}, []
+        for p in pieces:
+            if p.isalpha():
+                word = p.decode().lower()
+            elif p.isascii() or not (word := p.decode().lower()).isalpha() or max(word) >= "\u0180":
+                rest.append(p)
+                continue
+            else:
+                word = "".join([letter[b] for b in word.encode()])
+            out[p] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
+        for p, e in zip(rest, tok.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
+            out[p] = array("I", e.ids).tobytes()
+        return out
+
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(cache) > CACHE:
-            cache.clear()
+        if len(known) > CACHE:
+            known.clear()
+        if len(fresh) > CACHE:
+            fresh.clear()
         words = [chunks(t) for t in texts]
-        split = {w: parts(w) for w in set().union(*words) if w not in cache}
-        new = list({p for ps in split.values() for p in ps if p not in cache})
-        found = tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        ids = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(new, found, strict=True)}
+        split = {w: parts(w) for w in set().union(*words) if w not in known}
+        ids = {p: fresh.pop(p) if p in fresh else known.get(p) for ps in split.values() for p in ps}
+        seen = {p for p, x in ids.items() if x is not None}
+        new = [p for p, x in ids.items() if x is None]
+        ids.update(encode_words(new))
+        once = []
         for w, ps in split.items():
-            ids[w] = b"".join(ids[p] if p in ids else cache[p] for p in ps)
-        cache.update((w, x) for w, x in ids.items() if len(w) <= 64)
-        if any(len(w) > 64 for w in ids):
-            return [b"".join([cache[w] if w in cache else ids[w] for w in ws]) for ws in words]
-        return [b"".join(map(cache.__getitem__, ws)) for ws in words]
+            known[w] = ids[ps[0]] if len(ps) == 1 else ids[ps[0]] + ids[ps[1]]
+            if ps[0] not in seen or len(w) > 64:
+                once.append(w)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in once:
+            del known[w]
+        fresh.update((p, ids[p]) for p in new if len(p) <= 64)
+        return out
 
     ENCODERS[path] = encode
     return encode
