@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, neighbours, ngram_join, packing, secrets, sharding, toxicity
+from . import exact_dedup, neighbours, ngram_join, packing, passages, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_neighbours": neighbours.op9_neighbours,
+    "op10_passages": passages.op10_passages,
 }
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
