@@ -13,7 +13,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes hashed at a time; longer texts are cut between words.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U = np.uint64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
