@@ -147,6 +147,17 @@ def _emit_windows(window: int):
     return run
 
 
+def _join_ranges(batches):
+    """mapInArrow over (doc, ranges): touching ranges joined."""
+    for batch in batches:
+        lists, flat = batch.column(1), batch.column(1).flatten()
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths(), np.int64))
+        row, a, b = merge_ranges(row, np.asarray(flat.field(0), np.int64), np.asarray(flat.field(1), np.int64))
+        ends = np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), spans)], names=["doc", "ranges"])
+
+
 def bounded(df: DataFrame, arrays: str, rows: int = base.BROADCAST_ROWS) -> DataFrame:
     """``df`` for broadcast if its rows and array elements together are few enough."""
     n, m = df.agg(F.count(F.lit(1)), F.sum(F.size(arrays))).first()
@@ -231,7 +242,7 @@ class FingerprintIndex:
         # opened segments of earlier documents are there to be first; their own ranges are long returned
         late = windows.withColumn("nth", order).filter(F.col("nth") > 1).filter(F.lit(True) if self.last is None else F.col("doc") > self.last).select("doc", F.col("start").cast("int").alias("a"), (F.col("start") + window).cast("int").alias("b"))
         gone = again.unionByName(local).unionByName(late)
-        ranges = self.scratch.table(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+        ranges = self.scratch.table(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).mapInArrow(_join_ranges, "doc long, ranges array<struct<a:int,b:int>>"))
         top = docs.agg(F.max("doc")).first()[0]
         self.last = self.last if top is None else top
         self.runs.append(name)
