@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, neighbours, ngram_join, packing, passages, secrets, sentencepiece_codec, sharding, toxicity
+from . import exact_dedup, neighbours, ngram_join, packing, passages, quotes, secrets, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
+    "op4_quotes": quotes.op4_quotes,
     "op5_secrets": secrets.op5_secrets,
     "op6_sharding": sharding.op6_sharding,
     "op7_toxicity": toxicity.op7_toxicity,
