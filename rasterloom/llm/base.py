@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Rows of a narrow table (ids, hashes) that may be broadcast; beyond it the
 #: join is a shuffled one. 2 million rows of 24 bytes are about 50 MB.
 BROADCAST_ROWS = 2_000_000
+#: Environment of Python workers: freed arrays go back to the system, as workers outlive tasks.
+WORKER = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows and bytes handed to a Python worker at once, where the session has Spark's defaults: texts are long.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
@@ -24,6 +26,8 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+    for key, value in WORKER.items():
+        env.setdefault(key, value)
     for key, value in ARROW.items():
         if spark.conf.get(key, None) in (None, "10000", "-1", str(2**63 - 1)):  # Spark's defaults
             spark.conf.set(key, value)
