@@ -76,33 +76,45 @@ class DoubleArray:
                     children.append({})
                     ends.append(-1)
             ends[node] = i
-        size = 1 << max(10, (4 * len(children)).bit_length())
+        size = len(children) * 3 + 1024  # room for every search below
+        used = np.zeros(size, bool)
         self.base, self.check, self.value = array("i", [0]) * size, array("i", [-1]) * size, array("i", [-1]) * size
-        self.check[0] = 0
-        free, stack = 1, [(0, 0)]
-        while stack:
-            node, slot = stack.pop()
+        self.check[0], used[0] = 0, True
+        free = dense = 1  # no free slot before ``free``; few before ``dense``
+        queue = [(0, 0)]
+        for node, slot in queue:
             self.value[slot] = ends[node]
             if not children[node]:
                 continue
             codes = sorted(children[node])
-            while self.check[free] != -1:
-                free += 1
-            b = max(free - codes[0] - 1, 0)
-            while any(self._at(b + c + 1) != -1 for c in codes):
-                b += 1
+            if len(codes) == 1:
+                while used[free] or free <= codes[0]:
+                    free += 1
+                b = free - codes[0] - 1
+            else:
+                b, dense = self._search(used, np.array(codes), dense)
             self.base[slot] = b
             for c in codes:
+                used[b + c + 1] = True
                 self.check[b + c + 1] = slot
-                stack.append((children[node][c], b + c + 1))
-
-    def _at(self, i: int) -> int:
-        while i >= len(self.check):
-            n = len(self.check)
-            self.base.extend([0] * n)
-            self.check.extend([-1] * n)
-            self.value.extend([-1] * n)
-        return self.check[i]
+                queue.append((children[node][c], b + c + 1))
+        last = int(np.flatnonzero(used)[-1]) + 1
+        self.base, self.check, self.value = self.base[:last], self.check[:last], self.value[:last]
+
+    @staticmethod
+    def _search(used: np.ndarray, codes: np.ndarray, start: int, step: int = 1024) -> tuple[int, int]:
+        """The first base whose slots for all codes are free, and where the next search may start."""
+        at = dense = start
+        while True:
+            open_ = np.flatnonzero(~used[at : at + step]) + at
+            bases = open_ - codes[0] - 1
+            bases = bases[(bases >= 0) & (bases + codes[-1] + 1 < len(used))]
+            fits = ~used[bases[:, None] + codes[1:] + 1].any(axis=1)
+            if fits.any():
+                return int(bases[fits.argmax()]), dense
+            if len(open_) < step // 16 and at == dense:
+                dense = at + step
+            at += step
 
 
 class Encoder:
