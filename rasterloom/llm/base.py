@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table (ids, hashes) that may be broadcast; beyond it the
-#: join is a shuffled one. 2 million rows of 24 bytes are about 50 MB.
-BROADCAST_ROWS = 2_000_000
+#: join is a shuffled one. A million rows take about 100 MB in an executor.
+BROADCAST_ROWS = 1_000_000
 #: Environment of Python workers: freed arrays go back to the system, as workers outlive tasks.
 WORKER = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows and bytes handed to a Python worker at once, where the session has Spark's defaults: texts are long.

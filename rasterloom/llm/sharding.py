@@ -9,6 +9,11 @@ target. Only when a bin holds a single text does the id hash split it, so a
 hot group of copies is cut between shards. The driver sees at most 4,096
 counts per splitter and round. Then rows are exchanged once.
 
+A cut misses its target by up to half of the text that lies on it. So texts of
+over ``HEAVY`` of a shard's mean bytes (at most n_shards / HEAVY of them, by
+that definition) are placed first, the largest on the emptiest shard, and the
+splitters share out the rest so that all shards end level.
+
 A row's slot is its position in its shard. Shards are cut into cells (the top
 12 bits of the key; a cell of over ``CELL_ROWS`` rows also by id hash), cell
 counts give offsets by a prefix sum, and positions are counted inside cells,
@@ -26,24 +31,46 @@ from pyspark.sql import functions as F
 
 from . import base
 
-BITS, LEVELS, CELL_ROWS = 12, 5, 1_000_000
+BITS, LEVELS, CELL_ROWS, HEAVY = 12, 5, 1_000_000, 0.01
 
 
 def hash60(c: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(c), 4)
 
 
-def splitters(rows: DataFrame, n_shards: int, tolerance: float) -> list[tuple[int, int]]:
-    """Boundaries (k1, k2); a row belongs left of one if its keys are below it.
+def place_heavy(sizes: list[tuple[tuple[int, int], int]], n_shards: int) -> tuple[dict[tuple[int, int], int], list[int]]:
+    """Shard of each heavy key, and the bytes so placed by shard."""
+    loads, where = [0] * n_shards, {}
+    for key, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        where[key] = loads.index(min(loads))
+        loads[where[key]] += size
+    return where, loads
+
+
+def room(loads: list[int], rest: int) -> list[float]:
+    """Bytes of ``rest`` each shard takes so that all end level, as far as loads allow."""
+    free, order = float(rest), sorted(loads)
+    level = order[0]
+    for i, x in enumerate(order[1:], 1):
+        if (x - level) * i > free:
+            break
+        free -= (x - level) * i
+        level = x
+    level += free / sum(x <= level for x in loads)
+    return [max(0.0, level - x) for x in loads]
+
+
+def splitters(rows: DataFrame, targets: list[float], slack: float) -> list[tuple[int, int]]:
+    """Boundaries (k1, k2) with ``targets`` bytes below them; a row belongs left
+    of one if its keys are below it.
 
-    ``rows`` has k1, k2 and size. A boundary is accepted within ``tolerance``
-    of a shard's mean bytes, else refined as far as the keys allow."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    if not total:
-        return [(0, 0)] * (n_shards - 1)
+    ``rows`` has k1, k2 and size. A boundary is accepted within ``slack`` bytes
+    of its target, else refined as far as the keys allow."""
     found: dict[int, tuple[int, int]] = {}
     #: splitter -> (prefix as tuple of known key digits, bytes below the prefix)
-    active = {i: ((), 0) for i in range(1, n_shards)}
+    active = {i: ((), 0) for i in range(len(targets))}
+    if rows.isEmpty():
+        return [(0, 0)] * len(targets)
     for level in range(2 * LEVELS):
         if not active:
             break
@@ -60,7 +87,7 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float) -> list[tuple[in
         for r in seen.groupBy("t", "d").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():  # <= 4096 rows a splitter
             counts.setdefault(r["t"], []).append((r["d"], r["b"], r["n"]))
         for i, (prefix, below) in list(active.items()):
-            target, at, best = total * i / n_shards, below, None
+            target, at, best, inside = targets[i], below, None, None
             for d, b, n in sorted(counts[wanted.index(prefix)]):
                 for edge, bytes_below in ((d, at), (d + 1, at + b)):
                     if best is None or abs(bytes_below - target) < abs(best[0] - target):
@@ -68,7 +95,7 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float) -> list[tuple[in
                 if at <= target < at + b:
                     inside = (prefix + (d,), at, n)
                 at += b
-            if abs(best[0] - target) <= tolerance * total / n_shards or level == 2 * LEVELS - 1 or inside[2] == 1:
+            if abs(best[0] - target) <= slack or level == 2 * LEVELS - 1 or inside is None or inside[2] == 1:
                 found[i] = _bound(best[1])
                 del active[i]
             else:
@@ -103,9 +130,19 @@ def shard(rows: DataFrame, key: Column, tie: Column, size: Column, n_shards: int
     scratch = base.Scratch(rows.sparkSession, "shard")
     k1, k2, cell, salts, salt = (base.fresh_name(rows, c) for c in ("_k1", "_k2", "_cell", "_salts", "_salt"))
     keyed = rows.withColumns({k1: hash60(key), k2: hash60(tie)})
-    cuts = splitters(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), size.alias("size")), n_shards, tolerance)
+    sized = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), size.cast("bigint").alias("size"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    limit = HEAVY * total / n_shards
+    large = sized.filter(F.col("size") > limit).groupBy("k1", "k2").agg(F.sum("size").alias("size")).collect()  # at most n_shards / HEAVY rows
+    where, loads = place_heavy([((r["k1"], r["k2"]), r["size"]) for r in large], n_shards)
+    shares = room(loads, total - sum(loads))
+    cuts = splitters(sized.filter(F.col("size") <= limit), [sum(shares[:i]) for i in range(1, n_shards)], tolerance * total / n_shards)
     bounds = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in cuts])
     number = F.size(F.filter(bounds, lambda s: (F.col(k1) > s.a) | ((F.col(k1) == s.a) & (F.col(k2) >= s.b)))) if cuts else F.lit(0)
+    if where:
+        fixed = rows.sparkSession.createDataFrame([(a, b, n) for (a, b), n in where.items()], "_a long, _b long, _n int")
+        keyed = keyed.join(F.broadcast(fixed), (F.col(k1) == F.col("_a")) & (F.col(k2) == F.col("_b")), "left")
+        number = F.coalesce("_n", number)
     dealt = keyed.withColumns({"shard": number, cell: F.shiftright(k1, BITS * (LEVELS - 1)).cast("int")})
     sizes = dealt.groupBy("shard", cell).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias(salts))
     # at most 4,096 cells and one more per splitter
