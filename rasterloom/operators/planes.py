@@ -118,3 +118,31 @@ def undo_left_prediction(diffs: DataFrame, precision: int = 8, shift: int = 0, k
     joined = diffs.join(start.select(*keys, "y", "s"), [*keys, "y"])
     inner = F.sum(F.when(F.col("x") == 0, 0).otherwise(F.col("d"))).over(w)
     return joined.select(*keys, "y", "x", F.pmod(F.col("s") + inner, F.lit(1 << precision)).alias("v"))
+
+
+def smooth(plane: DataFrame, factor: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """3x3 smoothing of strength ``factor`` 0..100; edges are repeated."""
+    c = F.col("v")
+    sums = plane.withColumn("_s", c + neighbour("y", -1, c, keys=keys) + neighbour("y", 1, c, keys=keys))
+    around = neighbour("x", -1, F.col("_s"), "_s", keys) + F.col("_s") - c + neighbour("x", 1, F.col("_s"), "_s", keys)
+    v = F.shiftright(c * (65536 - factor * 512) + around * (factor * 64) + 32768, 16)
+    return sums.select(*keys, "y", "x", F.least(F.lit(255).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), v)).alias("v"))
+
+
+def smooth_downsample(plane: DataFrame, width: int, height: int, factor: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """2x2 averages with smoothing from the 4x4 neighbourhood, for planes of even sides.
+
+    Every sample is a member of its own cell and an outer neighbour of the next
+    one (at an edge: of its own), along each axis; one aggregation sums the four
+    parts it plays. Sides count twice, corners once."""
+    def parts(axis: str, size: int):
+        cell = F.floor(F.col(axis) / 2)
+        next_ = F.when(F.pmod(F.col(axis), F.lit(2)) == 0, F.greatest(cell - 1, F.lit(0))).otherwise(F.least(cell + 1, F.lit(size // 2 - 1)))
+        return F.explode(F.array(F.struct(cell.cast("bigint").alias("c"), F.lit(0).alias("out")), F.struct(next_.cast("bigint").alias("c"), F.lit(1).alias("out"))))
+
+    played = plane.select(*keys, "x", "v", parts("y", height).alias("_y")).select(*keys, "v", "_y", parts("x", width).alias("_x"))
+    outer = F.col("_y.out") + F.col("_x.out")
+    weight = F.when(outer == 0, 16384 - factor * 80).when(outer == 1, factor * 32).otherwise(factor * 16)
+    sums = played.groupBy(*keys, F.col("_y.c").alias("y"), F.col("_x.c").alias("x")).agg(F.sum(F.col("v") * weight).alias("s"))
+    v = F.shiftright(F.col("s") + 32768, 16)
+    return sums.select(*keys, "y", "x", F.least(F.lit(255).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), v)).alias("v"))

@@ -391,6 +391,22 @@ def triangle_prefilter(spark, sf_dir):
     return planes.triangle(planes.triangle(derived.samples(spark, sf_dir), "x"), "y")
 
 
+@query(f"""WITH {PLANE}, a AS (SELECT *, v + coalesce(lag(v) OVER w, v) + coalesce(lead(v) OVER w, v) AS s FROM plane WINDOW w AS (PARTITION BY x ORDER BY y)),
+b AS (SELECT *, coalesce(lag(s) OVER w, s) + s - v + coalesce(lead(s) OVER w, s) AS n FROM a WINDOW w AS (PARTITION BY y ORDER BY x))
+SELECT y, x, {CLAMP.format('(v * (65536 - 40 * 512) + n * 40 * 64 + 32768) >> 16')} AS v FROM b""")
+def smooth_full(spark, sf_dir):
+    return planes.smooth(derived.samples(spark, sf_dir), 40)
+
+
+@query(f"""WITH {PLANE}, d AS (SELECT CAST(d AS BIGINT) AS d FROM range(-1, 3) t(d)), whole AS (SELECT y, x, v FROM plane WHERE y < 192),
+c AS (SELECT DISTINCT CAST(floor(y / 2.0) AS BIGINT) AS cy, CAST(floor(x / 2.0) AS BIGINT) AS cx FROM whole),
+n AS (SELECT cy, cx, least(191, greatest(0, cy*2 + a.d)) AS y, least(159, greatest(0, cx*2 + b.d)) AS x,
+ CASE WHEN a.d IN (0, 1) AND b.d IN (0, 1) THEN 16384 - 40*80 WHEN a.d IN (0, 1) OR b.d IN (0, 1) THEN 40*32 ELSE 40*16 END AS w FROM c, d a, d b)
+SELECT cy AS y, cx AS x, {CLAMP.format('(CAST(sum(v * w) AS BIGINT) + 32768) >> 16')} AS v FROM n JOIN whole USING (y, x) GROUP BY cy, cx""")
+def smooth_downsample(spark, sf_dir):
+    return planes.smooth_downsample(derived.samples(spark, sf_dir).filter("y < 192"), 160, 192, 40)
+
+
 @query(f"WITH {PIX}, s AS (SELECT DISTINCT px, least(px, 19) AS x FROM range(24) t(px)) SELECT y, px AS x, r AS v FROM pix JOIN s USING (x) WHERE id >= 20 AND y <= 4")
 def pad_edges(spark, sf_dir):
     p = derived.pixels(spark, sf_dir).filter("id >= 20 AND y <= 4").select("y", "x", F.col("r").alias("v"))
