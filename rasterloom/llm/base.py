@@ -16,7 +16,7 @@ BROADCAST_ROWS = 1_000_000
 #: Environment of Python workers: freed arrays go back to the system, as workers outlive tasks.
 WORKER = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows and bytes handed to a Python worker at once, where the session has Spark's defaults: texts are long.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def ready(spark: SparkSession) -> SparkSession:
