@@ -34,6 +34,19 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_cached: dict = {}
+
+
+def cached(name: str | None = None, make=None):
+    """One object that outlives tasks in a Python worker. Asking for another
+    name, or for none, lets the old one go: workers serve all operators."""
+    if name not in _cached:
+        _cached.clear()
+        if name is not None:
+            _cached[name] = make()
+    return _cached.get(name)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -53,6 +53,7 @@ def least_shared(n: int, percent: int) -> int:
 
 
 def _texts(batch: pa.RecordBatch, k: int, step: int = CHUNK):
+    base.cached()
     for a in range(0, batch.num_rows, step):
         part = batch.slice(a, step)
         yield part, [t or b"" for t in part.column(k).cast(pa.binary()).to_pylist()]

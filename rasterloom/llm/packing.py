@@ -42,7 +42,6 @@ def tokenizer_path() -> str:
 
 
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
-ENCODERS: dict = {}
 
 
 def text_encoder(path: str):
@@ -51,8 +50,6 @@ def text_encoder(path: str):
     It lives as long as the Python worker, so tasks share its cache. A new
     chunk is looked up as a word and its closing ASCII punctuation, which the
     tokenizer splits anyway, and only new words are encoded."""
-    if path in ENCODERS:
-        return ENCODERS[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -113,7 +110,6 @@ def text_encoder(path: str):
         fresh.update((p, ids[p]) for p in new if len(p) <= 64)
         return out
 
-    ENCODERS[path] = encode
     return encode
 
 
@@ -126,7 +122,8 @@ def token_ids(docs: DataFrame, path: str, separator: int = SEPARATOR) -> DataFra
     def run(batches):
         from pyspark import TaskContext
 
-        encode, pid, local = text_encoder(path), TaskContext.get().partitionId(), 0
+        encode = base.cached(f"tokens {path}", lambda: text_encoder(path))
+        pid, local = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for a in range(0, batch.num_rows, GROUP):

@@ -107,6 +107,7 @@ def _emit_segments(window: int, anchor: int):
         yield grams.mix(d.astype(grams.U)).view(np.int64), b, d, a << 8
 
     def run(batches):
+        base.cached()
         parts, held = [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):

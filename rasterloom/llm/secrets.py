@@ -129,6 +129,7 @@ def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
 
 
 def _scan(batches):
+    base.cached()
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
             part = batch.slice(a, 512)

@@ -195,9 +195,6 @@ def decode_ids(ids, pieces: list[bytes]) -> str:
     return b"".join([pieces[i] if 0 <= i < n else b"\xff" for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
-WORKER: dict = {}
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int)."""
     model = Model.load(path or model_path())
@@ -207,9 +204,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
-        if WORKER.get("name") != name:  # one encoder and cache for all tasks of a worker
-            WORKER.update(name=name, encoder=Encoder(*shipped.value))
-        enc = WORKER["encoder"]
+        enc = base.cached(name, lambda: Encoder(*shipped.value))
         for batch in batches:
             for a in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(a, CHUNK)

@@ -179,6 +179,7 @@ def score(docs: DataFrame, vocabulary: list[str], models: list[np.ndarray], name
     k = docs.columns.index(text_col)
 
     def run(batches):
+        base.cached()
         matrix = Matrix(vocabulary)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
