@@ -143,7 +143,13 @@ def _emit_windows(window: int):
                 at = begin[row] + start
                 one, two = _spans_of(words, at, at + window, grams.WORD_BASE), _spans_of(words, at, at + window, WINDOW_BASE)
                 ids = part.column(0).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids), pa.array(start)], names=["w1", "w2", "doc", "start"])
+                order = np.lexsort((start, ids, two, one))
+                one, two, ids, start = one[order], two[order], ids[order], start[order]
+                late = np.zeros(len(one), bool)
+                late[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+                # later ones of these documents are known; they needn't meet under the window's key
+                one[late] = grams.mix(ids[late].astype(grams.U) + start[late].astype(grams.U))
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids), pa.array(start), pa.array(late)], names=["w1", "w2", "doc", "start", "late"])
 
     return run
 
@@ -238,10 +244,10 @@ class FingerprintIndex:
         every = self.documents[0]
         for d in self.documents[1:]:
             every = every.unionByName(d)
-        windows = every.join(bounded(opened, "opened"), "doc").select("doc", "text", "opened").mapInArrow(_emit_windows(window), "w1 long, w2 long, doc long, start long")
-        order = F.row_number().over(Window.partitionBy("w1", "w2").orderBy("doc", "start"))
+        windows = every.join(bounded(opened, "opened"), "doc").select("doc", "text", "opened").mapInArrow(_emit_windows(window), "w1 long, w2 long, doc long, start long, late boolean")
+        order = F.row_number().over(Window.partitionBy("w1", "w2", "late").orderBy("doc", "start"))
         # opened segments of earlier documents are there to be first; their own ranges are long returned
-        late = windows.withColumn("nth", order).filter(F.col("nth") > 1).filter(F.lit(True) if self.last is None else F.col("doc") > self.last).select("doc", F.col("start").cast("int").alias("a"), (F.col("start") + window).cast("int").alias("b"))
+        late = windows.withColumn("nth", order).filter("late OR nth > 1").filter(F.lit(True) if self.last is None else F.col("doc") > self.last).select("doc", F.col("start").cast("int").alias("a"), (F.col("start") + window).cast("int").alias("b"))
         gone = again.unionByName(local).unionByName(late)
         ranges = self.scratch.table(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).mapInArrow(_join_ranges, "doc long, ranges array<struct<a:int,b:int>>"))
         top = docs.agg(F.max("doc")).first()[0]
