@@ -16,4 +16,4 @@ QUERIES = {
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_passages": passages.op10_passages,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op10_passages": passages.OP10_SQL}

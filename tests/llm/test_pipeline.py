@@ -68,3 +68,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame(labels, test_op7.LABELS).drop("text").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    from data import SCHEMA, awkward, frame
+
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (awkward(), []):
+        docs = frame(spark, rows) if rows else spark.createDataFrame([], SCHEMA)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert (out.count() > 0) == bool(rows), name
+            if name != "packing":
+                assert out.columns == docs.columns, name
