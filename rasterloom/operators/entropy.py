@@ -32,14 +32,15 @@ def dc_frequencies(diffs: DataFrame) -> DataFrame:
 def ac_frequencies(coeffs: DataFrame) -> DataFrame:
     """symbol, n over blocks (id, z: zigzag position, v): runs of zeros and
     categories, 240 for each 16 zeros inside, 0 for an end before position 63."""
-    ac = coeffs.filter("z > 0 AND v <> 0")
-    run = F.col("z") - F.coalesce(F.lag("z").over(Window.partitionBy("id").orderBy("z")), F.lit(0)) - 1
-    runs = ac.select(run.alias("run"), category(F.col("v")).alias("size"))
-    plain = runs.select((F.col("run") % 16 * 16 + F.col("size")).alias("symbol"), F.lit(1).cast("bigint").alias("n"))
-    zeros = runs.filter("run > 15").select(F.lit(240).cast("bigint").alias("symbol"), F.floor(F.col("run") / 16).alias("n"))
-    last = coeffs.groupBy("id").agg(F.max(F.when((F.col("z") > 0) & (F.col("v") != 0), F.col("z"))).alias("last"))
-    ends = last.filter("last IS NULL OR last < 63").select(F.lit(0).cast("bigint").alias("symbol"), F.lit(1).cast("bigint").alias("n"))
-    return plain.unionByName(zeros).unionByName(ends).groupBy("symbol").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("id").orderBy("z")  # the DC coefficient stays as the start of the first run
+    seen = coeffs.filter("z = 0 OR v <> 0").select("z", "v", (F.col("z") - F.lag("z").over(w) - 1).alias("run"), F.lead("z").over(w).isNull().alias("last"))
+    part = lambda symbol, n: F.struct(symbol.cast("bigint").alias("symbol"), n.cast("bigint").alias("n"))
+    plain = part(F.pmod("run", F.lit(16)) * 16 + category(F.col("v")), F.lit(1))
+    zeros = part(F.lit(240), F.floor(F.col("run") / 16))
+    end = part(F.lit(0), F.when(F.col("last") & (F.col("z") < 63), 1).otherwise(0))
+    symbols = F.when(F.col("z") > 0, F.array(plain, zeros, end)).otherwise(F.array(end))
+    found = seen.select(F.explode(F.filter(symbols, lambda s: s.n > 0)).alias("s"))
+    return found.groupBy("s.symbol").agg(F.sum("s.n").alias("n"))
 
 
 def canonical_codes(spark: SparkSession, bits: list[int], values: list[int] | None = None) -> DataFrame:
