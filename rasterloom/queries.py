@@ -436,6 +436,34 @@ def dct_round_trip(spark, sf_dir):
     return back.select("id", error.alias("error"))
 
 
+# Planar images
+
+MEAN = "CAST(floor((sum({0}) + floor(count(*) / 2.0)) / count(*)) AS BIGINT)"
+
+
+@query(f"""WITH {PIX}, {YCC} SELECT 0 AS plane, y, x, yy AS v FROM ycc
+UNION ALL SELECT 1, CAST(floor(y / 2.0) AS BIGINT) AS cy, CAST(floor(x / 2.0) AS BIGINT) AS cx, {MEAN.format('cb')} FROM ycc GROUP BY cy, cx
+UNION ALL SELECT 2, CAST(floor(y / 2.0) AS BIGINT) AS cy, CAST(floor(x / 2.0) AS BIGINT) AS cx, {MEAN.format('cr')} FROM ycc GROUP BY cy, cx""")
+def yuv420_encode(spark, sf_dir):
+    """Planes of a 4:2:0 image: full luma, rounded means of both chroma planes."""
+    full = ycc(spark, sf_dir)
+    out = full.select(F.lit(0).alias("plane"), "y", "x", F.col("yy").alias("v"))
+    for i, c in ((1, "cb"), (2, "cr")):
+        out = out.unionByName(planes.downsample(full.select("y", "x", F.col(c).alias("v")), 2, 2, mean=True).select(F.lit(i).alias("plane"), "y", "x", "v"))
+    return out
+
+
+@query(f"""WITH {PIX}, {YCC}, c AS (SELECT y, CAST(floor(x / 2.0) AS BIGINT) AS cx, {MEAN.format('cb')} AS cb, {MEAN.format('cr')} AS cr FROM ycc GROUP BY 1, 2)
+SELECT id, {CLAMP.format('yy + ((91881*(c.cr-128) + 32768) >> 16)')} AS r, {CLAMP.format('yy + ((-22554*(c.cb-128) - 46802*(c.cr-128) + 32768) >> 16)')} AS g,
+ {CLAMP.format('yy + ((116130*(c.cb-128) + 32768) >> 16)')} AS b FROM ycc JOIN c ON c.y = ycc.y AND c.cx = CAST(floor(x / 2.0) AS BIGINT)""")
+def merged_upsample_h2v1(spark, sf_dir):
+    """4:2:2 planes to RGB with shared chroma: a lookup join of luma with its chroma sample."""
+    full = ycc(spark, sf_dir)
+    chroma = full.groupBy("y", F.floor(F.col("x") / 2).alias("cx")).agg(*[F.floor((F.sum(c) + F.floor(F.count(F.lit(1)) / 2)) / F.count(F.lit(1))).alias(c) for c in ("cb", "cr")])
+    joined = full.select("id", "y", F.floor(F.col("x") / 2).alias("cx"), "yy").join(chroma, ["y", "cx"])
+    return joined.select("id", *[v.alias(n) for v, n in zip(color.ycbcr_to_rgb("yy", "cb", "cr", merged=True), "rgb", strict=True)])
+
+
 # Palette
 
 @query(f"WITH {PIX} SELECT r, g, b, count(*) AS n FROM pix GROUP BY r, g, b")
@@ -463,6 +491,16 @@ def dequantize_palette(spark, sf_dir):
     return palette.color_of(palette.index_pixels(derived.pixels(spark, sf_dir), pal), pal).select("id", "idx", "r", "g", "b")
 
 
+@query(f"""WITH {PIX}, {UNIFORM}, {NEAR}, q AS (SELECT id, pr AS r, pg AS g, pb AS b FROM near JOIN pal USING (idx)),
+small AS (SELECT i AS idx, CAST(floor(CAST(floor(i / 9.0) AS BIGINT) * 255 / 2.0) AS BIGINT) AS pr, CAST(floor(CAST(floor(i / 3.0) AS BIGINT) % 3 * 255 / 2.0) AS BIGINT) AS pg, CAST(floor(i % 3 * 255 / 2.0) AS BIGINT) AS pb FROM range(27) t(i))
+SELECT id, min(((r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb)) * 1000 + idx) % 1000 AS idx FROM q, small GROUP BY id""")
+def requantize_palette(spark, sf_dir):
+    """Indices of one palette to those of another: colours are looked up, then mapped."""
+    pal = palette.uniform_palette(spark, 128)
+    shown = palette.color_of(palette.index_pixels(derived.pixels(spark, sf_dir), pal), pal).select("id", "r", "g", "b")
+    return palette.index_pixels(shown, palette.uniform_palette(spark, 30)).select("id", "idx")
+
+
 @query()
 def median_cut_palette(spark, sf_dir):
     return palette.box_palette(palette.median_cut_boxes(derived.pixels(spark, sf_dir), 4))
@@ -499,6 +537,19 @@ def subsampling_detect(spark, sf_dir):
     return sizes(spark).filter("w = 1 AND h = 1").select("name", F.col("sh").alias("h"), F.col("sv").alias("v"), geometry.subsampling(F.col("sh"), F.col("sv"), one, one).alias("found"))
 
 
+DOUBLE = "CASE WHEN {0} < 8 AND (mh * size) % (h * {0} * 2) = 0 AND (mv * size) % (v * {0} * 2) = 0 THEN {0} * 2 ELSE {0} END"
+
+
+@query(f"""WITH g AS (SELECT size, mh, mv, h, v FROM range(1, 17) a(size), range(1, 5) b(mh), range(1, 5) c(mv), range(1, 5) d(h), range(1, 5) e(v) WHERE h <= mh AND v <= mv),
+s1 AS (SELECT *, {DOUBLE.format('size')} AS s1 FROM g), s2 AS (SELECT *, {DOUBLE.format('s1')} AS s2 FROM s1) SELECT size, mh, mv, h, v, {DOUBLE.format('s2')} AS out FROM s2""")
+def component_block_size(spark, sf_dir):
+    g = spark.range(1, 17).withColumnRenamed("id", "size")
+    for c in ("mh", "mv", "h", "v"):
+        g = g.withColumn(c, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))))
+    g = g.filter("h <= mh AND v <= mv")
+    return g.withColumn("out", geometry.component_block_size(*[F.col(c) for c in ("size", "mh", "mv", "h", "v")]))
+
+
 # Metadata
 
 @query("""WITH c AS (SELECT conv_id AS image_id, turn + 1 AS seq_no, text FROM conversations),
