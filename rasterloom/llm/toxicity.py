@@ -86,16 +86,20 @@ def choose_words(sample: DataFrame, n_categories: int, words: int = WORDS) -> li
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weights and intercept by Newton's method; the intercept isn't shrunk."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     if len(y) == 0 or y.min() == y.max():
         w[-1] = 30 if len(y) and y[0] else -30
         return w
     shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
     for _ in range(12):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        slope, bend = -shrink * w, np.diag(shrink)
+        for a in range(0, len(x), 1024):  # blocks keep the copies small
+            b = np.hstack([x[a : a + 1024], np.ones((len(x[a : a + 1024]), 1))])
+            p = sigmoid(b @ w)
+            slope += b.T @ (y[a : a + 1024] - p)
+            bend += (b * (p * (1 - p))[:, None]).T @ b
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -115,7 +119,7 @@ def fit_chain(x: np.ndarray, ys: list[np.ndarray], folds: int = FOLDS) -> list[n
         for k in range(folds):
             w = fit_logistic(x[fold != k], y[fold != k])
             unseen[fold == k] = sigmoid(x[fold == k] @ w[:-1] + w[-1])
-        x = np.hstack([x, unseen[:, None]])
+        x = np.hstack([x, unseen[:, None].astype(np.float32)])
     return models
 
 
@@ -168,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     got = sorted(sample.mapInArrow(rows, f"doc_id {kind}, f array<int>, " + ", ".join(f"y{i} int" for i in range(n))).collect())  # the bounded sample
-    x = np.zeros((len(got), len(vocabulary)))
+    x = np.zeros((len(got), len(vocabulary)), np.float32)
     for i, r in enumerate(got):
         x[i, r["f"]] = 1
     return vocabulary, fit_chain(x, [np.array([r[f"y{i}"] for r in got], float) for i in range(n)])
