@@ -13,7 +13,7 @@ piece. Nothing is shuffled but the partition totals.
 
 Tokens are looked up by word: the tokenizer drops white space, so a text's ids
 are those of its white-space separated chunks, and most chunks recur. The
-cache of a worker is bounded (twice ``CACHE`` chunks of at most 64 bytes).
+cache of a worker is bounded (``CACHE`` chunks of at most 64 bytes).
 
 Defined results: a null or empty text is one separator. Null and repeated ids
 are packed like others, one document per row. Very long texts are cut like
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 500_000, 128
+LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 900_000, 128
 
 
 def tokenizer_path() -> str:
@@ -54,8 +54,7 @@ def text_encoder(path: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}  # chunks seen in several groups of texts
-    fresh: dict[bytes, bytes] = {}  # words seen in one so far
+    cache: dict[bytes, bytes] = {}
 
     def chunks(text: bytes) -> list[bytes]:
         # Special tokens and combining marks (UTF-8 CC, CD) are sensitive to case; else case doesn't matter.
@@ -89,25 +88,21 @@ def text_encoder(path: str):
         return out
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known) > CACHE:
-            known.clear()
-        if len(fresh) > CACHE:
-            fresh.clear()
+        if len(cache) > CACHE:
+            cache.clear()
         words = [chunks(t) for t in texts]
-        split = {w: parts(w) for w in set().union(*words) if w not in known}
-        ids = {p: fresh.pop(p) if p in fresh else known.get(p) for ps in split.values() for p in ps}
-        seen = {p for p, x in ids.items() if x is not None}
-        new = [p for p, x in ids.items() if x is None]
-        ids.update(encode_words(new))
-        once = []
+        split = {w: parts(w) for w in set().union(*words) if w not in cache}
+        ids = encode_words(list({p for ps in split.values() for p in ps if p not in cache}))
+        long = []
         for w, ps in split.items():
-            known[w] = ids[ps[0]] if len(ps) == 1 else ids[ps[0]] + ids[ps[1]]
-            if ps[0] not in seen or len(w) > 64:
-                once.append(w)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-        for w in once:
-            del known[w]
-        fresh.update((p, ids[p]) for p in new if len(p) <= 64)
+            both = [ids[p] if p in ids else cache[p] for p in ps]
+            cache[w] = both[0] if len(ps) == 1 else both[0] + both[1]
+            if len(w) > 64:
+                long.append(w)
+        out = [b"".join(map(cache.__getitem__, ws)) for ws in words]
+        for w in long:
+            del cache[w]
+        cache.update((p, x) for p, x in ids.items() if len(p) <= 64)
         return out
 
     return encode
