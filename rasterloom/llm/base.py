@@ -75,8 +75,11 @@ class Scratch:
         self.n += 1
         return f"{self.root}/t{self.n}"
 
-    def table(self, df: DataFrame, path: str | None = None) -> DataFrame:
+    def table(self, df: DataFrame, path: str | None = None, rows: int | None = None, per_file: int = 250_000) -> DataFrame:
+        """``df`` written and read again; with a bound of its rows known, in no more files than they need."""
         path = path or self.path()
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_file)))
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

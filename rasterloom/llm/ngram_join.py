@@ -114,10 +114,11 @@ def classes_of(docs: DataFrame, n: int, scratch: base.Scratch) -> tuple[DataFram
     rows = scratch.table(docs.mapInArrow(sets, f"doc_id {id_type}, carrier long, n_shingles long, set_key binary"))
     carrier = F.min(F.struct("doc_id", "carrier")).alias("row")
     grouped = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"), carrier)
-    return rows, scratch.table(grouped.select("set_key", "least", "row.doc_id", "row.carrier", F.monotonically_increasing_id().alias("cid")))
+    named = grouped.select("set_key", "least", "row.doc_id", "row.carrier", F.monotonically_increasing_id().alias("cid"))
+    return rows, scratch.table(named, rows=rows.count())
 
 
-def join_classes(texts: DataFrame, n: int, percent: int, scratch: base.Scratch, group: int = GROUP) -> DataFrame:
+def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch: base.Scratch, group: int = GROUP) -> DataFrame:
     """(node, label) of linked classes; ``texts`` has cid and text."""
     spark = texts.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -142,7 +143,7 @@ def join_classes(texts: DataFrame, n: int, percent: int, scratch: base.Scratch,
         return pa.table({"cid": np.unique(cid[_runs(token) > 1])})
 
     first = texts.mapInArrow(emit(True), PACKED).groupBy("bucket").applyInArrow(sharing, "cid long")
-    active = scratch.table(first.distinct())
+    active = scratch.table(first.distinct(), rows=n_classes)
 
     def frequencies(table: pa.Table) -> pa.Table:
         token, cid = _gather(table, six=False)
@@ -187,7 +188,7 @@ def join_classes(texts: DataFrame, n: int, percent: int, scratch: base.Scratch,
     near = held.join(heads, "token").select(F.col("cid").alias("u"), F.col("head").alias("v")).distinct()
     candidates = graph.components(near, scratch)
 
-    sized = scratch.table(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("k")))
+    sized = scratch.table(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("k")), rows=n_classes)
     placed = candidates.join(sized, "label").withColumn("blocks", F.ceil(F.col("k") / group))
     spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     small_bin = F.pmod(F.xxhash64("label"), F.lit(n_buckets)).cast("long")
@@ -332,7 +333,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "carrier")
     which = base.small(classes.select(F.col("doc_id").alias("i"), F.col("carrier").alias("h"), "cid"))
     texts = docs.join(which, docs.doc_id.eqNullSafe(which.i) & (docs.carrier == which.h)).select("cid", "text")
-    linked = join_classes(texts, n, percent, scratch, group)
+    linked = join_classes(texts, classes.count(), n, percent, scratch, group)
     names = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = names.groupBy("label").agg(F.min("least").alias("component_id"))
     named = names.join(least, "label").select("set_key", "component_id")
