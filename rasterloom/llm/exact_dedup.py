@@ -34,15 +34,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(docs[id_col].alias("doc_id"), norm.alias("norm")).withColumn("h", F.unhex(F.md5("norm")))
 
     ids = scratch.table(keyed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")))
-    groups = scratch.table(ids.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), pick("doc_id").alias("keep_id")))
+    n = ids.count()
+    groups = scratch.table(ids.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), pick("doc_id").alias("keep_id")), rows=n)
 
     # Bytes inside hash groups: the text is a grouping key, compared byte by byte.
-    repeated = base.small(scratch.table(groups.filter("group_size > 1").select("h")))
+    repeated = base.small(scratch.table(groups.filter("group_size > 1").select("h"), rows=n))
     variants = scratch.table(
         keyed.join(repeated, "h").groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), pick("doc_id").alias("keep_id"))
-        .select("h", "group_size", "keep_id", F.sha2("norm", 256).alias("text_sha256"))
-    )
-    collided = base.small(scratch.table(variants.groupBy("h").count().filter("count > 1").select("h")))
+        .select("h", "group_size", "keep_id", F.sha2("norm", 256).alias("text_sha256")),
+        rows=n, per_file=50_000,
+    )
+    collided = base.small(scratch.table(variants.groupBy("h").count().filter("count > 1").select("h"), rows=n))
 
     plain = ids.join(collided, "h", "left_anti").join(groups, "h")
     # Within one 128-bit collision SHA-256 tells the byte groups apart.
