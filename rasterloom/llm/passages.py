@@ -181,6 +181,7 @@ class FingerprintIndex:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
         self.documents: list[DataFrame] = []
+        self.size = 0  # documents so far
         self.last: int | None = None  # the largest document so far
 
     def _write(self, rows: DataFrame) -> str:
@@ -209,6 +210,7 @@ class FingerprintIndex:
 
         ``docs`` has doc (long, unique, above all before) and text."""
         window = self.window
+        n = docs.count()
         name = self._write(docs.mapInArrow(_emit_segments(window, self.anchor), SEGMENTS))
         batch = self.spark.table(name)
         size = F.col("at").bitwiseAND(255)
@@ -239,7 +241,7 @@ class FingerprintIndex:
         opened = firsts.filter("NOT known").join(shared, "h", "left_semi").select("doc", "at")
         for r in self.runs:
             opened = opened.unionByName(self.spark.table(r).filter(size > 0).join(shared, "h", "left_semi").select("doc", "at"))
-        opened = self.scratch.table(opened.groupBy("doc").agg(F.collect_set("at").alias("opened")))
+        opened = self.scratch.table(opened.groupBy("doc").agg(F.collect_set("at").alias("opened")), rows=n + self.size, per_file=20_000)
         self.documents.append(docs)
         every = self.documents[0]
         for d in self.documents[1:]:
@@ -249,7 +251,8 @@ class FingerprintIndex:
         # opened segments of earlier documents are there to be first; their own ranges are long returned
         late = windows.withColumn("nth", order).filter("late OR nth > 1").filter(F.lit(True) if self.last is None else F.col("doc") > self.last).select("doc", F.col("start").cast("int").alias("a"), (F.col("start") + window).cast("int").alias("b"))
         gone = again.unionByName(local).unionByName(late)
-        ranges = self.scratch.table(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).mapInArrow(_join_ranges, "doc long, ranges array<struct<a:int,b:int>>"))
+        ranges = self.scratch.table(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).mapInArrow(_join_ranges, "doc long, ranges array<struct<a:int,b:int>>"), rows=n, per_file=20_000)
+        self.size += n
         top = docs.agg(F.max("doc")).first()[0]
         self.last = self.last if top is None else top
         self.runs.append(name)
