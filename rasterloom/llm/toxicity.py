@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import base
 
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
-SAMPLE, WORDS, FOLDS, RIDGE, MEMO = 12_000, 128, 3, 1.0, 400_000
+SAMPLE, WORDS, FOLDS, RIDGE, MEMO = 12_000, 128, 3, 0.1, 400_000
 SPACES = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
 
@@ -72,7 +72,7 @@ def choose_words(sample: DataFrame, n_categories: int, words: int = WORDS) -> li
             yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in seen]), *[pa.array(c, pa.int64()) for c in cols]], names=["f", *[f"c{i}" for i in range(n_categories)], "n"])
 
     counts = [F.sum(c).alias(c) for c in [*[f"c{i}" for i in range(n_categories)], "n"]]
-    table = sample.mapInArrow(count, "f string, " + ", ".join(f"c{i} long" for i in range(n_categories)) + ", n long").groupBy("f").agg(*counts).filter("n >= 5")
+    table = sample.mapInArrow(count, "f string, " + ", ".join(f"c{i} long" for i in range(n_categories)) + ", n long").groupBy("f").agg(*counts).filter("n >= 3")
     sums = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(n_categories)]).first()
     chosen = set()
     for i in range(n_categories):
