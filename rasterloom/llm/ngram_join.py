@@ -143,7 +143,7 @@ def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch
         return pa.table({"cid": np.unique(cid[_runs(token) > 1])})
 
     first = texts.mapInArrow(emit(True), PACKED).groupBy("bucket").applyInArrow(sharing, "cid long")
-    active = scratch.table(first.distinct(), rows=n_classes)
+    active = scratch.table(first.distinct(), rows=n_classes, per_file=5_000)  # up to a row per class and bucket comes in
 
     def frequencies(table: pa.Table) -> pa.Table:
         token, cid = _gather(table, six=False)
