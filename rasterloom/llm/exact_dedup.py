@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Within one 128-bit collision SHA-256 tells the byte groups apart.
     split = ids.join(collided, "h", "left_semi").join(variants.withColumnRenamed("text_sha256", "v"), ["h"]).filter("text_sha256 = v")
     cols = ["doc_id", "keep_id", "group_size", "text_sha256", "h"]
-    out = plain.select(cols).unionByName(split.select(cols))
+    out = plain.select(cols).unionByName(split.select(cols)).coalesce(max(1, -(-n // 50_000)))  # no task for a handful of rows
 
     stands = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     extra = ids.groupBy("h", "doc_id").count().filter("count > 1").limit(1)
