@@ -145,3 +145,17 @@ def test_progressive_stream(spark, tmp_path):
     query.stop()
     assert sorted((r.k, r.v, r.scans) for r in spark.table("coefs").collect()) == [(0, 15, 2), (5, -1, 2)]
     assert progressive.progress(batch).first()["scans"] == 2
+
+
+def test_transform_plan(spark):
+    from rasterloom.plans.transform import TransformOptions, transform
+
+    df = spark.createDataFrame(grid(spark), COLS)
+    out, w, h = transform(df, 30, 24, TransformOptions("rot180", trim=True))
+    assert (w, h) == (24, 24) and out.count() == 9 * 64 and rows(out) == rows(B.transform(df.filter("gx < 3"), "rot180", 3, 3))
+    out, w, h = transform(df, 32, 24, TransformOptions("rot90", crop=(9, 1, 7, 9)))
+    assert (w, h) == (8, 10) and out.select("gx", "gy").distinct().count() == 2
+    with pytest.raises(ValueError):
+        transform(df, 30, 24, TransformOptions("flip_h", perfect=True))
+    with pytest.raises(ValueError):
+        TransformOptions("spin")
