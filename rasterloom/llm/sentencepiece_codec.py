@@ -2,8 +2,10 @@
 
 Encoding marks white space with U+2581, looks pieces up in a double-array trie
 over their UTF-8 bytes and takes the segmentation with the largest sum of log
-scores; ties go to the longest last piece. A character no piece covers becomes
-its bytes, each a byte piece. Decoding joins pieces and bytes, turns marks into
+scores; ties go to the longest last piece. A character that is no piece of its
+own has its bytes as one more choice, each a byte piece at ``BYTE_SCORE``; other
+characters never become bytes. Pieces the model gives no usable score (runs of
+the mark, and the mark alone) rank by their place in the file. Decoding joins pieces and bytes, turns marks into
 spaces and drops the one put in front: it returns the text exactly (a U+2581 of
 the text itself comes back as a space).
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-MARK, CACHE, CHUNK, BYTE_SCORE = "▁", 800_000, 128, -1e6
+MARK, CACHE, CHUNK, BYTE_SCORE, NO_SCORE = "▁", 800_000, 128, -1e6, -1e8
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -57,7 +59,9 @@ class Model:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         bytes_ = {int(p[3:5], 16): i for i, p in enumerate(pieces) if sp.is_byte(i)}
         skip = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)}
-        return Model(pieces, [sp.get_score(i) for i in range(n)], bytes_, skip)
+        first = min(i for i in range(n) if i not in skip)
+        scores = [sp.get_score(i) for i in range(n)]
+        return Model(pieces, [s if s > NO_SCORE else float(first - i) for i, s in enumerate(scores)], bytes_, skip)
 
 
 class DoubleArray:
@@ -134,18 +138,21 @@ class Encoder:
         for i in range(n):
             if best[i] == -math.inf:
                 continue
-            slot, j = 0, i
+            c = text[i]
+            end = min(n, i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4))
+            slot, j, covered = 0, i, False
             while j < n:
                 t = base_[slot] + text[j] + 1
                 if t >= limit or check[t] != slot:
                     break
                 slot, j = t, j + 1
                 if value[t] >= 0:
+                    covered = covered or j == end
                     s = best[i] + scores[value[t]]
                     if s > best[j]:
                         best[j], back[j] = s, (i, value[t])
-            c = text[i]
-            end = min(n, i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4))
+            if covered:
+                continue
             s = best[i] + BYTE_SCORE * (end - i)
             if s > best[end]:
                 best[end], back[end] = s, (i, -1)

@@ -54,3 +54,22 @@ def test_double_array_holds_every_piece():
             assert trie.check[t] == slot
             slot = t
         assert trie.value[slot] == i
+
+
+MARKED = ["a 5  b", "in 2024, 17 of 300", "  two   spaces and tail  ", "漢字 日本 5 🎉 x", "a" + " " * 17 + "b 9", "é 名前 10\n 3  ٣", " "]
+
+
+def test_real_model_against_brute_force():
+    """Marks have pieces of their own: before digits, in runs and before unmarked characters."""
+    model = spc.Model.load(spc.model_path())
+    kept = [i for i in range(len(model.pieces)) if i not in model.skip]
+    enc = spc.Encoder(spc.DoubleArray([(model.pieces[i].encode(), i) for i in kept]), model.scores, model.bytes, True)
+    byte_ids = set(model.bytes.values())
+    covered = {model.pieces[i] for i in kept}
+    for t in MARKED:
+        marked = spc.MARK + t.replace(" ", spc.MARK)
+        ids = np.frombuffer(enc(t), np.int32).tolist()
+        got = sum(spc.BYTE_SCORE if i in byte_ids else model.scores[i] for i in ids)
+        want = brute_score(marked, [model.pieces[i] for i in kept], [model.scores[i] for i in kept], spc.BYTE_SCORE)
+        assert abs(got - want) < 1e-6
+        assert sum(i in byte_ids for i in ids) == sum(len(c.encode()) for c in marked if c not in covered)
