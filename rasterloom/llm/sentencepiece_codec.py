@@ -4,8 +4,11 @@ Encoding marks white space with U+2581, looks pieces up in a double-array trie
 over their UTF-8 bytes and takes the segmentation with the largest sum of log
 scores; ties go to the longest last piece. A character that is no piece of its
 own has its bytes as one more choice, each a byte piece at ``BYTE_SCORE``; other
-characters never become bytes. Pieces the model gives no usable score (runs of
-the mark, and the mark alone) rank by their place in the file. Decoding joins pieces and bytes, turns marks into
+characters never become bytes. The only model at hand is a BPE model, whose
+scores are merge ranks; ``log_scores`` turns them into log probabilities, and
+the ids are those of that search, not of the model's own merges. Pieces the
+model gives no usable score (runs of the mark, and the mark alone) rank by their
+place in the file. Decoding joins pieces and bytes, turns marks into
 spaces and drops the one put in front: it returns the text exactly (a U+2581 of
 the text itself comes back as a space).
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-MARK, CACHE, CHUNK, BYTE_SCORE, NO_SCORE = "▁", 800_000, 128, -1e6, -1e8
+MARK, CACHE, CHUNK, BYTE_SCORE, NO_SCORE, OFFSET = "▁", 800_000, 128, -1e6, -1e8, 10
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -44,6 +47,23 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def log_scores(scores: list[float], skip: set[int]) -> list[float]:
+    """Log probabilities of the pieces.
+
+    Scores of a BPE model (whole numbers that fall with the id) are ranks r as
+    -r; a piece of rank r gets the share 1 / (r + OFFSET) of all pieces' shares,
+    as word frequencies fall with their rank. Others are log scores already."""
+    kept = [i for i in range(len(scores)) if i not in skip]
+    ranks = [-scores[i] for i in kept]
+    if any(r != int(r) or r < 0 for r in ranks) or any(a >= b for a, b in zip(ranks, ranks[1:], strict=False)):
+        return scores
+    total = math.log(math.fsum(1 / (r + OFFSET) for r in ranks))
+    out = list(scores)
+    for i, r in zip(kept, ranks, strict=True):
+        out[i] = -math.log(r + OFFSET) - total
+    return out
+
+
 class Model:
     """Pieces, scores and byte ids of a SentencePiece model file."""
 
@@ -61,7 +81,8 @@ class Model:
         skip = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)}
         first = min(i for i in range(n) if i not in skip)
         scores = [sp.get_score(i) for i in range(n)]
-        return Model(pieces, [s if s > NO_SCORE else float(first - i) for i, s in enumerate(scores)], bytes_, skip)
+        scores = [s if s > NO_SCORE else float(first - i) for i, s in enumerate(scores)]
+        return Model(pieces, log_scores(scores, skip), bytes_, skip)
 
 
 class DoubleArray:

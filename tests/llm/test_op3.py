@@ -1,4 +1,5 @@
 import functools
+import math
 import random
 from collections import Counter
 
@@ -73,3 +74,15 @@ def test_real_model_against_brute_force():
         want = brute_score(marked, [model.pieces[i] for i in kept], [model.scores[i] for i in kept], spc.BYTE_SCORE)
         assert abs(got - want) < 1e-6
         assert sum(i in byte_ids for i in ids) == sum(len(c.encode()) for c in marked if c not in covered)
+
+
+def test_scores_are_log_probabilities():
+    """Ranks become log probabilities, so frequent words stay whole."""
+    model = spc.Model.load(spc.model_path())
+    kept = [i for i in range(len(model.pieces)) if i not in model.skip]
+    assert abs(sum(math.exp(model.scores[i]) for i in kept) - 1) < 1e-9
+    assert all(model.scores[a] > model.scores[b] for a, b in zip(kept, kept[1:], strict=False))
+    enc = spc.Encoder(spc.DoubleArray([(model.pieces[i].encode(), i) for i in kept]), model.scores, model.bytes, True)
+    ids = np.frombuffer(enc("the Device international"), np.int32).tolist()
+    assert [model.pieces[i] for i in ids] == ["▁the", "▁Device", "▁international"]
+    assert spc.log_scores([0.0, -1.5, -2.25], {0}) == [0.0, -1.5, -2.25]
