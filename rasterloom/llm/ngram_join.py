@@ -112,9 +112,10 @@ def classes_of(docs: DataFrame, n: int, scratch: base.Scratch) -> tuple[DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "carrier", "n_shingles", "set_key"])
 
     rows = scratch.table(docs.mapInArrow(sets, f"doc_id {id_type}, carrier long, n_shingles long, set_key binary"))
-    carrier = F.min(F.struct("doc_id", "carrier")).alias("row")
-    grouped = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"), carrier)
-    named = grouped.select("set_key", "least", "row.doc_id", "row.carrier", F.monotonically_increasing_id().alias("cid"))
+    carrier = F.min(F.struct("doc_id", "carrier", "copies")).alias("row")
+    repeats = rows.filter("set_key IS NOT NULL").groupBy("set_key", "doc_id", "carrier").agg(F.count(F.lit(1)).alias("copies"))
+    grouped = repeats.groupBy("set_key").agg(F.min("doc_id").alias("least"), carrier)
+    named = grouped.select("set_key", "least", "row.doc_id", "row.carrier", "row.copies", F.monotonically_increasing_id().alias("cid"))
     return rows, scratch.table(named, rows=rows.count())
 
 
@@ -331,8 +332,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, classes = classes_of(docs, n, scratch)
     if classes.isEmpty():
         return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "carrier")
-    which = base.small(classes.select(F.col("doc_id").alias("i"), F.col("carrier").alias("h"), "cid"))
-    texts = docs.join(which, docs.doc_id.eqNullSafe(which.i) & (docs.carrier == which.h)).select("cid", "text")
+    which = base.small(classes.select(F.col("doc_id").alias("i"), F.col("carrier").alias("h"), "cid", "copies"))
+    found = docs.join(which, docs.doc_id.eqNullSafe(which.i) & (docs.carrier == which.h))
+    texts = found.select("cid", "text")
+    if not classes.filter("copies > 1").isEmpty():  # of a repeated carrier row one text is kept
+        texts = found.filter("copies = 1").select("cid", "text").unionByName(found.filter("copies > 1").select("cid", "text").dropDuplicates(["cid"]))
     linked = join_classes(texts, classes.count(), n, percent, scratch, group)
     names = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = names.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -91,3 +91,16 @@ def test_components(spark):
         up[b] = a
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_repeats_beside_partial_overlap(spark):
+    """Repeated rows and null-id copies don't add to the overlap of their set."""
+    rng = random.Random(12)
+    rows = []
+    for i, keep in enumerate([22, 30, 36, 42, 48, 54]):
+        text = words(rng, 60, 10**6)
+        other = " ".join(text.split()[:keep]) + " " + words(rng, 60 - keep, 10**6)
+        rows += [(None if i % 2 else 10 * i, text, None, None, None, None, None)] * 3
+        rows += [(None if i % 2 else 10 * i + 1, other, None, None, None, None, None)] * 2 + [(10 * i + 2, other, None, None, None, None, None)]
+    got = ngram_join.ngram_join(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
