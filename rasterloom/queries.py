@@ -1,7 +1,10 @@
 """Registered queries over the driver's tables, and the SQL that checks them.
 
 The tables hold no images; ``sources.derived`` says how pixels, planes and
-coefficient blocks are read from them. Every query covers its whole table.
+coefficient blocks are read from them. Queries cover their whole table, but
+``smooth_downsample``, ``pad_edges``, ``trim_blocks`` and ``transform_*`` keep
+the fixed size of their SQL; each has a ``_whole`` version that takes width and
+height from the table.
 """
 
 from __future__ import annotations
@@ -229,6 +232,41 @@ for _op in B.OPS[1:]:
     _spatial(_op)
 
 
+def sized(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """``rows`` with the width and height of their grid."""
+    return rows.crossJoin(F.broadcast(rows.agg((F.max(x) + 1).alias("w"), (F.max(y) + 1).alias("h"))))  # one row
+
+
+GRID_SIZE = "g AS (SELECT max(gx) + 1 AS w, max(gy) + 1 AS h FROM coef)"
+
+
+def _transform_whole(op):
+    """The last column and row of the whole grid count as partial."""
+    cols, rows = "gx < w - 1", "gy < h - 1"
+    x, y = f"CASE WHEN {cols} THEN w - 2 - gx ELSE gx END", f"CASE WHEN {rows} THEN h - 2 - gy ELSE gy END"
+    gx, gy = {"flip_h": (x, "gy"), "flip_v": ("gx", y), "transpose": ("gy", "gx"), "transverse": (y, x), "rot90": (y, "gx"), "rot180": (x, y), "rot270": ("gy", x)}[op]
+    c, r = f"CASE WHEN {cols} THEN c ELSE 0 END", f"CASE WHEN {rows} THEN r ELSE 0 END"
+    sign = {"c": c, "r": r, "0": "0", "r + c": f"({r}) + ({c})"}[SIGN[op]]
+    to = "c * 8 + r" if op in B.SWAPS else "k"
+    sql = f"WITH {COEF}, {GRID_SIZE}, n AS (SELECT coef.*, w, h, CAST(floor(k / 8.0) AS BIGINT) AS r, k % 8 AS c FROM coef, g) SELECT id, {gx} AS gx, {gy} AS gy, {to} AS k, CASE WHEN ({sign}) % 2 = 1 THEN -v ELSE v END AS v FROM n"
+
+    @query(sql, f"transform_{op}_whole")
+    def run(spark, sf_dir):
+        return B.transform(sized(derived.blocks(spark, sf_dir), "gx", "gy"), op, F.col("w") - 1, F.col("h") - 1)
+
+
+for _op in B.OPS[1:]:
+    _transform_whole(_op)
+
+
+@query(f"WITH {COEF}, {GRID_SIZE} SELECT id, gx, gy FROM coef, g WHERE k = 0 AND gx < CAST(floor((w * 8 - 5) / 16.0) AS BIGINT) * 2 AND gy < CAST(floor((h * 8 - 1) / 16.0) AS BIGINT) * 2")
+def trim_blocks_whole(spark, sf_dir):
+    """The image ends 5 columns and a row before its last blocks do."""
+    dc = derived.blocks(spark, sf_dir).filter("k = 0")
+    w, h = dc.agg(F.max("gx") + 1, F.max("gy") + 1).first()
+    return B.trim(dc, "rot180", w * 8 - 5, h * 8 - 1, 16, 16).select("id", "gx", "gy")
+
+
 @query(f"WITH {COEF} SELECT id, gx, gy FROM coef WHERE k = 0 AND gx < 18 AND gy < 24")
 def trim_blocks(spark, sf_dir):
     return B.trim(derived.blocks(spark, sf_dir).filter("k = 0"), "rot180", 155, 199, 16, 16).select("id", "gx", "gy")
@@ -413,6 +451,27 @@ def pad_edges(spark, sf_dir):
     return planes.pad_edges(p, 20, 5, 24, 5)
 
 
+@query(f"""WITH {PLANE}, d AS (SELECT CAST(d AS BIGINT) AS d FROM range(-1, 3) t(d)), g AS (SELECT max(x) AS w, max(y) AS h FROM plane),
+c AS (SELECT DISTINCT CAST(floor(y / 2.0) AS BIGINT) AS cy, CAST(floor(x / 2.0) AS BIGINT) AS cx FROM plane),
+n AS (SELECT cy, cx, least(h, greatest(0, cy*2 + a.d)) AS y, least(w, greatest(0, cx*2 + b.d)) AS x,
+ CASE WHEN a.d IN (0, 1) AND b.d IN (0, 1) THEN 16384 - 40*80 WHEN a.d IN (0, 1) OR b.d IN (0, 1) THEN 40*32 ELSE 40*16 END AS w FROM c, g, d a, d b)
+SELECT cy AS y, cx AS x, {CLAMP.format('(CAST(sum(v * w) AS BIGINT) + 32768) >> 16')} AS v FROM n JOIN plane USING (y, x) GROUP BY cy, cx""")
+def smooth_downsample_whole(spark, sf_dir):
+    plane = derived.samples(spark, sf_dir)
+    w, h = plane.agg(F.max("x") + 1, F.max("y") + 1).first()
+    return planes.smooth_downsample(plane, w, h, 40)
+
+
+@query(f"""WITH {PIX}, g AS (SELECT max(x) AS w, max(y) AS h FROM pix), px AS (SELECT px, least(px, w) AS x FROM g, unnest(range(CAST(floor(w / 8.0) AS BIGINT) * 8 + 8)) t(px)),
+py AS (SELECT py, least(py, h) AS y FROM g, unnest(range(CAST(floor(h / 8.0) AS BIGINT) * 8 + 8)) t(py))
+SELECT py AS y, px AS x, r AS v FROM pix JOIN px USING (x) JOIN py USING (y)""")
+def pad_edges_whole(spark, sf_dir):
+    """Both sides padded to whole blocks."""
+    p = derived.pixels(spark, sf_dir).select("y", "x", F.col("r").alias("v"))
+    w, h = p.agg(F.max("x") + 1, F.max("y") + 1).first()
+    return planes.pad_edges(p, w, h, -(-w // 8) * 8, -(-h // 8) * 8)
+
+
 @query(f"""WITH {COEF}, c AS (SELECT id, CAST(sum(v) AS BIGINT) AS dc FROM coef GROUP BY id) SELECT id, dc FROM c""")
 def fdct_dc(spark, sf_dir):
     """The DC coefficient of the forward transform is the sum of the samples."""

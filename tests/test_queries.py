@@ -30,3 +30,18 @@ def test_query(spark, db, name):
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_whole_planes(spark):
+    """Outputs grow with the table: every block row, sample row and pixel row takes part."""
+    from rasterloom.sources import derived
+
+    blocks = derived.blocks(spark, SF).filter("k = 0")
+    w, h = blocks.selectExpr("max(gx) + 1", "max(gy) + 1").first()
+    assert queries.QUERIES["smooth_downsample_whole"](spark, SF).count() == w * 4 * h * 4
+    moved = queries.QUERIES["transform_flip_v_whole"](spark, SF).filter("k = 0").select("id", "gy")
+    assert blocks.join(moved.withColumnRenamed("gy", "to"), "id").filter(f"gy < {h} - 1 AND to <> {h} - 2 - gy").isEmpty()
+    assert queries.QUERIES["trim_blocks_whole"](spark, SF).selectExpr("max(gy) + 1").first()[0] == (h * 8 - 1) // 16 * 2
+    rows = derived.pixels(spark, SF).selectExpr("max(y) + 1").first()[0]
+    assert queries.QUERIES["pad_edges_whole"](spark, SF).selectExpr("count(distinct y)").first()[0] == -(-rows // 8) * 8
