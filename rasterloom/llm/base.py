@@ -3,6 +3,7 @@ broadcasts, readers, and word tokens as byte ranges."""
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from contextlib import contextmanager
@@ -10,9 +11,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow table (ids, hashes) that may be broadcast; beyond it the
+#: Rows and bytes of values of a table that may be broadcast; beyond either the
 #: join is a shuffled one. A million rows take about 100 MB in an executor.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Environment of Python workers: freed arrays go back to the system, as workers outlive tasks.
 WORKER = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows and bytes handed to a Python worker at once, where the session has Spark's defaults: texts are long.
@@ -52,9 +53,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; set here only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder. Where none is set, a local session (tests)
+    gets one of this machine; a cluster has to name its own."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/checkpoints/rasterloom"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -92,11 +97,21 @@ class Scratch:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count proves it small, else as it is.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows and their bytes prove small, else as it is.
 
-    ``df`` should be a written table: it is counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    ``df`` should be a written table: it is read for this."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if k in ("string", "binary") else F.coalesce(F.size(c) * 16, F.lit(0)) if k in ("array", "map") else F.lit(8) for c, k in kinds.items()), F.lit(0))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width.cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's context cleaner remove shuffle files that nothing refers to
+    any more: it acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @contextmanager

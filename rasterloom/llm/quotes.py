@@ -9,16 +9,21 @@ conversation the latest earlier message wins; else the smallest (conversation,
 turn) anywhere. Without a found quote of the own conversation a message replies
 to the turn before it.
 
-The result is the conversation without quotes in reply order: sorted by
-(conv_id, reply_turn, turn) every message comes after the one it answers, and
-answers to one message are adjacent.
-
-Hot units: a hash is reduced to its smallest place before the global join, and
-to distinct (conversation, turn) inside conversations. The turn before is an
-equi-join on turn - 1; only turns at gaps are ordered in a window.
+The result is the conversation without quotes in reply order: ``position``
+numbers the messages of a conversation by (reply_turn, turn), so every message
+comes after the one it answers, and answers to one message are adjacent.
+``chat`` is a message's text in the format; a conversation's text is its chats
+in order of position.
+
+Hot units: only hashes that some quote asks for are kept. Anywhere, a hash is
+reduced to its two smallest places in different conversations before the
+shuffle; inside conversations the latest earlier message is a running maximum
+over distinct turns, in blocks. The turn before is an equi-join on turn - 1;
+only turns at gaps are ordered in a window.
 
 Defined results: null texts are empty; rows with a null conversation or turn
-have no reply and aren't found as originals. Repeated rows each give a row. An
+have no reply and aren't found as originals; without a conversation the
+position is null. Repeated rows each give a row. An
 empty table gives an empty result. Extra columns don't matter.
 """
 
@@ -35,6 +40,8 @@ from . import base
 
 QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$")
 UNIT = pa.struct([("level", pa.int32()), ("nth", pa.int32()), ("run", pa.binary()), ("line", pa.binary())])
+#: Turns of a conversation in one window of the running maximum.
+BLOCK = 4096
 PARSED = "body string, units array<binary>, quotes array<struct<level:int,nth:int,run:binary,line:binary>>"
 
 
@@ -58,6 +65,7 @@ def levels(text: str) -> list[tuple[int, str]]:
 
 
 def _parse(batches):
+    base.cached()
     for batch in batches:
         bodies, units, quotes = [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
@@ -71,8 +79,37 @@ def _parse(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies), pa.array(units, pa.list_(pa.binary())), pa.array(quotes, pa.list_(UNIT))], names=["rid", "conv_id", "turn", "role", "body", "units", "quotes"])
 
 
+def latest_before(originals: DataFrame, asked: DataFrame) -> DataFrame:
+    """(conv_id, h, turn, t): for every asked (conv_id, h, turn) the latest turn
+    before it that says h in the same conversation.
+
+    A running maximum over both sides in turn order, first inside blocks of
+    ``BLOCK`` turns, then over the last turns of the blocks: no pairs, and no
+    window holds a whole long thread."""
+    says = originals.select("conv_id", "h", "turn", F.col("turn").alias("said"), F.lit(False).alias("asks"))
+    wants = asked.select("conv_id", "h", "turn", F.lit(None).cast(says.schema["said"].dataType).alias("said"), F.lit(True).alias("asks"))
+    both = says.unionByName(wants).groupBy("conv_id", "h", "turn").agg(F.max("said").alias("said"), F.max("asks").alias("asks"))
+    both = both.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    inside = Window.partitionBy("conv_id", "h", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("conv_id", "h", "block").agg(F.max("said").alias("end"))
+    earlier = Window.partitionBy("conv_id", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("carried", F.max("end").over(earlier)).filter("carried IS NOT NULL").drop("end")
+    near = both.withColumn("near", F.max("said").over(inside)).filter("asks")
+    return near.join(ends, ["conv_id", "h", "block"], "left").select("conv_id", "h", "turn", F.coalesce("near", "carried").alias("t")).filter("t IS NOT NULL")
+
+
+def elsewhere(originals: DataFrame) -> DataFrame:
+    """(h, one, two): the smallest (conv_id, turn) that says h, and the smallest
+    in another conversation. The limit of two is applied before the shuffle too."""
+    per = originals.groupBy("h", "conv_id").agg(F.min("turn").alias("turn"))
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("conv_id", "turn"))
+    place = F.struct("conv_id", "turn")
+    return per.withColumn("nth", nth).filter("nth <= 2").groupBy("h").agg(F.min(place).alias("one"), F.max(place).alias("two"))
+
+
 def link_quotes(table: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (no quotes), reply_turn, quoted_conv, quoted_turn, n_quotes, n_linked, chat."""
+    """conv_id, turn, role, text (no quotes), reply_turn, position, quoted_conv,
+    quoted_turn, n_quotes, n_linked, chat."""
     spark = table.sparkSession
     scratch = base.Scratch(spark, "quotes")
     types = {f.name: f.dataType.simpleString() for f in table.schema}
@@ -80,15 +117,19 @@ def link_quotes(table: DataFrame) -> DataFrame:
     parsed = scratch.table(rows.mapInArrow(_parse, f"rid long, conv_id {types['conv_id']}, turn {types['turn']}, role {types['role']}, {PARSED}"))
 
     placed = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    originals = placed.select(F.explode("units").alias("h"), "conv_id", "turn")
     quotes = parsed.select("rid", "conv_id", "turn", F.explode("quotes").alias("q")).select("rid", "conv_id", "turn", "q.*")
     asked = quotes.select("rid", "conv_id", "turn", "level", "nth", F.explode(F.array(F.struct(F.lit(0).alias("by"), F.col("run").alias("h")), F.struct(F.lit(1).alias("by"), F.col("line").alias("h")))).alias("x")).select("rid", "conv_id", "turn", "level", "nth", "x.by", "x.h")
     asked = scratch.table(asked)
-    first = originals.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
-    anywhere = asked.join(first, "h").filter("at.conv_id <> conv_id OR at.turn < turn OR turn IS NULL OR conv_id IS NULL")
-    here = asked.alias("a").join(originals.distinct().withColumnRenamed("turn", "t"), ["conv_id", "h"]).filter("t < turn")
-    here = here.groupBy("rid", "level", "nth", "by").agg(F.max("t").alias("t"))
-    found = anywhere.select("rid", "level", "nth", "by", "at").join(here, ["rid", "level", "nth", "by"], "full")
+    # only what is asked for travels further
+    wanted = base.small(scratch.table(asked.select("h").distinct()))
+    originals = scratch.table(placed.select(F.explode("units").alias("h"), "conv_id", "turn").join(wanted, "h", "left_semi"))
+
+    one, two = F.col("one"), F.col("two")
+    own = lambda place: place.conv_id == F.col("conv_id")
+    place = F.when(F.col("conv_id").isNull() | F.col("turn").isNull() | ~own(one), one).when(~own(two), two)
+    anywhere = asked.join(elsewhere(originals), "h").withColumn("at", place).filter("at IS NOT NULL").select("rid", "level", "nth", "by", "at")
+    here = asked.join(latest_before(originals, asked.filter("conv_id IS NOT NULL AND turn IS NOT NULL")), ["conv_id", "h", "turn"])
+    found = anywhere.join(here.select("rid", "level", "nth", "by", "t"), ["rid", "level", "nth", "by"], "full")
     # one place per quote (the run before the line, the own conversation first), then the outermost first quote of a message
     best = found.groupBy("rid", "level", "nth").agg(F.min_by("t", "by").alias("t"), F.min_by("at", "by").alias("at"))
     order = F.struct(F.col("t").isNull(), F.col("level"), F.col("nth"))
@@ -104,11 +145,28 @@ def link_quotes(table: DataFrame) -> DataFrame:
 
     out = parsed.join(links, "rid", "left").join(before, ["conv_id", "turn"], "left")
     chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("body"), F.lit("\n"))
-    return out.select(
-        "conv_id", "turn", "role", F.col("body").alias("text"), F.coalesce("t", "before").alias("reply_turn"),
+    out = out.select(
+        "rid", "conv_id", "turn", "role", F.col("body").alias("text"), F.coalesce("t", "before").alias("reply_turn"),
         F.when(F.col("t").isNotNull(), F.col("conv_id")).otherwise(F.col("at.conv_id")).alias("quoted_conv"), F.coalesce("t", "at.turn").alias("quoted_turn"),
         F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), chat.alias("chat"),
     )
+    return reply_order(out, scratch)
+
+
+def reply_order(linked: DataFrame, scratch: base.Scratch) -> DataFrame:
+    """``linked`` with each message's position (from 0) in its conversation's
+    reply order, in the order of the rows: one range exchange, then the rows of
+    a conversation are numbered across the partitions that hold them."""
+    keys = ["conv_id", "reply_turn", "turn", "rid"]
+    parts = int(linked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = linked.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ordered = scratch.table(ordered.withColumns({"pid": F.spark_partition_id(), "mid": F.monotonically_increasing_id()}))
+    held = ordered.groupBy("conv_id", "pid").agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(F.col("conv_id").alias("c"), F.col("pid").alias("p"), (before - F.col("first")).alias("shift"))
+    placed = ordered.join(held, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pid") == F.col("p")))
+    position = F.when(F.col("conv_id").isNotNull(), F.col("mid") + F.col("shift"))
+    return placed.select("conv_id", "turn", "role", "text", "reply_turn", position.alias("position"), "quoted_conv", "quoted_turn", "n_quotes", "n_linked", "chat")
 
 
 def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
