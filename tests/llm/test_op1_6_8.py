@@ -58,6 +58,11 @@ def test_sharding(spark, tmp_path):
     total, longest = sum(size.values()), max(r.size for r in got)
     rest = (total - longest) / 15
     assert all(abs(size[s] - rest) <= 0.02 * rest for s in range(16) if size[s] != longest)
+    # in a shard rows lie by size class, so that one rule holds for all sizes
+    for k in range(16):
+        mine = [r.size for r in sorted((r for r in got if r.shard == k), key=lambda r: r.slot)]
+        classes = [0 if s < 2 else -(-s.bit_length() // 2) for s in mine]
+        assert classes == sorted(classes, reverse=True)
     sharding.write_shards(spark.read.parquet(f"{sf}/documents.parquet"), f"{sf}/out")
     back = spark.read.parquet(f"{sf}/out")
     assert back.count() == len(rows) and {"shard", "slot", "_k1"} <= set(back.columns)
@@ -65,6 +70,31 @@ def test_sharding(spark, tmp_path):
     assert sharding.op6_sharding(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_shard_on_clashing_columns(spark):
+    names = "shard int, Slot string, _before long, _place long, _n int, _a int, _b int, _k1 long, _pid int, _mid long, _row long, _kind int, id long"
+    rows = spark.createDataFrame([(*[None] * 12, i) for i in range(50)], names)
+    from pyspark.sql import functions as F
+
+    out = sharding.shard(rows, F.col("id"), F.col("id"), F.lit(10), 4)
+    assert out.columns == ["_before", "_place", "_n", "_a", "_b", "_k1", "_pid", "_mid", "_row", "_kind", "id", "shard", "slot"]
+    got = out.collect()
+    assert sorted(r.id for r in got) == list(range(50)) and max(Counter(r.shard for r in got).values()) == 13
+
+
+def test_splitters_against_sorted_rows(spark):
+    """Boundaries are the best of all row borders, by brute force over the sorted keys."""
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(1 << 60)), int(rng.integers(1 << 60)), int(rng.integers(1, 500))) for _ in range(3000)] + [(7 << 40, int(rng.integers(1 << 60)), 300) for _ in range(1500)]
+    table = spark.createDataFrame(rows, "k1 long, k2 long, size long").cache()
+    total = sum(r[2] for r in rows)
+    targets = [total * i / 9 for i in range(1, 9)]
+    bounds, below = sharding.splitters(table, targets, 0.0)
+    edges = np.concatenate(([0], np.cumsum([s for *_, s in sorted(rows)])))
+    for t, b, got in zip(targets, bounds, below, strict=True):
+        assert got == sum(s for *k, s in rows if tuple(k) < b)
+        assert abs(got - t) == np.abs(edges - t).min()
+
+
 def test_room_levels_the_shards():
     assert sharding.room([5, 0, 1], 4) == [0.0, 2.5, 1.5]
     assert sharding.room([0, 0], 4) == [2.0, 2.0] and sharding.room([9, 1], 0) == [0.0, 0.0]
