@@ -104,6 +104,7 @@ def search(table: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "e
     total = stats[0]["n"]
 
     def order(batches):
+        base.cached()
         made = [curve(i, width, dims) for i in range(curves)]
         for b in batches:
             v = (_matrix(b.column(1)) - mean) / spread
@@ -116,6 +117,7 @@ def search(table: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "e
     def local(batches):
         from pyspark import TaskContext
 
+        base.cached()
         pid, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             which = b.column(0).to_numpy()

@@ -347,13 +347,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component; rows with an empty set or without an id stay."""
+    """``docs`` with the rows of the smallest id of each component; rows with an
+    empty set or without an id stay. Rows are told apart by id and text, so a
+    row whose id names another text too is judged by its own text: of a
+    component it stays only if its id is the component's."""
     scratch = base.Scratch(docs.sparkSession, "near")
-    said = ngram_join(docs, id_col, text_col, n, percent).filter("n_shingles > 0 AND component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)")
-    gone = base.small(scratch.table(said.filter("doc_id IS NOT NULL").select("doc_id").distinct()))
-    i = base.fresh_name(docs, "_i")
-    gone = gone.withColumnRenamed("doc_id", i)
-    return docs.join(gone, docs[id_col] == gone[i], "left_anti")
+    said = ngram_join(docs, id_col, text_col, n, percent).filter("n_shingles > 0 AND component_id IS NOT NULL AND doc_id <> component_id")
+    i, h = base.fresh_name(docs, "_i"), base.fresh_name(docs, "_h")
+    gone = base.small(scratch.table(said.select(F.col("doc_id").alias(i), F.col("carrier").alias(h)).distinct()))
+    carrier = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, (docs[id_col] == gone[i]) & (carrier == gone[h]), "left_anti")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     k = docs.columns.index(text_col)
 
     def run(batches):
+        base.cached()
         for batch in batches:
             new = []
             for t in batch.column(k).to_pylist():

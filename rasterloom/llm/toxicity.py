@@ -59,6 +59,7 @@ def choose_words(sample: DataFrame, n_categories: int, words: int = WORDS) -> li
     """The features with the largest chi-squared against each category."""
 
     def count(batches):
+        base.cached()
         seen: dict[bytes, list[int]] = {}
         for b in batches:
             for text, *y in zip(b["text"].cast(pa.binary()).to_pylist(), *[b[f"y{i}"].to_pylist() for i in range(n_categories)], strict=True):
@@ -165,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     vocabulary = choose_words(sample, n)
 
     def rows(batches):
+        base.cached()
         matrix = Matrix(vocabulary)
         for b in batches:
             found = [sorted(matrix.row(t)) for t in b["text"].cast(pa.binary()).to_pylist()]

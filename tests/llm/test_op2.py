@@ -76,6 +76,14 @@ def test_drop_near_copies(spark):
     assert sorted(r.doc_id for r in left.collect()) == [10, 99, 100]
 
 
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    rng = random.Random(5)
+    a = words(rng, 60, 10**6)
+    rows = [(1, a, None, None, None, None, None), (2, a + " x", None, None, None, None, None), (2, words(rng, 60, 10**6), None, None, None, None, None)]
+    left = ngram_join.drop_near_copies(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(1, a), rows[2][:2]])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
