@@ -13,7 +13,7 @@ piece. Nothing is shuffled but the partition totals.
 
 Tokens are looked up by word: the tokenizer drops white space, so a text's ids
 are those of its white-space separated chunks, and most chunks recur. The
-cache of a worker is bounded (``CACHE`` chunks of at most 64 bytes).
+cache of a worker is bounded: ``CACHE`` chunks of at most 64 bytes, under 100 MB.
 
 Defined results: a null or empty text is one separator. Null and repeated ids
 are packed like others, one document per row. Very long texts are cut like
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 900_000, 128
+LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 600_000, 128
 
 
 def tokenizer_path() -> str:
