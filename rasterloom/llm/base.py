@@ -91,10 +91,15 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            where = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(self.spark, *(t._scratch_path for t in tables))
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove folders of the shared store, if there."""
+    sc = spark.sparkContext
+    for path in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:

@@ -12,13 +12,21 @@ with one anchor: about one per six words. Equal windows have equal anchors, so
 * only where an anchor has several different segments their first occurrences
   are opened and compared window by window.
 
-The index holds sorted, bucketed, immutable runs of segments (anchor hash,
-segment hash, document, position). ``add`` takes the next batch, whose ids must
-be larger than those before: it writes the batch as a new run, merge-joins it
-with the earlier runs (bucketed on the anchor, so nothing is shuffled), opens
-what shares an anchor, verifies windows by a second independent 64-bit hash and
-returns the word ranges to remove. ``FANOUT`` runs are compacted to one, which
-keeps the first occurrence of each segment.
+Verification. The anchor hash only brings rows together; a clash of it opens
+more segments and changes nothing. What is removed is decided by the 128-bit
+BLAKE2b digest of the very words (one space between them) of a segment or an
+opened window, so the earlier and the later words are equal.
+
+The index holds bucketed, sorted, immutable runs of segments (anchor hash,
+digest, document, position). ``add`` takes the next batch, whose ids have to be
+larger than all before: it writes the batch as a new run, merge-joins it with
+the earlier runs (bucketed on the anchor, so nothing is shuffled), opens what
+shares an anchor and returns the word ranges to remove. ``FANOUT`` runs of one
+level are compacted to one of the next, which keeps the first occurrence of
+each segment; that too is a merge of buckets without a shuffle. A manifest in
+the index's folder names the runs: ``FingerprintIndex.open`` goes on in another
+session. Earlier documents are read again (one column scan a batch), but only
+words of those that share a newly met anchor are hashed.
 
 Before the shuffle a task keeps the first occurrence of each segment it read
 and turns the others into word ranges, so a hot passage sends one row per task.
@@ -33,6 +41,7 @@ result. Extra columns don't matter.
 from __future__ import annotations
 
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,29 +50,42 @@ from pyspark.sql import functions as F
 
 from . import base, grams
 
-WINDOW, ANCHOR, FANOUT, BATCHES = 20, 10, 4, 2
+#: The registered query adds BATCHES batches and compacts FANOUT runs of a level.
+WINDOW, ANCHOR, FANOUT, BATCHES = 20, 10, 2, 3
 CHUNK, FLUSH = 256, 1_000_000
-SEGMENT_BASE, WINDOW_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-SEGMENTS = "h long, g long, doc long, at long"
+SEGMENT = ("h", "g", "k")
+COLUMNS = "h long, g long, k long, doc long, at long"
 
 
-def _spans_of(words: np.ndarray, at: np.ndarray, end: np.ndarray, base_: int) -> np.ndarray:
-    """Hashes of word ranges [at, end) with a base of their own, mixed with their length."""
-    sums = np.zeros(len(words) + 1, grams.U)
-    np.cumsum(words * grams.powers(base_, len(words)), out=sums[1:])
-    return grams.mix((sums[end] - sums[at]) * grams.powers(grams.inverse(base_), max(len(words), 1))[np.minimum(at, max(len(words) - 1, 0))] + (end - at).astype(grams.U))
+def plain_words(text: bytes | None) -> bytes:
+    """The text's words with one space between them."""
+    return b" ".join((text or b"").split())
 
 
-def segments(texts: list[bytes], window: int = WINDOW, anchor: int = ANCHOR):
-    """(text number, first window, number of windows, anchor hash, segment hash) of all segments, as arrays."""
-    words, counts = grams.word_hashes(texts)
+def digests(bodies: list[bytes], text: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests (n, 2) of the words [at, end) of the bodies numbered ``text`` (ascending)."""
+    out = []
+    bounds = np.searchsorted(text, np.arange(len(bodies) + 1))
+    for i, (lo, hi) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+        if lo < hi:
+            body = bodies[i]
+            gap = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
+            a = np.concatenate(([0], gap + 1))[at[lo:hi]].tolist()
+            b = np.append(gap, len(body))[end[lo:hi] - 1].tolist()
+            out += [blake2b(body[x:y], digest_size=16).digest() for x, y in zip(a, b, strict=True)]
+    return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+
+
+def segments(bodies: list[bytes], window: int = WINDOW, anchor: int = ANCHOR):
+    """(text number, first window, number of windows, anchor hash, digest) of all segments, as arrays."""
+    words, counts = grams.word_hashes(bodies)
     ends = np.cumsum(counts)
     width = window - anchor + 1
-    text = np.repeat(np.arange(len(texts)), counts)
+    text = np.repeat(np.arange(len(bodies)), counts)
     n = len(words) - window + 1
     if n <= 0:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty.astype(grams.U), empty.astype(grams.U)
+        return empty, empty, empty, empty.astype(grams.U), empty.reshape(0, 2)
     hashes = grams.gram_hashes(words, anchor)
     least = np.arange(n) + np.lib.stride_tricks.sliding_window_view(hashes, width)[:n].argmin(axis=1)
     whole = np.arange(n) + window <= ends[text[:n]]  # the window lies in one text
@@ -73,9 +95,8 @@ def segments(texts: list[bytes], window: int = WINDOW, anchor: int = ANCHOR):
     last = last[np.searchsorted(last, first, "right")]
     # windows beyond the text's end follow its last whole one and start a new run only at the next text
     size = np.minimum(last, np.maximum(ends[text[first]] - window + 1, first + 1)) - first
-    g = _spans_of(words, first, first + size + window - 1, SEGMENT_BASE)
-    begin = (ends - counts)[text[first]]
-    return text[first], first - begin, size, hashes[least[first]], g
+    start = first - (ends - counts)[text[first]]
+    return text[first], start, size, hashes[least[first]], digests(bodies, text[first], start, start + size + window - 1)
 
 
 def merge_ranges(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,18 +114,22 @@ def merge_ranges(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     return doc[start], a[start], reach[stop] - rank[stop] * span
 
 
+def _batch(columns, names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+
+
 def _emit_segments(window: int, anchor: int):
     """mapInArrow: first occurrences of segments in the task, and the ranges of the others (g: end, no windows)."""
 
     def flush(parts):
-        doc, start, size, h, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((start, doc, g, h))
+        doc, start, size, h, g, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((start, doc, k, g))
         same = np.zeros(len(order), bool)
-        same[1:] = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
+        same[1:] = (g[order][1:] == g[order][:-1]) & (k[order][1:] == k[order][:-1])
         keep, again = order[~same], order[same]
-        yield h[keep].view(np.int64), g[keep].view(np.int64), doc[keep], start[keep] << 8 | size[keep]
+        yield h[keep].view(np.int64), g[keep], k[keep], doc[keep], start[keep] << 8 | size[keep]
         d, a, b = merge_ranges(doc[again], start[again], start[again] + size[again] + window - 1)
-        yield grams.mix(d.astype(grams.U)).view(np.int64), b, d, a << 8
+        yield grams.mix(d.astype(grams.U)).view(np.int64), b, np.zeros(len(d), np.int64), d, a << 8
 
     def run(batches):
         base.cached()
@@ -113,43 +138,43 @@ def _emit_segments(window: int, anchor: int):
             for lo in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(lo, CHUNK)
                 ids = part.column(0).to_numpy()
-                text, start, size, h, g = segments([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], window, anchor)
-                parts.append((ids[text], start, size, h, g))
+                text, start, size, h, g = segments([plain_words(t) for t in part.column(1).cast(pa.binary()).to_pylist()], window, anchor)
+                parts.append((ids[text], start, size, h, g[:, 0], g[:, 1]))
                 held += len(text)
                 if held > FLUSH:
-                    yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h", "g", "doc", "at"]) for out in flush(parts))
+                    yield from (_batch(out, (*SEGMENT, "doc", "at")) for out in flush(parts))
                     parts, held = [], 0
         if held:
-            yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h", "g", "doc", "at"]) for out in flush(parts))
+            yield from (_batch(out, (*SEGMENT, "doc", "at")) for out in flush(parts))
 
     return run
 
 
 def _emit_windows(window: int):
-    """mapInArrow over (doc, text, opened): two hashes of every window of the opened segments."""
+    """mapInArrow over (doc, text, opened): the digest of every window of the opened segments."""
 
     def run(batches):
+        base.cached()
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(lo, CHUNK)
-                words, counts = grams.word_hashes([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
-                begin = np.cumsum(counts) - counts
+                bodies = [plain_words(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 opened = part.column(2)
                 flat = np.asarray(opened.flatten(), np.int64)
                 row = np.repeat(np.arange(part.num_rows), np.asarray(opened.value_lengths(), np.int64))
                 size = flat & 255
                 row = np.repeat(row, size)
                 start = np.repeat(flat >> 8, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                at = begin[row] + start
-                one, two = _spans_of(words, at, at + window, grams.WORD_BASE), _spans_of(words, at, at + window, WINDOW_BASE)
+                found = digests(bodies, row, start, start + window)
+                one, two = found[:, 0].copy(), found[:, 1]
                 ids = part.column(0).to_numpy()[row]
                 order = np.lexsort((start, ids, two, one))
                 one, two, ids, start = one[order], two[order], ids[order], start[order]
                 late = np.zeros(len(one), bool)
                 late[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
                 # later ones of these documents are known; they needn't meet under the window's key
-                one[late] = grams.mix(ids[late].astype(grams.U) + start[late].astype(grams.U))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids), pa.array(start), pa.array(late)], names=["w1", "w2", "doc", "start", "late"])
+                one[late] = grams.mix(ids[late].astype(grams.U) + start[late].astype(grams.U)).view(np.int64)
+                yield _batch((one, two, ids, start, late), ("w1", "w2", "doc", "start", "late"))
 
     return run
 
@@ -172,103 +197,146 @@ def bounded(df: DataFrame, arrays: str, rows: int = base.BROADCAST_ROWS) -> Data
 
 
 class FingerprintIndex:
-    """Runs of segments of all documents added so far. ``scratch`` holds them."""
+    """Runs of segments of all documents added so far, in the folder ``root``.
 
-    def __init__(self, spark: SparkSession, scratch: base.Scratch, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT):
+    ``documents`` holds what was added: rows of (doc, text). The runs are
+    catalog tables over that folder; ``open`` declares them again."""
+
+    def __init__(self, spark: SparkSession, root: str, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT):
         if not 0 < anchor <= window <= 127:
             raise ValueError("needs 0 < anchor <= window <= 127")
-        self.spark, self.scratch, self.window, self.anchor, self.fanout = spark, scratch, window, anchor, fanout
+        if fanout < 2:
+            raise ValueError("needs a fanout of 2 at least")
+        self.spark, self.root, self.window, self.anchor, self.fanout = base.ready(spark), root, window, anchor, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
+        self.runs: list[tuple[int, str]] = []  # (level, table), the earliest documents first
         self.documents: list[DataFrame] = []
-        self.size = 0  # documents so far
+        self.size, self.version, self.compactions = 0, 0, 0
         self.last: int | None = None  # the largest document so far
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, documents: DataFrame) -> FingerprintIndex:
+        """The index last saved in ``root``; ``documents`` are all (doc, text) it was given."""
+        said = spark.read.schema(cls.MANIFEST).json(f"{root}/manifest/*").orderBy(F.desc("version")).first()
+        index = cls(spark, root, said["window"], said["anchor"], said["fanout"])
+        index.buckets, index.size, index.version, index.last = said["buckets"], said["size"], said["version"], said["last"]
+        index.documents = [documents.select("doc", "text").filter(F.col("doc") <= said["last"])] if said["last"] is not None else []
+        for level, name in (r.split(":") for r in said["runs"]):
+            keys = ", ".join(SEGMENT)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS}) USING parquet CLUSTERED BY (h) SORTED BY ({keys}) INTO {index.buckets} BUCKETS LOCATION '{index._path(name)}'")
+            index.runs.append((int(level), name))
+        return index
+
+    MANIFEST = "version long, window int, anchor int, fanout int, buckets int, size long, last long, runs array<string>"
+
+    def _save(self) -> None:
+        """The manifest of the next version; the one before is left until then."""
+        self.version += 1
+        row = (self.version, self.window, self.anchor, self.fanout, self.buckets, self.size, self.last, [f"{level}:{name}" for level, name in self.runs])
+        self.spark.createDataFrame([row], self.MANIFEST).coalesce(1).write.json(f"{self.root}/manifest/{self.version}")
+
+    def _path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
     def _write(self, rows: DataFrame) -> str:
+        """``rows``, whose tasks hold whole buckets, as a run."""
         name = f"run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h").sortWithinPartitions("h", "g").write.bucketBy(self.buckets, "h").sortBy("h", "g").format("parquet").option("path", self.scratch.path()).saveAsTable(name)
+        rows.select(*SEGMENT, "doc", "at").write.bucketBy(self.buckets, "h").sortBy(*SEGMENT).format("parquet").option("path", self._path(name)).saveAsTable(name)
         return name
 
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        base.delete(self.spark, *map(self._path, names))
+
+    def _firsts(self, name: str) -> DataFrame:
+        """First occurrences of a run's segments; buckets stay as they are."""
+        held = self.spark.table(name).filter(F.col("at").bitwiseAND(255) > 0)
+        return held.groupBy(*SEGMENT).agg(F.min(F.struct("doc", "at")).alias("m")).select(*SEGMENT, "m.doc", "m.at")
+
     def compact(self) -> None:
-        """All runs as one: the first occurrence of each segment."""
-        if len(self.runs) < 2:
-            return
-        rows = self._history(self.runs)
-        merged = self._write(rows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("m")).select("h", "g", "m.doc", "m.at"))
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE {r}")
-        self.runs = [merged]
-
-    def _history(self, runs: list[str]) -> DataFrame:
-        out = self.spark.table(runs[0])
-        for r in runs[1:]:
-            out = out.unionByName(self.spark.table(r))
-        return out.filter(F.col("at").bitwiseAND(255) > 0)
+        """The latest runs of one level, if there are ``fanout``, as one of the
+        next: of each segment the occurrence in the earliest run."""
+        while len(self.runs) >= self.fanout and len({level for level, _ in self.runs[-self.fanout :]}) == 1:
+            level, names = self.runs[-1][0], [name for _, name in self.runs[-self.fanout :]]
+            merged = None
+            for i, name in enumerate(names):
+                part = self._firsts(name)
+                for earlier in names[:i]:
+                    part = part.join(self.spark.table(earlier).filter(F.col("at").bitwiseAND(255) > 0).select(*SEGMENT), list(SEGMENT), "left_anti")
+                merged = part if merged is None else merged.unionByName(part)
+            self.runs[-self.fanout :] = [(level + 1, self._write(merged))]
+            self.compactions += 1
+            self._save()
+            self._forget(names)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """doc, ranges (array of [from, to) word positions) to remove from ``docs``.
 
-        ``docs`` has doc (long, unique, above all before) and text."""
+        ``docs`` has doc (long, not null, unique, above all before) and text;
+        ids that aren't above those before raise ValueError."""
         window = self.window
-        n = docs.count()
-        name = self._write(docs.mapInArrow(_emit_segments(window, self.anchor), SEGMENTS))
+        scratch = base.Scratch(self.spark, "passages")
+        n, low, top = docs.agg(F.count(F.lit(1)), F.min("doc"), F.max("doc")).first()
+        if self.last is not None and low is not None and low <= self.last:
+            raise ValueError(f"documents have to come in order: {low} after {self.last}")
+        self.compact()
+        fresh = docs.mapInArrow(_emit_segments(window, self.anchor), COLUMNS)
+        name = self._write(fresh.repartition(self.buckets, "h"))
         batch = self.spark.table(name)
         size = F.col("at").bitwiseAND(255)
         start = F.shiftright("at", 8)
-        nth = F.row_number().over(Window.partitionBy("h", "g").orderBy("doc", "at"))
-        numbered = batch.filter(size > 0).withColumn("nth", nth)
-        if self.runs:
-            # one bucketed merge join per run; compaction keeps them few
-            for i, r in enumerate(self.runs):
-                old = self.spark.table(r).filter(size > 0).groupBy("h", "g").agg(F.min("doc").alias(f"old{i}"))
-                numbered = numbered.join(old, ["h", "g"], "left")
-            known = F.coalesce(*[F.col(f"old{i}") for i in range(len(self.runs))]).isNotNull()
-        else:
-            known = F.lit(False)
-        numbered = numbered.select("h", "g", "doc", "at", "nth", known.alias("known"))
+        nth = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("doc", "at"))
+        numbered, known = batch.filter(size > 0).withColumn("nth", nth), F.lit(False)
+        for i, (_, r) in enumerate(self.runs):  # one bucketed merge join per run; compaction keeps them few
+            old = self._firsts(r).select(*SEGMENT, F.lit(True).alias(f"old{i}"))
+            numbered, known = numbered.join(old, list(SEGMENT), "left"), known | F.coalesce(f"old{i}", F.lit(False))
+        numbered = numbered.select(*SEGMENT, "doc", "at", "nth", known.alias("known"))
         again = numbered.filter("known OR nth > 1").select("doc", start.cast("int").alias("a"), (start + size + window - 1).cast("int").alias("b"))
         local = batch.filter(size == 0).select("doc", start.cast("int").alias("a"), F.col("g").cast("int").alias("b"))
 
         # Anchors with a new segment and at least one other.
         firsts = numbered.filter("nth = 1")
         per = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("all"), F.sum(F.when(F.col("known"), 0).otherwise(1)).alias("new")).filter("new > 0")
-        for i, r in enumerate(self.runs):
-            old = self.spark.table(r).filter(size > 0).groupBy("h").agg(F.count(F.lit(1)).alias(f"n{i}"))
-            per = per.join(old, "h", "left")
-        older = sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(len(self.runs))), F.lit(0))
+        older = F.lit(0)
+        for i, (_, r) in enumerate(self.runs):
+            old = self._firsts(r).groupBy("h").agg(F.count(F.lit(1)).alias(f"n{i}"))
+            per, older = per.join(old, "h", "left"), older + F.coalesce(f"n{i}", F.lit(0))
         # a segment both in the batch and in a run counts twice: only opens more
         shared = per.filter(F.col("all") + older > 1).select("h")
         opened = firsts.filter("NOT known").join(shared, "h", "left_semi").select("doc", "at")
-        for r in self.runs:
-            opened = opened.unionByName(self.spark.table(r).filter(size > 0).join(shared, "h", "left_semi").select("doc", "at"))
-        opened = self.scratch.table(opened.groupBy("doc").agg(F.collect_set("at").alias("opened")), rows=n + self.size, per_file=20_000)
-        self.documents.append(docs)
-        every = self.documents[0]
-        for d in self.documents[1:]:
+        for _, r in self.runs:
+            opened = opened.unionByName(self._firsts(r).join(shared, "h", "left_semi").select("doc", "at"))
+        opened = scratch.table(opened.groupBy("doc").agg(F.collect_set("at").alias("opened")), rows=n + self.size, per_file=20_000)
+        every = docs.select("doc", "text")
+        for d in self.documents:
             every = every.unionByName(d)
         windows = every.join(bounded(opened, "opened"), "doc").select("doc", "text", "opened").mapInArrow(_emit_windows(window), "w1 long, w2 long, doc long, start long, late boolean")
         order = F.row_number().over(Window.partitionBy("w1", "w2", "late").orderBy("doc", "start"))
         # opened segments of earlier documents are there to be first; their own ranges are long returned
         late = windows.withColumn("nth", order).filter("late OR nth > 1").filter(F.lit(True) if self.last is None else F.col("doc") > self.last).select("doc", F.col("start").cast("int").alias("a"), (F.col("start") + window).cast("int").alias("b"))
         gone = again.unionByName(local).unionByName(late)
-        ranges = self.scratch.table(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).mapInArrow(_join_ranges, "doc long, ranges array<struct<a:int,b:int>>"), rows=n, per_file=20_000)
-        self.size += n
-        top = docs.agg(F.max("doc")).first()[0]
-        self.last = self.last if top is None else top
-        self.runs.append(name)
-        if len(self.runs) >= self.fanout:
-            self.compact()
+        ranges = scratch.table(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).mapInArrow(_join_ranges, "doc long, ranges array<struct<a:int,b:int>>"), rows=n, per_file=20_000)
+        scratch.drop(opened)
+        self.documents.append(docs.select("doc", "text"))
+        self.size, self.last = self.size + n, self.last if top is None else top
+        self.runs.append((0, name))
+        self._save()
+        base.sweep(self.spark)  # the files of this batch's shuffles
         return ranges
 
-    def close(self) -> None:
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+    def drop(self) -> None:
+        """Delete the runs and the manifest."""
+        self._forget([name for _, name in self.runs])
+        base.delete(self.spark, self.root)
+        self.runs = []
 
 
 def _cut(window: int, id_type: str):
     """mapInArrow over (doc_id, text, copies, ranges): words kept, one row per copy."""
 
     def run(batches):
+        base.cached()
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(lo, CHUNK)
@@ -334,14 +402,14 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _ordered(docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), scratch)
     bounds = rows.select(F.percentile_approx("doc", [i / batches for i in range(1, batches)] or [0.5], 1000)).first()[0] or []
     edges = sorted(set(bounds)) if batches > 1 else []
-    index, found = FingerprintIndex(spark, scratch, window, anchor, fanout), None
+    index, found = FingerprintIndex(spark, scratch.path(), window, anchor, fanout), None
     for lo, hi in zip([None, *edges], [*edges, None], strict=True):
         part = rows.select("doc", "text")
         part = part.filter(F.col("doc") > lo) if lo is not None else part
         part = part.filter(F.col("doc") <= hi) if hi is not None else part
         ranges = index.add(part)
         found = ranges if found is None else found.unionByName(ranges)
-    index.close()
+    index.drop()
     id_type = docs.schema[id_col].dataType.simpleString()
     joined = rows.join(bounded(found, "ranges"), "doc", "left").select("doc_id", "text", "copies", "ranges")
     return joined.mapInArrow(_cut(window, id_type), f"doc_id {id_type}, n_words long, n_removed long, text string")
