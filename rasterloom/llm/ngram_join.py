@@ -11,20 +11,26 @@ Documents with equal n-gram sets form a class; classes are joined at Jaccard
    one class are set aside: no overlap contains them. A class with too few
    shared n-grams leaves.
 3. Classes that share an n-gram of their new prefixes are candidates. Connected
-   candidates are brought together, at most ``GROUP`` in a task.
+   candidates are brought together, at most about ``GROUP`` in a task.
 4. Prefix-tree join. A task stores the ordered sets of a group in a trie, so
    equal beginnings are stored and compared once. A probe walks the trie with
    its overlap so far; a subtree is left when the overlap so far and the
    remaining lengths can't reach the least overlap any of its sets needs, or
    when all of it is already linked to the probe.
-5. A larger candidate group is dealt out in blocks, each joined as above. Where
-   that leaves several components, the classes outside the largest one probe
-   all blocks of their group. This is exact: only classes already linked are
-   not compared.
+5. A larger candidate group is dealt out in blocks by the rarest n-gram of its
+   sets, each block joined as above. Where that leaves several components, a
+   class outside the largest one probes the other blocks that hold an n-gram of
+   its prefix at a length that may link. This is exact: only classes already
+   linked, or that can't link, are not compared.
+6. Every link found is verified on the words of the n-grams of both texts. If a
+   hash misled, all is done again under another seed.
 
 N-grams travel as packed arrays of 64-bit hashes, sorted by bucket in the
-task, so equal ones meet in one task per bucket with one record per class.
-The frequency filter uses 48 bits and can only keep too much.
+task, so equal ones meet in one task per bucket with one record per class; a
+bucket holds about ``BUCKET`` of them. N-grams of over ``HOT`` classes (which
+can only be where there are so many) are found by counting first; they don't
+travel to meet, but come last in the global order. The frequency filter uses 48
+bits and can only keep too much. Classes are keyed by 128 bits per n-gram.
 
 Defined results: null and white-space texts have an empty set and link with
 nothing; texts of fewer words than n have one n-gram, the whole sequence.
@@ -45,6 +51,10 @@ from pyspark.sql import functions as F
 from . import base, grams, graph
 
 N, PERCENT, GROUP, CHUNK = 5, 75, 1500, 256
+#: N-grams in a bucket, classes that make an n-gram hot, n-grams a task counts at once.
+BUCKET, HOT, COUNTED = 4_000_000, 1_000_000, 2_000_000
+#: Times the hashes may mislead before it is an error.
+SEEDS = 5
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -60,12 +70,12 @@ def _texts(batch: pa.RecordBatch, k: int, step: int = CHUNK):
 
 
 def _pack(buckets: np.ndarray, n_buckets: int, *columns: np.ndarray):
-    """Records dealt to buckets: yields (bucket, bytes of each column's rows)."""
+    """Records dealt to buckets: yields (bucket, each column's rows)."""
     order = np.argsort(buckets, kind="stable")
     ends = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
     columns = [c[order] for c in columns]
     for b in np.flatnonzero(np.diff(ends)):
-        yield int(b), [c[ends[b] : ends[b + 1]].tobytes() for c in columns]
+        yield int(b), [c[ends[b] : ends[b + 1]] for c in columns]
 
 
 def _six(x: np.ndarray) -> np.ndarray:
@@ -100,64 +110,110 @@ def _runs(token: np.ndarray) -> np.ndarray:
     return np.repeat(size, size)
 
 
-def classes_of(docs: DataFrame, n: int, scratch: base.Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, carrier, n_shingles, cid; classes with their carrier row)."""
+def classes_of(docs: DataFrame, n: int, scratch: base.Scratch, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, carrier, n_shingles, set_key, clash; classes with their carrier row)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches):
         for batch in batches:
             for part, texts in _texts(batch, 2):
-                found = list(grams.shingle_sets(texts, n))
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "carrier", "n_shingles", "set_key"])
-
-    rows = scratch.table(docs.mapInArrow(sets, f"doc_id {id_type}, carrier long, n_shingles long, set_key binary"))
+                size, keys, clash = [], [], []
+                for a, b in grams.shingle_pairs(texts, n, seed):
+                    size.append(len(a))
+                    keys.append(hashlib.blake2b(a.tobytes() + b.tobytes(), digest_size=16).digest() if len(a) else None)
+                    clash.append(bool((a[1:] == a[:-1]).any()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(clash, pa.bool_())], names=["doc_id", "carrier", "n_shingles", "set_key", "clash"])
+
+    rows = scratch.table(docs.mapInArrow(sets, f"doc_id {id_type}, carrier long, n_shingles long, set_key binary, clash boolean"))
     carrier = F.min(F.struct("doc_id", "carrier", "copies")).alias("row")
-    repeats = rows.filter("set_key IS NOT NULL").groupBy("set_key", "doc_id", "carrier").agg(F.count(F.lit(1)).alias("copies"))
-    grouped = repeats.groupBy("set_key").agg(F.min("doc_id").alias("least"), carrier)
-    named = grouped.select("set_key", "least", "row.doc_id", "row.carrier", "row.copies", F.monotonically_increasing_id().alias("cid"))
+    repeats = rows.filter("set_key IS NOT NULL").groupBy("set_key", "doc_id", "carrier").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"))
+    grouped = repeats.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), carrier)
+    named = grouped.select("set_key", "least", "n", "row.doc_id", "row.carrier", "row.copies", F.monotonically_increasing_id().alias("cid"))
     return rows, scratch.table(named, rows=rows.count())
 
 
-def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch: base.Scratch, group: int = GROUP) -> DataFrame:
-    """(node, label) of linked classes; ``texts`` has cid and text."""
+def hot_grams(texts: DataFrame, n: int, seed: int, least: int, scratch: base.Scratch) -> np.ndarray:
+    """The n-gram hashes that may have over ``least`` holders, at most about
+    total / least. A task counts ``COUNTED`` n-grams at a time and reports those
+    with a share of them that such an n-gram has somewhere."""
+
+    def count(batches):
+        held, size = [], 0
+
+        def report():
+            token, k = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token[k > 1].view("<i8")), pa.array(k[k > 1])], names=["token", "k"])
+
+        for batch in batches:
+            for _, bodies in _texts(batch, 1):
+                held += grams.shingle_sets(bodies, n, seed)
+                size += sum(map(len, held[-len(bodies) :]))
+                if size > COUNTED:
+                    yield report()
+                    held, size = [], 0
+        if held:
+            yield report()
+
+    counted = texts.mapInArrow(count, "token long, k long").groupBy("token").agg(F.sum("k").alias("k"))
+    # n-grams met once by a task at a time aren't reported; half the bound leaves room for them
+    found = scratch.table(counted.filter(F.col("k") > least // 2).select("token"))
+    return np.sort(np.array([r[0] for r in found.collect()], "<i8").view("<u8"))  # at most 2 n-grams / least rows
+
+
+def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch: base.Scratch, group: int = GROUP, seed: int = 0, n_grams: int = 0, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """((node, label) of linked classes, the links); ``texts`` has cid and text."""
     spark = texts.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_grams // BUCKET))
+    # an n-gram has one holder per class, so fewer classes have no hot one; the bound keeps the list small
+    hot = max(hot, n_grams // 100_000)
+    common = hot_grams(texts, n, seed, hot, scratch) if n_classes > hot else np.zeros(0, "<u8")
+    shipped = spark.sparkContext.broadcast(common)  # at most 200,000 numbers
 
     def emit(prefix_only: bool):
         def run(batches):
+            known = shipped.value
             for batch in batches:
                 for part, bodies in _texts(batch, 1):
-                    sets = list(grams.shingle_sets(bodies, n))
+                    sets = list(grams.shingle_sets(bodies, n, seed))
                     if prefix_only:
                         sets = [s[: len(s) - least_shared(len(s), percent) + 1] for s in sets]
                     token = np.concatenate(sets)
-                    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets]).astype("<u2")
-                    cids = np.asarray(part.column(0), "<i8").tobytes()
-                    out = list(_pack((token % np.uint64(n_buckets)).astype(np.int32), n_buckets, _six(token) if prefix_only else token.astype("<u8"), which))
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x[0] for _, x in out], pa.binary()), pa.array([x[1] for _, x in out], pa.binary()), pa.array([cids] * len(out), pa.binary())], names=["bucket", "tokens", "which", "cids"])
+                    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                    cids = np.asarray(part.column(0), "<i8")
+                    bucket = (token % np.uint64(n_buckets)).astype(np.int64)
+                    if len(known):  # hot n-grams go to buckets of their own, by class
+                        isin = np.isin(token, known)
+                        bucket[isin] = n_buckets + cids[which[isin]] % n_buckets
+                    out = {"bucket": [], "tokens": [], "which": [], "cids": []}
+                    for b, (t, w) in _pack(bucket, 2 * n_buckets, _six(token) if prefix_only else token.astype("<u8"), which):
+                        used, place = np.unique(w, return_inverse=True)
+                        for name, value in zip(out, (b, t.tobytes(), place.astype("<u2").tobytes(), cids[used].tobytes()), strict=True):
+                            out[name].append(value)
+                    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("tokens", "which", "cids")]], names=list(out))
 
         return run
 
     def sharing(table: pa.Table) -> pa.Table:
         token, cid = _gather(table, six=True)
-        return pa.table({"cid": np.unique(cid[_runs(token) > 1])})
+        if table["bucket"][0].as_py() < n_buckets:
+            cid = cid[_runs(token) > 1]
+        return pa.table({"cid": np.unique(cid)})
 
     first = texts.mapInArrow(emit(True), PACKED).groupBy("bucket").applyInArrow(sharing, "cid long")
     active = scratch.table(first.distinct(), rows=n_classes, per_file=5_000)  # up to a row per class and bucket comes in
 
     def frequencies(table: pa.Table) -> pa.Table:
         token, cid = _gather(table, six=False)
-        df = _runs(token)
+        df = _runs(token) if table["bucket"][0].as_py() < n_buckets else np.full(len(token), 2**31 - 1)
         shared = df > 1
         token, cid, df = token[shared], cid[shared], df[shared]
         out = list(_pack((cid % n_buckets).astype(np.int32), n_buckets, token, df.astype("<i4"), cid.astype("<i8")))
-        return pa.table({"chunk": pa.array([b for b, _ in out], pa.int32()), **{k: pa.array([x[i] for _, x in out], pa.binary()) for i, k in enumerate(("tokens", "dfs", "cids"))}})
+        return pa.table({"chunk": pa.array([b for b, _ in out], pa.int32()), **{k: pa.array([x[i].tobytes() for _, x in out], pa.binary()) for i, k in enumerate(("tokens", "dfs", "cids"))}})
 
     def sizes(batches):
         for batch in batches:
             for part, bodies in _texts(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in grams.shingle_sets(bodies, n)], pa.int32())], names=["cid", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in grams.shingle_sets(bodies, n, seed)], pa.int32())], names=["cid", "n"])
 
     some = texts.join(base.small(active), "cid", "left_semi")
     counted = some.mapInArrow(emit(False), PACKED).groupBy("bucket").applyInArrow(frequencies, "chunk int, tokens binary, dfs binary, cids binary")
@@ -190,29 +246,59 @@ def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch
     candidates = graph.components(near, scratch)
 
     sized = scratch.table(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("k")), rows=n_classes)
-    placed = candidates.join(sized, "label").withColumn("blocks", F.ceil(F.col("k") / group))
-    spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    small_bin = F.pmod(F.xxhash64("label"), F.lit(n_buckets)).cast("long")
-    members = placed.select(
-        F.col("node").alias("cid"), F.col("label").alias("comp"), "blocks",
-        F.when(F.col("blocks") > 1, F.col("label")).otherwise(-1 - small_bin).alias("bin"), F.when(F.col("blocks") > 1, spread).otherwise(0).alias("block"),
-    )
-    members = scratch.table(members.join(sets.select("cid", "n", "tokens"), "cid"))
+    placed = candidates.join(sized, "label").select(F.col("node").alias("cid"), F.col("label").alias("comp"), (F.col("k") > group).alias("large"), F.ceil(F.col("k") / group).alias("blocks"))
+    placed = placed.join(sets, "cid").withColumn("rarest", F.col("prefix")[0])
+    small_bin = F.pmod(F.xxhash64("comp"), F.lit(n_buckets)).cast("long")
+    small_ones = placed.filter("NOT large").select("cid", "comp", "large", "n", "tokens", (-1 - small_bin).alias("bin"), F.lit(0).cast("long").alias("block"))
+    # sets with one rarest n-gram lie together; many of them are dealt to blocks of their own
+    family = placed.filter("large").groupBy("comp", "rarest").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts"))
+    block = F.when(F.col("parts") > 1, F.xxhash64("rarest", F.pmod(F.xxhash64("cid"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("rarest"), F.col("blocks")))
+    dealt = placed.filter("large").join(family, ["comp", "rarest"]).select("cid", "comp", "large", "n", "tokens", F.col("comp").alias("bin"), block.cast("long").alias("block"))
+    members = scratch.table(small_ones.unionByName(dealt))
     links = members.withColumn("asks", F.lit(True)).withColumn("known", F.col("cid")).groupBy("bin", "block").applyInArrow(trie_links(percent), "u long, v long")
     links = scratch.table(links)
     if sized.filter(F.col("k") > group).isEmpty():
-        return graph.components(links, scratch)
+        return graph.components(links, scratch), links
 
-    # The classes outside the largest component of their large group probe all its blocks.
-    linked = graph.components(links.unionByName(members.filter("blocks > 1").select(F.col("cid").alias("u"), F.col("cid").alias("v"))), scratch)
-    large = members.filter("blocks > 1").join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("known", F.coalesce("label", "cid")).drop("label")
-    large = scratch.table(large)
+    # The classes outside the largest component of their large group probe the other blocks they may link in.
+    large = members.filter("large")
+    linked = graph.components(links.unionByName(large.select(F.col("cid").alias("u"), F.col("cid").alias("v"))), scratch)
+    large = scratch.table(large.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("known", F.coalesce("label", "cid")).drop("label"))
     parts_of = large.groupBy("comp", "known").agg(F.count(F.lit(1)).alias("k"))
     largest = parts_of.groupBy("comp").agg(F.max(F.struct("k", "known")).alias("m")).select("comp", F.col("m.known").alias("main"))
     rest = large.join(largest, "comp").filter("known <> main").drop("main")
-    probes = rest.withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("asks", F.lit(True))
-    again = large.withColumn("asks", F.lit(False)).unionByName(probes).groupBy("bin", "block").applyInArrow(trie_links(percent), "u long, v long")
-    return graph.components(links.unionByName(again), scratch)
+    heads = large.select("cid", "comp", "block", "n").join(sets.select("cid", "prefix"), "cid").select("cid", "comp", "block", "n", F.explode("prefix").alias("token"))
+    places = heads.groupBy("comp", "token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    asked = heads.join(rest.select("cid"), "cid", "left_semi").select("cid", "comp", "token", F.col("block").alias("own"), "n")
+    fits = (F.col("block") != F.col("own")) & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
+    visits = scratch.table(asked.join(places, ["comp", "token"]).filter(fits).select("cid", "comp", "block").distinct())
+    # a block with many visitors is held by several tasks
+    shares = scratch.table(visits.groupBy("comp", "block").agg(F.ceil(F.count(F.lit(1)) / (4 * group)).alias("shares")))
+    probes = visits.join(shares, ["comp", "block"]).withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares"))).join(rest.drop("comp", "block"), "cid").withColumn("asks", F.lit(True))
+    stored = large.join(shares, ["comp", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).withColumn("asks", F.lit(False))
+    columns = ["bin", "block", "share", "comp", "cid", "n", "tokens", "known", "asks"]
+    again = stored.select(columns).unionByName(probes.select(columns)).groupBy("bin", "block", "share").applyInArrow(trie_links(percent), "u long, v long")
+    links = scratch.table(links.unionByName(again))
+    return graph.components(links, scratch), links
+
+
+def false_links(links: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links whose texts' n-grams, compared as words, aren't similar enough."""
+
+    def check(batches):
+        base.cached()
+        for batch in batches:
+            bad = []
+            for i, (a, b) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True)):
+                x, y = grams.exact_shingles(a, n), grams.exact_shingles(b, n)
+                both = len(x & y)
+                if 100 * both < percent * (len(x) + len(y) - both):
+                    bad.append(i)
+            yield batch.select([0, 1]).take(pa.array(bad, pa.int32()))
+
+    first = links.join(texts.select(F.col("cid").alias("u"), F.col("text").alias("a")), "u")
+    both = first.join(texts.select(F.col("cid").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
 class Trie:
@@ -324,20 +410,27 @@ def trie_links(percent: int):
     return run
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, carrier (hash of the text)."""
     scratch = base.Scratch(docs.sparkSession, "ngram")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     docs = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("carrier"), text.alias("text"))
-    rows, classes = classes_of(docs, n, scratch)
-    if classes.isEmpty():
-        return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "carrier")
-    which = base.small(classes.select(F.col("doc_id").alias("i"), F.col("carrier").alias("h"), "cid", "copies"))
-    found = docs.join(which, docs.doc_id.eqNullSafe(which.i) & (docs.carrier == which.h))
-    texts = found.select("cid", "text")
-    if not classes.filter("copies > 1").isEmpty():  # of a repeated carrier row one text is kept
-        texts = found.filter("copies = 1").select("cid", "text").unionByName(found.filter("copies > 1").select("cid", "text").dropDuplicates(["cid"]))
-    linked = join_classes(texts, classes.count(), n, percent, scratch, group)
+    for seed in range(0, 2 * SEEDS, 2):
+        rows, classes = classes_of(docs, n, scratch, seed)
+        if classes.isEmpty():
+            return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "carrier")
+        if not rows.filter("clash").isEmpty():
+            continue
+        which = base.small(classes.select(F.col("doc_id").alias("i"), F.col("carrier").alias("h"), "cid", "copies"))
+        found = docs.join(which, docs.doc_id.eqNullSafe(which.i) & (docs.carrier == which.h))
+        texts = found.select("cid", "text")
+        if not classes.filter("copies > 1").isEmpty():  # of a repeated carrier row one text is kept
+            texts = found.filter("copies = 1").select("cid", "text").unionByName(found.filter("copies > 1").select("cid", "text").dropDuplicates(["cid"]))
+        linked, links = join_classes(texts, classes.count(), n, percent, scratch, group, seed, classes.agg(F.sum("n")).first()[0], hot)
+        if false_links(links, texts, n, percent).isEmpty():
+            break
+    else:
+        raise RuntimeError(f"n-gram hashes misled under {SEEDS} seeds")
     names = classes.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = names.groupBy("label").agg(F.min("least").alias("component_id"))
     named = names.join(least, "label").select("set_key", "component_id")

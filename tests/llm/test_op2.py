@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from data import SCHEMA, awkward, frame, words
 
-from rasterloom.llm import graph, ngram_join
+from rasterloom.llm import grams, graph, ngram_join
 from rasterloom.llm.base import Scratch
 
 
@@ -112,3 +112,69 @@ def test_repeats_beside_partial_overlap(spark):
         rows += [(None if i % 2 else 10 * i + 1, other, None, None, None, None, None)] * 2 + [(10 * i + 2, other, None, None, None, None, None)]
     got = ngram_join.ngram_join(frame(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    rows = [(i, t, None, None, None, None, None) for i, t in enumerate([one, two, thue_morse(200), thue_morse(200, "b", "a"), " ".join(["x", one]), " ".join(["x", two])])]
+    got = ngram_join.ngram_join(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abAB") * rng.randrange(1, 4) + rng.choice("xy") for _ in range(300)) for _ in range(20)] + [thue_morse(256), thue_morse(257), thue_morse(300), thue_morse(300, "b", "a"), "", "  a\tb\n"]
+    seen = {}
+    for seed in (0, 1):
+        h, counts = grams.word_hashes([t.encode() for t in texts], seed=seed)
+        words_ = [w for t in texts for w in t.split()]
+        assert counts.tolist() == [len(t.split()) for t in texts] and len(h) == len(words_)
+        by = {}
+        for w, x in zip(words_, h.tolist(), strict=True):
+            assert by.setdefault(w, x) == x
+        assert len(set(by.values())) == len(by)
+        seen[seed] = by
+    assert not set(seen[0].values()) & set(seen[1].values())
+
+
+def test_a_misleading_hash_is_noticed(spark, monkeypatch):
+    """A false link is found on the words, and everything is done again under another seed."""
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "A B c d e f")], "cid long, text string")
+    links = spark.createDataFrame([(1, 2), (1, 3)], "u long, v long")
+    assert [(r.u, r.v) for r in ngram_join.false_links(links, texts, 5, 75).collect()] == [(1, 2)]
+    seeds, check = [], ngram_join.false_links
+
+    def misled(links, *rest):
+        seeds.append(1)
+        return check(links, *rest) if len(seeds) > 1 else spark.createDataFrame([(1, 2)], "u long, v long")
+
+    monkeypatch.setattr(ngram_join, "false_links", misled)
+    rows = corpus(4)[:60]
+    got = ngram_join.ngram_join(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows) and len(seeds) == 2
+
+
+@pytest.mark.parametrize("hot", [2, 5])
+def test_hot_grams_change_nothing(spark, hot):
+    rows = corpus(7)
+    got = ngram_join.ngram_join(frame(spark, rows), hot=hot, group=9).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def chain(n, step=7):
+    """Texts that each share n-grams with the next, so that all are candidates of all."""
+    rng = random.Random(21)
+    long = words(rng, step * n + 60, 10**6).split()
+    return [" ".join(long[step * i : step * i + 60]) for i in range(n)]
+
+
+def test_giant_candidate_component(spark):
+    """One candidate group of many components: right, and the second round meets few blocks of each class."""
+    texts = chain(300, 9) + chain(120, 2)
+    rows = [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]
+    got = ngram_join.ngram_join(frame(spark, rows), group=10).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
