@@ -51,3 +51,24 @@ def subsampling(max_h: Column, max_v: Column, h: Column, v: Column) -> Column:
     for name, (a, b) in SAMPLING.items():
         out = F.when((max_h == h * a) & (max_v == v * b), name).otherwise(out)
     return out
+
+
+def crop_region(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, components: Column, max_h: Column) -> Column:
+    """Struct of the region a cropped decode gives: x at the start of a unit
+    column, the right edge kept, all inside the image; w or h 0 if nothing is left."""
+    unit = F.when(components == 1, 8).otherwise(max_h * 8)
+    left, top = F.least(x, width), F.least(y, height)
+    start = left - F.pmod(left, unit)
+    return F.struct(start.alias("x"), top.alias("y"), F.least(w + left - start, width - start).alias("w"), F.least(h, height - top).alias("h"))
+
+
+def upsampling(max_h: Column, max_v: Column, h: Column, v: Column, merged: Column, rgb: Column, fast: Column, chroma_width: Column, block: Column) -> Column:
+    """How chroma of factors (h, v) is brought to full size: none for equal
+    factors, merged with the colour conversion where asked for RGB, fancy for
+    both axes, else by component; boxes if fast, narrow or one sample a block."""
+    across, down = max_h / h, max_v / v
+    box = fast | (chroma_width <= 2) | (block == 1)
+    return (
+        F.when((across == 1) & (down == 1), "none").when(merged & rgb & (across == 2) & down.isin(1, 2), "merged").when(box, "box")
+        .when((across == 2) & (down == 2), "fancy h2v2").when((across == 2) & (down == 1), "fancy h2v1").when((across == 1) & (down == 2), "fancy h1v2").otherwise("box")
+    )

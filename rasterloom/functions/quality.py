@@ -48,3 +48,16 @@ def extend(bits: Column, size: Column) -> Column:
     """Sign extension: what magnitude bits of a category stand for."""
     bits, full = bits.cast("bigint"), F.pow(F.lit(2.0), size).cast("bigint")
     return F.when(size == 0, 0).when(bits < F.floor(full / 2), bits - full + 1).otherwise(bits).cast("bigint")
+
+
+def table_entry(table: Column, luma: Column, chroma: Column, qualities: Column, custom: Column, baseline: bool = False) -> Column:
+    """Entry of table 0 to 3: the custom one (cut at 255 for baseline), else the
+    standard luminance (table 0) or chrominance entry at the table's own quality."""
+    scale = scaling(F.element_at(qualities, (table + 1).cast("int")))
+    own = F.when(F.lit(baseline) & (custom > 255), 255).otherwise(custom).cast("bigint")
+    return F.coalesce(own, scaled_entry(F.when(table == 0, luma).otherwise(chroma), scale, baseline))
+
+
+def transform_divisor(entry: Column) -> Column:
+    """What coefficients of the forward transform, which are scaled by 8, are divided by."""
+    return entry.cast("bigint") * 8

@@ -7,10 +7,12 @@ whose other side has 64 rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..workers import map_array
 
 OPS = ("none", "flip_h", "flip_v", "transpose", "transverse", "rot90", "rot180", "rot270")
 SWAPS = ("transpose", "transverse", "rot90", "rot270")
@@ -114,3 +116,26 @@ def dc_only_sample(dc: Column, q: Column) -> Column:
     """The one sample of a 1x1 reconstruction."""
     v = F.shiftright(dc.cast("bigint") * q + 4, 3) + 128
     return F.least(F.lit(255).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), v))
+
+
+def filter_blocks(blocks: DataFrame, function, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Blocks (keys, k, v) with ``function`` applied to their coefficients: it
+    maps an (n, 64) matrix in zigzag order to another. A coefficient that is
+    missing is 0; blocks are gathered by key, 64 rows each."""
+    order = np.array(fixed.zigzag())
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[:, order] = function(x[:, order])
+        return out
+
+    gathered = blocks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), "v"))).alias("m"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("bigint"))
+    done = map_array(gathered.select(*keys, whole.alias("block")), "block", 64, apply)
+    return done.select(*keys, F.posexplode("block").alias("k", "v")).withColumn("k", F.col("k").cast("bigint"))
+
+
+def critical_parameters(headers: DataFrame) -> DataFrame:
+    """What a file made from another's coefficients takes over: size, precision, components, restart interval."""
+    f = F.col("frame")
+    return headers.filter("frame IS NOT NULL").select("key", f["width"].alias("width"), f["height"].alias("height"), f["precision"].alias("precision"), f["components"].alias("components"), "restart")

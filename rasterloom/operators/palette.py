@@ -1,4 +1,4 @@
-"""Palettes: histogram, uniform palette, nearest entry, lookup.
+"""Palettes: histogram, median cut, uniform palette, dither, nearest entry, lookup.
 
 Pixels are reduced to distinct colours before they meet the palette (at most
 256 entries), so the nearest search costs colours x entries, not pixels.
@@ -6,9 +6,15 @@ Pixels are reduced to distinct colours before they meet the palette (at most
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions.color import clamp
+from ..workers import ready
+
 
 def histogram(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -41,9 +47,58 @@ def color_of(indexed: DataFrame, palette: DataFrame) -> DataFrame:
     return indexed.select("id", "idx").join(F.broadcast(palette), "idx")
 
 
+def median_cut(pixels: DataFrame, colors: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, idx, r, g, b: at most ``colors`` entries for each image.
+
+    Pixels are reduced to a histogram first; an image's distinct colours (2**24
+    at most) meet in one task. The box of largest range times pixels is split at
+    its weighted median until there are enough; entries are truncated weighted
+    means. With fewer distinct colours these are the palette, in order. A total
+    order of colours makes the result independent of partitioning."""
+    if not 1 <= colors <= 256:
+        raise ValueError("1 to 256 colours")
+    ready(pixels.sparkSession)
+    counts = pixels.groupBy(*keys, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+
+    def cut(table: pa.Table) -> pa.Table:
+        found = cut_boxes(np.stack([table[c].to_numpy() for c in "rgb"], 1).astype(np.int64), table["n"].to_numpy(), colors)
+        held = [table[k].combine_chunks().take(pa.array([0] * len(found))) for k in keys]
+        return pa.table([*held, pa.array(range(len(found)), pa.int64()), *[pa.array(found[:, i]) for i in range(3)]], names=[*keys, "idx", "r", "g", "b"])
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "idx long, r long, g long, b long"])
+    return counts.groupBy(*keys).applyInArrow(cut, schema)
+
+
+def cut_boxes(rgb: np.ndarray, n: np.ndarray, colors: int) -> np.ndarray:
+    """Palette (m, 3) of the distinct colours ``rgb`` met ``n`` times."""
+    order = np.lexsort(rgb.T[::-1])
+    rgb, n = rgb[order], n[order]
+    if len(rgb) <= colors:
+        return rgb
+
+    def box(at: np.ndarray):
+        spans = np.ptp(rgb[at], axis=0)
+        return at, int(spans.argmax()), int(spans.max() * n[at].sum())
+
+    boxes = [box(np.arange(len(rgb)))]
+    while len(boxes) < colors:
+        i = max(range(len(boxes)), key=lambda j: (boxes[j][2], -j))
+        at, channel, score = boxes[i]
+        if score == 0:
+            break
+        at = at[np.argsort(rgb[at, channel], kind="stable")]
+        run = np.cumsum(n[at])
+        middle = max(1, int(np.searchsorted(run, run[-1] // 2)))
+        boxes[i : i + 1] = []
+        boxes += [box(at[:middle]), box(at[middle:])]
+    return np.array([(rgb[at] * n[at, None]).sum(axis=0) // n[at].sum() for at, *_ in boxes])
+
+
 def median_cut_boxes(pixels: DataFrame, levels: int) -> DataFrame:
     """r, g, b, n, box: colours in 2**levels boxes, each split at the weighted
-    median of its widest channel. One aggregation and one window per level; a
+    median of its widest channel: a variant that splits all boxes at a time and
+    stays distributed, for colours of very many images as one. One aggregation and one window per level; a
     total order of colours makes the result independent of partitioning."""
     from pyspark.sql import Window
 
@@ -63,3 +118,22 @@ def box_palette(boxes: DataFrame) -> DataFrame:
     """idx, r, g, b: truncated weighted means of the boxes."""
     mean = lambda c: F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
     return boxes.groupBy(F.col("box").alias("idx")).agg(mean("r"), mean("g"), mean("b"))
+
+
+def dithered(pixels: DataFrame, colors: int) -> DataFrame:
+    """``pixels`` with the ordered 4x4 thresholds added for a palette of ``colors``
+    entries, in single precision, rounded half away from zero and clamped."""
+    spread = F.lit(255.0).cast("float") / F.lit(max(colors - 1, 1)).cast("float") if colors > 1 else F.lit(128.0).cast("float")
+    spread = spread.cast("float")
+    at = F.element_at(F.array(*[F.lit(v / 16).cast("float") for v in fixed.BAYER]), (F.pmod("y", F.lit(4)) * 4 + F.pmod("x", F.lit(4)) + 1).cast("int"))
+    moved = {c: (F.col(c).cast("float") + (at * spread).cast("float")).cast("float").cast("double") for c in "rgb"}
+    return pixels.withColumns({c: clamp(F.when(v >= 0, F.floor(v + 0.5)).otherwise(F.ceil(v - 0.5))) for c, v in moved.items()})
+
+
+def quantize(pixels: DataFrame, colors: int = 256, method: str = "median_cut", dither: str = "none") -> tuple[DataFrame, DataFrame]:
+    """(palette, pixels with idx) of one image: median_cut or uniform, plain or ordered."""
+    if method not in ("median_cut", "uniform") or dither not in ("none", "ordered"):
+        raise ValueError(f"no quantization {method} with dither {dither}")
+    entries = median_cut(pixels, colors) if method == "median_cut" else uniform_palette(pixels.sparkSession, colors)
+    shown = dithered(pixels, entries.count()) if dither == "ordered" else pixels  # at most 256 rows
+    return entries, index_pixels(shown, entries)

@@ -7,9 +7,13 @@ image; add key columns (an image id) to ``keys`` for many images.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import ready
+
 
 def along(axis: str, keys: tuple[str, ...] = ()):
     other = "y" if axis == "x" else "x"
@@ -120,6 +124,46 @@ def undo_left_prediction(diffs: DataFrame, precision: int = 8, shift: int = 0, k
     return joined.select(*keys, "y", "x", F.pmod(F.col("s") + inner, F.lit(1 << precision)).alias("v"))
 
 
+def undo_above_prediction(diffs: DataFrame, precision: int = 8, shift: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Samples from the differences of predictor 2: prefix sums, the first row's across, then each column's."""
+    turned = diffs.select(*keys, F.col("x").alias("y"), F.col("y").alias("x"), "d")
+    return undo_left_prediction(turned, precision, shift, keys).select(*keys, F.col("x").alias("y"), F.col("y").alias("x"), "v")
+
+
+def undo_prediction(diffs: DataFrame, number: int, precision: int = 8, shift: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Samples from the differences of any predictor. 1 and 2 are prefix sums; the
+    others need a sample's restored neighbours, so a plane (one for each value of
+    ``keys``) is restored in one task, an antidiagonal at a time."""
+    if number < 3:
+        return (undo_left_prediction if number == 1 else undo_above_prediction)(diffs, precision, shift, keys)
+    ready(diffs.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in diffs.schema}
+
+    def restore(table: pa.Table) -> pa.Table:
+        y, x, d = (table[c].to_numpy() for c in ("y", "x", "d"))
+        v = restore_plane(y, x, d, number, precision, shift)
+        return pa.table([*[table[k].combine_chunks() for k in keys], pa.array(y), pa.array(x), pa.array(v)], names=[*keys, "y", "x", "v"])
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"y {kinds['y']}, x {kinds['x']}, v long"])
+    return diffs.groupBy(*keys).applyInArrow(restore, schema)
+
+
+def restore_plane(y: np.ndarray, x: np.ndarray, d: np.ndarray, number: int, precision: int, shift: int) -> np.ndarray:
+    """Samples of a whole plane from its differences, given in any order."""
+    h, w, full = int(y.max()) + 1, int(x.max()) + 1, 1 << precision
+    diff, out = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
+    diff[y, x] = d
+    guess = {3: lambda a, b, c: c, 4: lambda a, b, c: a + b - c, 5: lambda a, b, c: a + ((b - c) >> 1), 6: lambda a, b, c: b + ((a - c) >> 1), 7: lambda a, b, c: (a + b) >> 1}[number]
+    start = 1 << (precision - shift - 1)
+    out[0] = (start + np.cumsum(diff[0])) % full
+    out[:, 0] = (start + np.cumsum(diff[:, 0])) % full
+    for s in range(2, h + w - 1):  # cells with y + x = s depend on earlier sums only
+        r = np.arange(max(1, s - w + 1), min(h - 1, s - 1) + 1)
+        c = s - r
+        out[r, c] = (diff[r, c] + guess(out[r, c - 1], out[r - 1, c], out[r - 1, c - 1])) % full
+    return out[y, x]
+
+
 def smooth(plane: DataFrame, factor: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """3x3 smoothing of strength ``factor`` 0..100; edges are repeated."""
     c = F.col("v")

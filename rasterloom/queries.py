@@ -479,22 +479,6 @@ def fdct_dc(spark, sf_dir):
     return dct.forward(rows).select("id", F.element_at("block", 1).alias("dc"))
 
 
-@query()
-def fdct_blocks(spark, sf_dir):
-    rows = derived.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: F.floor(e.cast("double") * 128)).alias("block"))
-    return dct.forward(rows).select("id", F.posexplode("block").alias("k", "v"))
-
-
-@query()
-def dct_round_trip(spark, sf_dir):
-    """Samples, forward transform, quantization by 1, inverse transform: the largest error by block."""
-    rows = derived.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: F.least(F.lit(127).cast("bigint"), F.greatest(F.lit(-128).cast("bigint"), F.floor(e.cast("double") * 256)))).alias("block"))
-    coded = dct.forward(rows.withColumn("first", F.col("block"))).withColumn("block", F.transform("block", lambda v: quality.quantize(v, F.lit(8))))
-    back = dct.inverse(coded)
-    error = F.array_max(F.zip_with("block", "first", lambda a, b: F.abs(a - 128 - b)))
-    return back.select("id", error.alias("error"))
-
-
 # Planar images
 
 MEAN = "CAST(floor((sum({0}) + floor(count(*) / 2.0)) / count(*)) AS BIGINT)"
@@ -562,7 +546,7 @@ def requantize_palette(spark, sf_dir):
 
 @query()
 def median_cut_palette(spark, sf_dir):
-    return palette.box_palette(palette.median_cut_boxes(derived.pixels(spark, sf_dir), 4))
+    return palette.median_cut(derived.pixels(spark, sf_dir), 16)
 
 
 # Sizes
@@ -648,3 +632,6 @@ def last_comment(spark, sf_dir):
 def decode_limits(spark, sf_dir):
     w = spark.range(1, 65).withColumnRenamed("id", "w").select("w", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(64).cast("bigint"))).alias("h"))
     return w.select("w", "h", metadata.within_limits(F.col("w"), F.col("h"), F.lit(3), F.lit(3), 2000, 9000).alias("ok"))
+
+
+from . import file_queries  # noqa: E402, F401  registers its own here

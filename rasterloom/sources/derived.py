@@ -30,3 +30,30 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     v = F.least(F.lit(255).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.col("v") + 128))
     return blocks(spark, sf_dir).select((F.col("gy") * 8 + F.floor(k / 8)).alias("y"), (F.col("gx") * 8 + k % 8).alias("x"), v.alias("v"))
+
+
+def _hex(value, size: int):
+    return F.lpad(F.hex(value), 2 * size, "0")
+
+
+def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, content: a file's headers, tables and a few coded bytes made of each
+    row of ``part``. Odd ids are progressive, every fourth has an Adobe segment,
+    every fifth an orientation; those with id % 11 = 10 end early."""
+    from ..functions import fixed
+
+    i, z = F.col("p_partkey").cast("bigint"), F.lit("")
+    name = F.hex(F.encode("p_name", "UTF-8"))
+    quant = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: _hex((i + k) % 255 + 1, 1)), "")
+    codes = "".join(f"{b:02X}" for b in [*fixed.DC_LUMA_BITS, *range(12)])
+    text = F.concat(
+        F.lit("FFD8FFE000104A464946000102"), _hex(i % 3, 1), _hex(F.col("p_size"), 2), _hex(F.col("p_size") + 1, 2), F.lit("0000"),
+        F.when(i % 4 == 0, F.concat(F.lit("FFEE000E41646F626500640000" + "0000"), _hex(i % 3, 1))).otherwise(z),
+        F.when(i % 5 == 0, F.concat(F.lit("FFE10022457869660000" + "49492A0008000000" + "0100" + "1201030001000000"), _hex(i % 8 + 1, 1), F.lit("00000000000000"))).otherwise(z),
+        F.lit("FFFE"), _hex(F.length(name) / 2 + 2, 2), name, F.lit("FFDB004300"), quant,
+        F.when(i % 2 == 1, F.lit("FFC2")).otherwise(F.lit("FFC0")), F.lit("001108"), _hex(i % 900, 2), _hex(F.col("p_size") * 3, 2), F.lit("03012200021101031101"),
+        F.lit("FFDD0004"), _hex(i % 7, 2), F.lit("FFC4001F00" + codes + "FFDA000C03010002110311003F00" + "1234FF0056FFD078"),
+        F.when(i % 2 == 1, F.lit("FFDA000801010001050" + "2" + "ABFF00")).otherwise(z), F.lit("FFD9"),
+    )
+    cut = F.when(i % 11 == 10, F.substring(text, 1, 44)).otherwise(text)
+    return table(spark, sf_dir, "part").select(i.alias("id"), F.unhex(cut).alias("content"))
