@@ -64,3 +64,26 @@ def test_hilbert_neighbours_touch():
     key = neighbours.hilbert_keys(grid, 3)
     assert sorted(key) == list(range(512))
     assert (np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_recall_of_stretched_vectors(spark):
+    """Scales that differ by dimension, far from the origin; every distance is exact."""
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(3000, 12)) * np.geomspace(100, 0.1, 12) + 1000).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist(), 0, 0, "") for i, x in enumerate(v)], SCHEMA)
+    got = neighbours.search(table, lambda i: i % 100 == 0, cell=64).collect()
+    w, hits = v.astype(np.float64), 0
+    for r in got:
+        d = ((w - w[r.query_id]) ** 2).sum(axis=1)
+        d[r.query_id] = np.inf
+        assert math.isclose(r.score, math.sqrt(d[r.vec_id]), rel_tol=1e-12)
+        hits += r.vec_id in np.argsort(d)[:10]
+    assert len(got) == 300 and hits / 300 >= 0.9
+
+
+def test_registered_query(spark, tmp_path):
+    rows = data(450, seed=4)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = brute(rows)
+    got = neighbours.op9_neighbours(spark, str(tmp_path)).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(q, n, i) for q, best in want.items() for n, (_, i) in enumerate(best, 1)}
