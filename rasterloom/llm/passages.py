@@ -19,11 +19,11 @@ opened window, so the earlier and the later words are equal.
 
 The index holds bucketed, sorted, immutable runs of segments (anchor hash,
 digest, document, position). ``add`` takes the next batch, whose ids have to be
-larger than all before: it writes the batch as a new run, merge-joins it with
-the earlier runs (bucketed on the anchor, so nothing is shuffled), opens what
-shares an anchor and returns the word ranges to remove. ``FANOUT`` runs of one
-level are compacted to one of the next, which keeps the first occurrence of
-each segment; that too is a merge of buckets without a shuffle. A manifest in
+larger than all before: shuffled once to buckets of the anchor it is merge-joined
+with the earlier runs, which lie in such buckets already, and written as a new
+run; then it opens what shares an anchor and returns the word ranges to remove.
+A segment is first in one run only, so ``FANOUT`` runs of one level are compacted
+to one of the next by merging their buckets, without a shuffle. A manifest in
 the index's folder names the runs: ``FingerprintIndex.open`` goes on in another
 session. Earlier documents are read again (one column scan a batch), but only
 words of those that share a newly met anchor are hashed.
@@ -55,6 +55,8 @@ WINDOW, ANCHOR, FANOUT, BATCHES = 20, 10, 2, 3
 CHUNK, FLUSH = 256, 1_000_000
 SEGMENT = ("h", "g", "k")
 COLUMNS = "h long, g long, k long, doc long, at long"
+#: Rows of a run: segments met first here, later occurrences, ranges a task had found itself.
+FIRST, AGAIN, LOCAL = 0, 1, 2
 
 
 def plain_words(text: bytes | None) -> bytes:
@@ -223,7 +225,7 @@ class FingerprintIndex:
         index.documents = [documents.select("doc", "text").filter(F.col("doc") <= said["last"])] if said["last"] is not None else []
         for level, name in (r.split(":") for r in said["runs"]):
             keys = ", ".join(SEGMENT)
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS}) USING parquet CLUSTERED BY (h) SORTED BY ({keys}) INTO {index.buckets} BUCKETS LOCATION '{index._path(name)}'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS}, kind int) USING parquet CLUSTERED BY (h) SORTED BY ({keys}) INTO {index.buckets} BUCKETS LOCATION '{index._path(name)}'")
             index.runs.append((int(level), name))
         return index
 
@@ -241,7 +243,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         """``rows``, whose tasks hold whole buckets, as a run."""
         name = f"run_{uuid.uuid4().hex}"
-        rows.select(*SEGMENT, "doc", "at").write.bucketBy(self.buckets, "h").sortBy(*SEGMENT).format("parquet").option("path", self._path(name)).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h").sortBy(*SEGMENT).format("parquet").option("path", self._path(name)).saveAsTable(name)
         return name
 
     def _forget(self, names: list[str]) -> None:
@@ -250,64 +252,71 @@ class FingerprintIndex:
         base.delete(self.spark, *map(self._path, names))
 
     def _firsts(self, name: str) -> DataFrame:
-        """First occurrences of a run's segments; buckets stay as they are."""
-        held = self.spark.table(name).filter(F.col("at").bitwiseAND(255) > 0)
-        return held.groupBy(*SEGMENT).agg(F.min(F.struct("doc", "at")).alias("m")).select(*SEGMENT, "m.doc", "m.at")
+        """The segments a run is first to hold, each once; buckets stay as they are."""
+        return self.spark.table(name).filter(F.col("kind") == FIRST).drop("kind")
+
+    def _copartitioned(self):
+        """Buckets by the anchor are enough for joins on anchor and digest."""
+        return base.conf(self.spark, spark__sql__requireAllClusterKeysForCoPartition="false")
 
     def compact(self) -> None:
-        """The latest runs of one level, if there are ``fanout``, as one of the
-        next: of each segment the occurrence in the earliest run."""
+        """While the latest runs of one level are ``fanout``, they become one of
+        the next: sorted runs with no segment in common, merged two at a time."""
         while len(self.runs) >= self.fanout and len({level for level, _ in self.runs[-self.fanout :]}) == 1:
             level, names = self.runs[-1][0], [name for _, name in self.runs[-self.fanout :]]
-            merged = None
-            for i, name in enumerate(names):
-                part = self._firsts(name)
-                for earlier in names[:i]:
-                    part = part.join(self.spark.table(earlier).filter(F.col("at").bitwiseAND(255) > 0).select(*SEGMENT), list(SEGMENT), "left_anti")
-                merged = part if merged is None else merged.unionByName(part)
-            self.runs[-self.fanout :] = [(level + 1, self._write(merged))]
+            merged, made = names[0], []
+            for name in names[1:]:
+                both = self._firsts(merged).withColumnsRenamed({"doc": "doc0", "at": "at0"}).join(self._firsts(name), list(SEGMENT), "full")
+                with self._copartitioned():
+                    merged = self._write(both.select(*SEGMENT, F.coalesce("doc0", "doc").alias("doc"), F.coalesce("at0", "at").alias("at"), F.lit(FIRST).alias("kind")))
+                made.append(merged)
+            self.runs[-self.fanout :] = [(level + 1, merged)]
             self.compactions += 1
             self._save()
-            self._forget(names)
+            self._forget([*names, *made[:-1]])
 
     def add(self, docs: DataFrame) -> DataFrame:
         """doc, ranges (array of [from, to) word positions) to remove from ``docs``.
 
         ``docs`` has doc (long, not null, unique, above all before) and text;
         ids that aren't above those before raise ValueError."""
-        window = self.window
-        scratch = base.Scratch(self.spark, "passages")
         n, low, top = docs.agg(F.count(F.lit(1)), F.min("doc"), F.max("doc")).first()
         if self.last is not None and low is not None and low <= self.last:
             raise ValueError(f"documents have to come in order: {low} after {self.last}")
         self.compact()
-        fresh = docs.mapInArrow(_emit_segments(window, self.anchor), COLUMNS)
-        name = self._write(fresh.repartition(self.buckets, "h"))
-        batch = self.spark.table(name)
-        size = F.col("at").bitwiseAND(255)
-        start = F.shiftright("at", 8)
-        nth = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("doc", "at"))
-        numbered, known = batch.filter(size > 0).withColumn("nth", nth), F.lit(False)
-        for i, (_, r) in enumerate(self.runs):  # one bucketed merge join per run; compaction keeps them few
-            old = self._firsts(r).select(*SEGMENT, F.lit(True).alias(f"old{i}"))
-            numbered, known = numbered.join(old, list(SEGMENT), "left"), known | F.coalesce(f"old{i}", F.lit(False))
-        numbered = numbered.select(*SEGMENT, "doc", "at", "nth", known.alias("known"))
-        again = numbered.filter("known OR nth > 1").select("doc", start.cast("int").alias("a"), (start + size + window - 1).cast("int").alias("b"))
-        local = batch.filter(size == 0).select("doc", start.cast("int").alias("a"), F.col("g").cast("int").alias("b"))
-
-        # Anchors with a new segment and at least one other.
-        firsts = numbered.filter("nth = 1")
-        per = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("all"), F.sum(F.when(F.col("known"), 0).otherwise(1)).alias("new")).filter("new > 0")
-        older = F.lit(0)
-        for i, (_, r) in enumerate(self.runs):
-            old = self._firsts(r).groupBy("h").agg(F.count(F.lit(1)).alias(f"n{i}"))
-            per, older = per.join(old, "h", "left"), older + F.coalesce(f"n{i}", F.lit(0))
-        # a segment both in the batch and in a run counts twice: only opens more
-        shared = per.filter(F.col("all") + older > 1).select("h")
-        opened = firsts.filter("NOT known").join(shared, "h", "left_semi").select("doc", "at")
-        for _, r in self.runs:
-            opened = opened.unionByName(self._firsts(r).join(shared, "h", "left_semi").select("doc", "at"))
-        opened = scratch.table(opened.groupBy("doc").agg(F.collect_set("at").alias("opened")), rows=n + self.size, per_file=20_000)
+        with self._copartitioned():
+            ranges = self._add(docs, n)
+        self.documents.append(docs.select("doc", "text"))
+        self.size, self.last = self.size + n, self.last if top is None else top
+        self._save()
+        base.sweep(self.spark)  # the files of this batch's shuffles
+        return ranges
+
+    def _add(self, docs: DataFrame, n: int) -> DataFrame:
+        window, scratch = self.window, base.Scratch(self.spark, "passages")
+        size, start = F.col("at").bitwiseAND(255), F.shiftright("at", 8)
+        older = [self._firsts(r) for _, r in self.runs]
+
+        # The new run: its segments are told apart from those of earlier runs by one bucketed merge join per run.
+        rows = docs.mapInArrow(_emit_segments(window, self.anchor), COLUMNS).repartition(self.buckets, "h")
+        rows, known = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("doc", "at"))), F.lit(False)
+        for i, old in enumerate(older):
+            rows, known = rows.join(old.select(*SEGMENT, F.lit(True).alias(f"old{i}")), list(SEGMENT), "left"), known | F.coalesce(f"old{i}", F.lit(False))
+        kind = F.when(size == 0, LOCAL).when(known | (F.col("nth") > 1), AGAIN).otherwise(FIRST)
+        name = self._write(rows.select(*SEGMENT, "doc", "at", kind.alias("kind")))
+        batch, firsts = self.spark.table(name), self._firsts(name)
+        again = batch.filter(F.col("kind") == AGAIN).select("doc", start.cast("int").alias("a"), (start + size + window - 1).cast("int").alias("b"))
+        local = batch.filter(F.col("kind") == LOCAL).select("doc", start.cast("int").alias("a"), F.col("g").cast("int").alias("b"))
+
+        # Anchors with a new segment and at least one other: their first occurrences are opened.
+        shared = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("all"))
+        for i, old in enumerate(older):
+            shared = shared.join(old.groupBy("h").agg(F.count(F.lit(1)).alias(f"n{i}")), "h", "left")
+        shared = shared.filter(sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(len(older))), F.col("all")) > 1).select("h")
+        opened = firsts.join(shared, "h", "left_semi").select("doc", "at")
+        for old in older:
+            opened = opened.unionByName(old.join(shared, "h", "left_semi").select("doc", "at"))
+        opened = scratch.table(opened.groupBy("doc").agg(F.collect_list("at").alias("opened")), rows=n + self.size, per_file=20_000)
         every = docs.select("doc", "text")
         for d in self.documents:
             every = every.unionByName(d)
@@ -318,11 +327,7 @@ class FingerprintIndex:
         gone = again.unionByName(local).unionByName(late)
         ranges = scratch.table(gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).mapInArrow(_join_ranges, "doc long, ranges array<struct<a:int,b:int>>"), rows=n, per_file=20_000)
         scratch.drop(opened)
-        self.documents.append(docs.select("doc", "text"))
-        self.size, self.last = self.size + n, self.last if top is None else top
         self.runs.append((0, name))
-        self._save()
-        base.sweep(self.spark)  # the files of this batch's shuffles
         return ranges
 
     def drop(self) -> None:
