@@ -6,21 +6,24 @@ keys of 16+ characters), ``hex`` (32+ hexadecimal digits). Spans are those of
 whole matches in code points, end exclusive.
 
 The battery adds spans of kind ``random``: maximal runs of 20 and more token
-characters outside base spans, with an encoding inferred from their characters
-(hex, base32, base36, base62, base64, base64url; letters or digits alone are
-none). For each:
+characters (``=`` only as padding at the end), cut at the borders of base spans,
+with an encoding inferred from their characters (hex, base32, base36, base62,
+base64, base64url, mixed; runs of one class of characters are none). Three tests
+give p-values against structure, that is names and prose in that encoding:
 
 * chi-squared uniformity over the alphabet, merged to classes of enough
-  expected characters in order of their frequency in prose;
-* serial correlation of neighbouring alphabet positions;
-* a runs test on character classes (lower, upper, digit, mark): the upper tail
-  of the number of class changes under the rate of structured names.
-
-The first two have randomness as the null and must not reject it (``ALPHA``).
-The third has structure as the null; its p-values go through a
-Benjamini-Hochberg control over the whole corpus within length classes
-(``FDR``). The control needs only a histogram of p-values: at most
-4 x ``BINS`` counts reach the driver, whatever the corpus size.
+  expected characters in order of their frequency in prose: how seldom
+  structured text is as even (``structured_shares``);
+* serial correlation of neighbouring alphabet positions: how seldom it is as low
+  where neighbours go together (``TOGETHER``);
+* a runs test on character classes (lower, upper, digit, mark): how seldom
+  there are as many class changes (``CHANGE_RATE``).
+
+A run's three p-values are combined to one by Cauchy's rule, which holds for
+dependent tests. The combined values go through a Benjamini-Hochberg control
+over the whole corpus within length classes (``FDR``). The control needs only a
+histogram of p-values: at most 4 x ``BINS`` counts reach the driver, whatever
+the corpus size.
 
 Defined results: a null or empty text has no span. Null and repeated ids are
 kept, one row per input row. Extra columns don't matter.
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,15 +47,15 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 # Runs shorter than the limit fail as a whole, so the limit can stand in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
-ALPHA, FDR, BINS, CHANGE_RATE, LENGTHS = 0.001, 0.01, 300, 0.2, (20, 32, 48, 64)
+FDR, BINS, CHANGE_RATE, TOGETHER, LENGTHS = 0.01, 300, 0.2, 0.1, (20, 32, 48, 64)
 PROSE = "etaoinshrdlcumwfgypbvkjxqz"
 DIGITS = "0123456789"
 ALPHABETS = (
     ("hex", DIGITS + "abcdef"), ("hex", DIGITS + "ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", DIGITS + PROSE), ("base36", DIGITS + PROSE.upper()), ("base62", DIGITS + PROSE + PROSE.upper()),
-    ("base64", DIGITS + PROSE + PROSE.upper() + "+/"), ("base64url", DIGITS + PROSE + PROSE.upper() + "-_"),
+    ("base64", DIGITS + PROSE + PROSE.upper() + "+/"), ("base64url", DIGITS + PROSE + PROSE.upper() + "-_"), ("mixed", DIGITS + PROSE + PROSE.upper() + "+/-_"),
 )
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("length_class", pa.int32()), ("p_bin", pa.int32())])
@@ -70,10 +74,14 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def class_of(c: str) -> str:
+    return "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m"
+
+
 def infer_encoding(s: str) -> tuple[str, str] | None:
-    """Name and alphabet of the smallest encoding that holds ``s``."""
+    """Name and alphabet of the smallest encoding that holds ``s``; none for one class of characters."""
     have = set(s)
-    if not have & set(DIGITS) or not any(c.isalpha() for c in have):
+    if len(set(map(class_of, have)) - {"m"}) < 2:
         return None
     return next(((n, a) for n, a in ALPHABETS if have <= set(a)), None)
 
@@ -82,49 +90,78 @@ def normal_tail(z: float) -> float:
     return math.erfc(z / math.sqrt(2)) / 2
 
 
-def chi_squared_p(x: float, df: int) -> float:
-    """Upper tail by the Wilson-Hilferty cube-root approximation."""
-    return normal_tail(((x / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))
-
-
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X >= k) for X ~ Binomial(n, p)."""
     return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k, n + 1)))
 
 
+@cache
+def structured_shares(alphabet: str) -> tuple[float, ...]:
+    """Shares of the characters in structured text: letters of one case fall off
+    with their rank in prose, a tenth of all each for the other case, digits, marks."""
+    weight = {"l": 0.7, "u": 0.1, "d": 0.1, "m": 0.1}
+    if not any(c.islower() for c in alphabet):
+        weight["u"] = 0.7
+    share = [1 / (PROSE.index(c.lower()) + 3) if c.isalpha() else 1.0 for c in alphabet]
+    sums = {k: sum(x for x, c in zip(share, alphabet, strict=True) if class_of(c) == k) for k in weight}
+    there = sum(w for k, w in weight.items() if sums[k])
+    return tuple(x / sums[class_of(c)] * weight[class_of(c)] / there for x, c in zip(share, alphabet, strict=True))
+
+
 def battery(s: str, alphabet: str) -> tuple[float, float, float]:
-    """p-values: uniformity and serial correlation (null: random), class changes (null: structured)."""
-    n, size = len(s), len(alphabet)
+    """p-values of ``s`` against structure: evenness, serial correlation, class changes."""
+    n, size, shares = len(s), len(alphabet), structured_shares(alphabet)
     at = [alphabet.index(c) for c in s]
     groups = min(size, max(2, n // 5))
-    counts, expected = [0] * groups, [0.0] * groups
+    counts, even, known = [0] * groups, [0.0] * groups, [0.0] * groups
     for i in range(size):
-        expected[i * groups // size] += n / size
+        even[i * groups // size] += 1 / size
+        known[i * groups // size] += shares[i]
     for i in at:
         counts[i * groups // size] += 1
-    uniform = chi_squared_p(sum((c - e) ** 2 / e for c, e in zip(counts, expected, strict=True)), groups - 1)
-    mean = sum(at) / n
-    var = sum((x - mean) ** 2 for x in at)
-    r = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:], strict=False)) / var if var else 1.0
-    serial = 2 * normal_tail(abs(r + 1 / n) * math.sqrt(n))
-    kind = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m" for c in s]
+    chi = sum((c - n * u) ** 2 / (n * u) for c, u in zip(counts, even, strict=True))
+    # mean and variance of chi-squared against evenness when the shares are those of structure
+    ratio = [q / u for q, u in zip(known, even, strict=True)]
+    mean = sum((q * (1 - q) + n * (q - u) ** 2) / u for q, u in zip(known, even, strict=True))
+    spread = 4 * n * (sum(q * r * r for q, r in zip(known, ratio, strict=True)) - sum(q * r for q, r in zip(known, ratio, strict=True)) ** 2)
+    spread += 2 * sum((r * (1 - q)) ** 2 for q, r in zip(known, ratio, strict=True))
+    uniform = normal_tail((mean - chi) / math.sqrt(spread))
+    middle = sum(at) / n
+    var = sum((x - middle) ** 2 for x in at)
+    r = sum((a - middle) * (b - middle) for a, b in zip(at, at[1:], strict=False)) / var if var else 1.0
+    serial = normal_tail((math.atanh(TOGETHER) - math.atanh(max(-0.999, min(0.999, r)))) * math.sqrt(n - 3))
+    kind = [class_of(c) for c in s]
     changes = sum(a != b for a, b in zip(kind, kind[1:], strict=False))
     return uniform, serial, binomial_tail(changes, n - 1, CHANGE_RATE)
 
 
+def combined(ps: tuple[float, ...]) -> float:
+    """Cauchy's combination of p-values that may depend on each other."""
+    t = 0.0
+    for p in ps:
+        p = min(0.99, max(p, 1e-30))
+        t += math.tan((0.5 - p) * math.pi) if p > 1e-10 else 1 / (p * math.pi)
+    t /= len(ps)
+    return 0.5 - math.atan(t) / math.pi if t < 1e10 else 1 / (t * math.pi)
+
+
 def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
-    """Runs outside the base spans that pass as random, with the bin of the p-value under structure."""
+    """Runs outside the base spans with the bin of their combined p-value."""
     out = []
     for m in TOKEN.finditer(text):
-        a, b = m.span()
-        s = m[0].rstrip("=")
-        if any(x < b and a < y for x, _, y in spans) or not (enc := infer_encoding(s)) or len(s) < LENGTHS[0]:
-            continue
-        uniform, serial, p = battery(s, enc[1])
-        if min(uniform, serial) < ALPHA:
-            p = 1.0
-        bin_ = min(BINS - 1, int(-10 * math.log10(max(p, 1e-300))))
-        out.append({"start": a, "end": b, "encoding": enc[0], "length_class": sum(len(s) >= x for x in LENGTHS) - 1, "p_bin": bin_})
+        a, end = m.span()
+        parts = []
+        for x, _, y in spans:  # by start
+            if x < end and a < y:
+                parts.append((a, x))
+                a = max(a, y)
+        for x, y in [*parts, (a, end)]:
+            s = text[x:y].rstrip("=")
+            if len(s) < LENGTHS[0] or not (enc := infer_encoding(s)):
+                continue
+            p = combined(battery(s, enc[1]))
+            bin_ = min(BINS - 1, int(-10 * math.log10(max(p, 1e-300))))
+            out.append({"start": x, "end": y, "encoding": enc[0], "length_class": sum(len(s) >= n for n in LENGTHS) - 1, "p_bin": bin_})
     return out
 
 

@@ -43,6 +43,37 @@ def test_battery_finds_random_and_leaves_names(spark):
     assert all((s.kind, s.start, s.end) == ("random", 4, 48) for i in range(20) for s in got[i])
 
 
+def test_runs_are_cut_at_signs_and_base_spans():
+    rng = random.Random(8)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    for text, want in ((f"sig={key}==", [(4, 46)]), (f"{key}", [(0, 40)]), (f"{key}/{'0' * 32}", [(0, 41)]), ("lowercaseonlyandnothingelse", [])):
+        found = secrets.candidates(text, secrets.base_spans(text))
+        assert [(c["start"], c["end"]) for c in found] == want
+        assert all(c["p_bin"] > 40 for c in found)
+
+
+def test_p_values_hold_under_structure():
+    """Names made as the tests assume: few of them look random; keys do, in every encoding."""
+    rng = random.Random(4)
+    for _, alphabet in secrets.ALPHABETS:
+        shares = secrets.structured_shares(alphabet)
+        assert abs(sum(shares) - 1) < 1e-9
+        keys = ["".join(rng.choice(alphabet) for _ in range(48)) for _ in range(100)]
+        keys = [k for k in keys if secrets.infer_encoding(k)]
+        if len(alphabet) > 40:
+            assert sum(secrets.combined(secrets.battery(k, alphabet)) < 0.001 for k in keys) >= 0.95 * len(keys)
+        # blocks of one class keep neighbours together, as words and numbers do
+        low = 0
+        for _ in range(300):
+            name = ""
+            while len(name) < 40:
+                kind = rng.choice([alphabet.index(c) for c in rng.choices(alphabet, shares)])
+                same = [(c, x) for c, x in zip(alphabet, shares, strict=True) if secrets.class_of(c) == secrets.class_of(alphabet[kind])]
+                name += "".join(rng.choices([c for c, _ in same], [x for _, x in same], k=rng.randrange(4, 9)))
+            low += secrets.combined(secrets.battery(name[:40], alphabet)) < 0.001
+        assert low <= 0.05 * 300
+
+
 def test_redact(spark):
     data = [(1, "a token = abcdefghijkl end", None, None, 26, None, None), (2, "clean text", None, None, 10, None, None), (3, None, None, None, None, None, None)]
     got = {r.doc_id: r for r in secrets.redact(frame(spark, data)).collect()}
