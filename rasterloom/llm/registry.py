@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, neighbours, ngram_join, packing, passages, quotes, secrets, sentencepiece_codec, sharding, toxicity
+from . import byte_bpe, exact_dedup, merkle, neighbours, ngram_join, packing, passages, quotes, secrets, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_passages": passages.op10_passages,
+    "op11_merkle": merkle.op11_merkle,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op10_passages": passages.OP10_SQL}
+SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op10_passages": passages.OP10_SQL, "op11_merkle": merkle.OP11_SQL}
