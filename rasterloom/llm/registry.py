@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, merkle, neighbours, ngram_join, packing, passages, quotes, secrets, sentencepiece_codec, sharding, toxicity
+from . import byte_bpe, collocations, exact_dedup, merkle, neighbours, ngram_join, packing, passages, quotes, secrets, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_passages": passages.op10_passages,
     "op11_merkle": merkle.op11_merkle,
+    "op12_collocations": collocations.op12_collocations,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op10_passages": passages.OP10_SQL, "op11_merkle": merkle.OP11_SQL}
+SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op10_passages": passages.OP10_SQL, "op11_merkle": merkle.OP11_SQL, "op12_collocations": collocations.OP12_SQL}
