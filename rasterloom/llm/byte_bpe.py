@@ -13,8 +13,9 @@ runs whose neighbouring pairs wait in a queue of merge ranks:
   skipped when they come up, so nothing is ever searched or removed.
 
 A pre-token of n bytes takes O(n log n) steps and about 60 n bytes, whatever its
-repeats. Most pre-tokens recur, so a worker remembers the ids of up to ``CACHE``
-of at most 64 bytes. Long texts are split ``STEP`` pre-tokens at a time.
+repeats. Most pre-tokens recur, so a worker remembers the ids of those of at most
+64 characters: the last ``CACHE`` and as many before them (under 150 MB). Long
+texts are split ``STEP`` pre-tokens at a time.
 
 Both directions are one narrow pass over the rows; nothing is shuffled.
 
@@ -41,7 +42,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import base
 
-CACHE, STEP, GROUP = 400_000, 200_000, 128
+CACHE, STEP, GROUP = 350_000, 200_000, 128
 #: Bytes from which a pre-token's lists are packed arrays.
 LONG = 4096
 
@@ -71,6 +72,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+class Seen(dict):
+    """Ids of the pre-tokens met lately; what is met again before the next ``age`` that is due stays."""
+
+    def __init__(self, encode):
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word.encode())
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with the pre-tokens seen lately."""
 
@@ -87,70 +108,68 @@ class Codec:
         self.shift = (size.bit_length() + 1) // 2
         self.words = [0] * ((size >> self.shift) + 1)
         self.bit = [1 << k for k in range(max(1 << self.shift, len(self.words)))]
-        self.cache: dict[str, bytes] = {}
+        self.buckets: list = [None] * size
+        self.seen = Seen(self.packed)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. ``top`` and ``words`` are the bitmap, all zero between calls."""
         ranks, longest, n = self.ranks, self.longest, len(piece)
         if piece in ranks:
             return [ranks[piece]]
-        words, bit, shift, low = self.words, self.bit, self.shift, (1 << self.shift) - 1
-        top, buckets = 0, {}
+        words, bit, buckets, shift, low, top = self.words, self.bit, self.buckets, self.shift, (1 << self.shift) - 1, 0
+        get = ranks.get
         if n < LONG:
-            end, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)]
+            end, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
         else:
-            end, before, pair = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", (ranks.get(piece[i : i + 2], -1) for i in range(n - 1)))
+            end, before, pair = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", [-1]) * n
         # end: of the run that starts here, and start of the next; before: start of
         # the run before; pair: rank of the run with the next
-        pair.append(-1)
-
-        def push(rank: int, i: int) -> None:
-            nonlocal top
-            bucket = buckets.get(rank)
-            if bucket is not None:
-                heappush(bucket, i)
-            else:
-                buckets[rank] = [i]
-                word = rank >> shift
-                words[word] |= bit[rank & low]
-                top |= bit[word]
-
-        for i, rank in enumerate(pair):
-            if rank >= 0:
-                push(rank, i)
-        while top:
-            word = (top & -top).bit_length() - 1  # find first set, level by level
-            inside = words[word]
-            rank = (word << shift) + (inside & -inside).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
+        waiting = [(rank, i) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+        while True:
+            for rank, i in waiting:
+                pair[i] = rank
+                bucket = buckets[rank]
+                if bucket is None:  # most buckets have one place
+                    buckets[rank] = i
+                    word = rank >> shift
+                    words[word] |= bit[rank & low]
+                    top |= bit[word]
+                elif type(bucket) is list:
+                    heappush(bucket, i)
+                else:
+                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+            while top:
+                word = (top & -top).bit_length() - 1  # find first set, level by level
+                inside = words[word]
+                rank = (word << shift) + (inside & -inside).bit_length() - 1
+                i = buckets[rank]
+                if type(i) is list and len(i) > 1:
+                    i = heappop(i)
+                else:
+                    if type(i) is list:
+                        i = i[0]
+                    buckets[rank] = None
+                    words[word] = inside = inside & (inside - 1)
+                    if not inside:
+                        top &= top - 1
+                if pair[i] == rank:
+                    break  # else the entry is stale
             else:
-                i = bucket[0]
-                del buckets[rank]
-                words[word] = inside = inside & (inside - 1)
-                if not inside:
-                    top &= top - 1
-            if pair[i] != rank:
-                continue  # stale
+                break
             gone = end[i]
             stop = end[i] = end[gone]
             pair[gone] = pair[i] = -1
+            waiting = []
             if stop < n:
                 before[stop] = i
-                if end[stop] - i <= longest:
-                    new = ranks.get(piece[i : end[stop]])
-                    if new is not None:
-                        pair[i] = new
-                        push(new, i)
+                after = end[stop]
+                if after - i <= longest and (new := get(piece[i:after])) is not None:
+                    waiting.append((new, i))
             left = before[i]
             if left >= 0:
                 pair[left] = -1
-                if stop - left <= longest:
-                    new = ranks.get(piece[left:stop])
-                    if new is not None:
-                        pair[left] = new
-                        push(new, left)
+                if stop - left <= longest and (new := get(piece[left:stop])) is not None:
+                    waiting.append((new, left))
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : end[i]]])
@@ -174,19 +193,10 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        cache, out = self.cache, []
+        seen, out = self.seen, []
         for words in self.pre_tokens(text):
-            new = {}
-            for w in set(words).difference(cache):
-                new[w] = self.packed(w.encode())
-            if len(cache) + len(new) > CACHE:
-                new.update((w, cache[w]) for w in set(words).intersection(cache))
-                cache.clear()
-            cache.update(new)
-            out += map(cache.__getitem__, words)
-            for w in new:
-                if len(w) > 64:
-                    del cache[w]
+            out += map(seen.__getitem__, words)
+            seen.age()
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
