@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-MOST, LEAST, TOP, HALF, SHARD = 3, 10, 2000, 50, 1 << 20
+MOST, LEAST, TOP, HALF, SHARD = 3, 10, 2000, 50, 1 << 18
 #: Upper case to lower, every mark that ends a piece to a full stop, tabs to spaces.
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 PLAIN = bytes.maketrans(UPPER + b",;:!?\n\x0b\x0c\r\t", LOWER + b"." * 9 + b" ")
@@ -183,8 +183,9 @@ def count_phrases(m: int):
                 begins = np.zeros(len(ids), bool)
                 begins[:-1] = (gram[:-1] >= 0) & (gram[1:] >= 0)
                 order, starts, n = phrase_intervals(ids, room_for(begins, m), m)
-                at = order[starts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name.as_py())), pa.array(gram[at]), pa.array(gram[at + 1]), pa.array(n)], names=["shard", "head", "tail", "n"])
+                for a in range(0, len(starts), 1 << 16):
+                    at, some = order[starts[a : a + (1 << 16)]], n[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name.as_py())), pa.array(gram[at]), pa.array(gram[at + 1]), pa.array(some)], names=["shard", "head", "tail", "n"])
 
     return run
 
