@@ -9,14 +9,15 @@ and may hold more.
 
 Features are words and their first four and five letters (families of one
 stem), chosen by chi-squared against each category. The models are fitted on a
-bounded sample of labelled rows: the ``SAMPLE`` rows with the smallest hash of
-their id. Feature counts and the design matrix of that sample are made by
+bounded sample of labelled rows: the ``SAMPLE`` ids with the smallest hash, and of
+several rows with one of these ids the one whose text has the smallest hash.
+Feature counts and the design matrix of that sample are made by
 Spark; the driver fits on at most SAMPLE x (categories x ``WORDS``) zeros and
 ones. Scoring reads every whole text in one narrow pass.
 
 Defined results: a null or empty text has no feature and gets the model's
 intercept. Labels with a null id or value are left out; of repeated labels the
-largest counts. A category with one value only gets a constant probability,
+largest counts; a labelled id trains with one of its rows. A category with one value only gets a constant probability,
 and no labels at all give probability 0. Null and repeated document ids are
 scored row by row. Extra columns don't matter.
 """
@@ -52,7 +53,9 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_
     y = y.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(y), "doc_id")  # at most ``size`` rows of integers
+    least = F.min(F.struct(F.md5("text").alias("h"), "text")).alias("row")
+    rows = texts.join(F.broadcast(y), "doc_id").groupBy("doc_id", *y.columns[1:]).agg(least)  # at most ``size`` rows of integers
+    return rows.select("doc_id", "row.text", *y.columns[1:])
 
 
 def choose_words(sample: DataFrame, n_categories: int, words: int = WORDS) -> list[str]:
