@@ -7,9 +7,9 @@ whole matches in code points, end exclusive.
 
 The battery adds spans of kind ``random``: maximal runs of 20 and more token
 characters (``=`` only as padding at the end), cut at the borders of base spans,
-with an encoding inferred from their characters (hex, base32, base36, base62,
-base64, base64url, mixed; runs of one class of characters are none). Three tests
-give p-values against structure, that is names and prose in that encoding:
+with an encoding inferred from their characters (decimal, lower, upper, hex,
+base32, base36, base62, base64, base64url, mixed). Three tests give p-values
+against structure, that is names and prose in that encoding:
 
 * chi-squared uniformity over the alphabet, merged to classes of enough
   expected characters in order of their frequency in prose: how seldom
@@ -17,14 +17,17 @@ give p-values against structure, that is names and prose in that encoding:
 * serial correlation of neighbouring alphabet positions: how seldom it is as low
   where neighbours go together (``TOGETHER``);
 * a runs test on character classes (lower, upper, digit, mark): how seldom
-  there are as many class changes (``CHANGE_RATE``).
+  there are as many class changes (``CHANGE_RATE``). Runs of one class have the
+  other two tests only.
 
-A run's three p-values are combined to one by Cauchy's rule, which holds for
+A run's p-values are combined to one by Cauchy's rule, which holds for
 dependent tests. The combined values go through a Benjamini-Hochberg control
 over the whole corpus within length classes (``FDR``). The control needs only a
 histogram of p-values: at most 4 x ``BINS`` counts reach the driver, whatever
 the corpus size.
 
+Work is linear in the text: runs and base spans are walked together.
+
 Defined results: a null or empty text has no span. Null and repeated ids are
 kept, one row per input row. Extra columns don't matter.
 """
@@ -53,7 +56,7 @@ FDR, BINS, CHANGE_RATE, TOGETHER, LENGTHS = 0.01, 300, 0.2, 0.1, (20, 32, 48, 64
 PROSE = "etaoinshrdlcumwfgypbvkjxqz"
 DIGITS = "0123456789"
 ALPHABETS = (
-    ("hex", DIGITS + "abcdef"), ("hex", DIGITS + "ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("decimal", DIGITS), ("lower", PROSE), ("upper", PROSE.upper()), ("hex", DIGITS + "abcdef"), ("hex", DIGITS + "ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", DIGITS + PROSE), ("base36", DIGITS + PROSE.upper()), ("base62", DIGITS + PROSE + PROSE.upper()),
     ("base64", DIGITS + PROSE + PROSE.upper() + "+/"), ("base64url", DIGITS + PROSE + PROSE.upper() + "-_"), ("mixed", DIGITS + PROSE + PROSE.upper() + "+/-_"),
 )
@@ -78,12 +81,10 @@ def class_of(c: str) -> str:
     return "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m"
 
 
-def infer_encoding(s: str) -> tuple[str, str] | None:
-    """Name and alphabet of the smallest encoding that holds ``s``; none for one class of characters."""
+def infer_encoding(s: str) -> tuple[str, str]:
+    """Name and alphabet of the first encoding that holds ``s``; runs hold no other characters than the last one's."""
     have = set(s)
-    if len(set(map(class_of, have)) - {"m"}) < 2:
-        return None
-    return next(((n, a) for n, a in ALPHABETS if have <= set(a)), None)
+    return next((n, a) for n, a in ALPHABETS if have <= set(a))
 
 
 def normal_tail(z: float) -> float:
@@ -108,8 +109,8 @@ def structured_shares(alphabet: str) -> tuple[float, ...]:
     return tuple(x / sums[class_of(c)] * weight[class_of(c)] / there for x, c in zip(share, alphabet, strict=True))
 
 
-def battery(s: str, alphabet: str) -> tuple[float, float, float]:
-    """p-values of ``s`` against structure: evenness, serial correlation, class changes."""
+def battery(s: str, alphabet: str) -> tuple[float, ...]:
+    """p-values of ``s`` against structure: evenness, serial correlation and, of several classes, class changes."""
     n, size, shares = len(s), len(alphabet), structured_shares(alphabet)
     at = [alphabet.index(c) for c in s]
     groups = min(size, max(2, n // 5))
@@ -129,8 +130,13 @@ def battery(s: str, alphabet: str) -> tuple[float, float, float]:
     middle = sum(at) / n
     var = sum((x - middle) ** 2 for x in at)
     r = sum((a - middle) * (b - middle) for a, b in zip(at, at[1:], strict=False)) / var if var else 1.0
+    one = len(set(map(class_of, alphabet))) == 1
+    if one:  # vowels and consonants, or padded digits, alternate: neighbours that differ go together too
+        r = abs(r)
     serial = normal_tail((math.atanh(TOGETHER) - math.atanh(max(-0.999, min(0.999, r)))) * math.sqrt(n - 3))
     kind = [class_of(c) for c in s]
+    if one:
+        return uniform, serial
     changes = sum(a != b for a, b in zip(kind, kind[1:], strict=False))
     return uniform, serial, binomial_tail(changes, n - 1, CHANGE_RATE)
 
@@ -147,18 +153,29 @@ def combined(ps: tuple[float, ...]) -> float:
 
 def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
     """Runs outside the base spans with the bin of their combined p-value."""
-    out = []
+    taken: list[list[int]] = []  # the base spans' union, in order
+    for x, _, y in spans:  # by start
+        if taken and x <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], y)
+        else:
+            taken.append([x, y])
+    out, k = [], 0
     for m in TOKEN.finditer(text):
         a, end = m.span()
         parts = []
-        for x, _, y in spans:  # by start
-            if x < end and a < y:
+        while k < len(taken) and taken[k][0] < end:
+            x, y = taken[k]
+            if a < y:
                 parts.append((a, x))
-                a = max(a, y)
+                a = y
+            if y > end:  # it may reach into the next run
+                break
+            k += 1
         for x, y in [*parts, (a, end)]:
             s = text[x:y].rstrip("=")
-            if len(s) < LENGTHS[0] or not (enc := infer_encoding(s)):
+            if len(s) < LENGTHS[0]:
                 continue
+            enc = infer_encoding(s)
             p = combined(battery(s, enc[1]))
             bin_ = min(BINS - 1, int(-10 * math.log10(max(p, 1e-300))))
             out.append({"start": x, "end": y, "encoding": enc[0], "length_class": sum(len(s) >= n for n in LENGTHS) - 1, "p_bin": bin_})
