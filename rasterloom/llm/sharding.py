@@ -5,8 +5,10 @@ Rows are ordered by size class (powers of four, largest first), then by a
 together. Splitters are found by counting, never by sampling: each round counts
 the exact bytes below every candidate boundary (4,096 per splitter) in one
 partial aggregation, keeps a boundary that meets the tolerance and otherwise
-probes inside the bin that holds the target. Only when a bin holds a single
-text does the id hash split it, so a hot group of copies is cut between shards.
+probes inside the bin that holds the target. When a bin holds a single text, the
+cut goes beside it if the smaller size classes have twice its bytes for every
+shard, so that they can even it out; only larger groups of copies are cut
+between shards, by the id hash.
 The driver sees at most 4,096 counts per class or splitter and round. Then rows
 are exchanged once, by range.
 
@@ -58,13 +60,14 @@ def size_class(size: Column) -> Column:
     return F.when(size < 2, 0).otherwise(F.ceil(F.length(F.bin(size)) / 2)).cast("int")
 
 
-def splitters(rows: DataFrame, targets: list[float], slack: float, first: list[tuple[int, int, int]] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
+def splitters(rows: DataFrame, targets: list[float], slack: float, first: list[tuple[int, int, int]] | None = None, whole: float = 0) -> tuple[list[tuple[int, int]], list[int]]:
     """Boundaries (k1, k2) with ``targets`` bytes below them, and those bytes; a
     row belongs left of one if its keys are below it.
 
     ``rows`` has k1, k2 and size; ``first``: the (digit, bytes, rows) of its
     first level, if counted before. A boundary is accepted within ``slack``
-    bytes of its target, else refined as far as the keys allow."""
+    bytes of its target, else refined as far as the keys allow; rows of one k1
+    with at most ``whole`` bytes aren't parted."""
     found: dict[int, tuple[tuple[int, int], int]] = {}
     #: splitter -> (prefix as tuple of known key digits, bytes below the prefix)
     active = {i: ((), 0) for i in range(len(targets))}
@@ -80,12 +83,12 @@ def splitters(rows: DataFrame, targets: list[float], slack: float, first: list[t
                     if best is None or abs(bytes_below - target) < abs(best[0] - target):
                         best = (bytes_below, prefix + (edge,))
                 if at <= target < at + b:
-                    inside = (prefix + (d,), at, n)
+                    inside = (prefix + (d,), at, n, b)
                 at += b
             if best is None:
                 found[i] = (0, 0), 0
                 del active[i]
-            elif abs(best[0] - target) <= slack or level == 2 * LEVELS - 1 or inside is None or inside[2] == 1:
+            elif abs(best[0] - target) <= slack or level == 2 * LEVELS - 1 or inside is None or inside[2] == 1 or (level == LEVELS - 1 and inside[3] <= whole):
                 found[i] = _bound(best[1]), best[0]
                 del active[i]
             else:
@@ -137,11 +140,13 @@ def level_cuts(sized: DataFrame, n_shards: int, tolerance: float) -> dict[int, l
         first.setdefault(r["kind"], []).append((r["d"], r["b"], r["n"]))
     slack = tolerance * sum(b for bins in first.values() for _, b, _ in bins) / n_shards
     loads, cuts = [0] * n_shards, {}
+    rest = sum(b for bins in first.values() for _, b, _ in bins)
     for kind in sorted(first, reverse=True):
         total = sum(b for _, b, _ in first[kind])
+        rest -= total
         shares = room(loads, total)
         targets = [sum(shares[:i]) for i in range(1, n_shards)]
-        cuts[kind], below = splitters(sized.filter(F.col("kind") == kind), targets, slack, first[kind])
+        cuts[kind], below = splitters(sized.filter(F.col("kind") == kind), targets, slack, first[kind], rest / n_shards / 2)
         ends = [0, *below, total]
         loads = [x + b - a for x, a, b in zip(loads, ends, ends[1:], strict=False)]
     return cuts

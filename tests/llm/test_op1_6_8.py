@@ -1,10 +1,11 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from data import SCHEMA, awkward, frame, write
+from data import SCHEMA, awkward, frame, words, write
 
 from rasterloom.llm import exact_dedup, packing, sharding
 
@@ -58,6 +59,7 @@ def test_sharding(spark, tmp_path):
     total, longest = sum(size.values()), max(r.size for r in got)
     rest = (total - longest) / 15
     assert all(abs(size[s] - rest) <= 0.02 * rest for s in range(16) if size[s] != longest)
+
     # in a shard rows lie by size class, so that one rule holds for all sizes
     for k in range(16):
         mine = [r.size for r in sorted((r for r in got if r.shard == k), key=lambda r: r.slot)]
@@ -140,3 +142,24 @@ def test_packing(spark, tmp_path):
         docs[(first.doc_id, tuple(ids))] += 1
     assert docs == want
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_small_groups_stay_whole(spark, tmp_path):
+    """Only groups that smaller texts can't even out are parted, and sizes are near equal still."""
+    rng = random.Random(3)
+    texts = [words(rng, rng.randrange(1, 400)) for _ in range(900)]
+    texts += [t for t in rng.sample(texts, 120) for _ in range(rng.randrange(1, 4))] + ["a hot text of many rows " * 9] * 700
+    rows = [(i, t, None, None, None, None, None) for i, t in enumerate(texts)]
+    got = sharding.op6_sharding(spark, write(spark, tmp_path, rows)).collect()
+    size, where, held = Counter(), defaultdict(set), Counter()
+    for r in got:
+        size[r.shard] += r.size
+        where[texts[r.doc_id]].add(r.shard)
+        held[texts[r.doc_id]] += r.size
+    mean = sum(size.values()) / 16
+    assert max(abs(size[s] - mean) for s in range(16)) <= 0.01 * mean
+    classes = {t: 0 if len(t) < 1 else -(-(len(t) + 1).bit_length() // 2) for t in held}
+    for t, shards in where.items():
+        smaller = sum(b for x, b in held.items() if classes[x] < classes[t])
+        assert len(shards) == 1 or held[t] > smaller / 16 / 2
+    assert sum(len(s) > 1 for s in where.values()) <= 3
