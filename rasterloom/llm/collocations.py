@@ -168,62 +168,87 @@ def phrase_intervals(ids: np.ndarray, room: np.ndarray, m: int) -> tuple[np.ndar
     return order, starts, np.diff(np.append(starts, len(order)))
 
 
-def count_phrases(m: int):
-    """Shards to (shard, head, tail, n): their phrases of m words by the ids of
-    the first and last m - 1. Input: shard, words (ids as binary), grams (ids of
-    the m - 1 words from each place, -1 where they aren't frequent)."""
+def phrases_of(name: int, ids: np.ndarray, gram: np.ndarray, m: int):
+    """Batches (shard, head, tail, n) of a shard's phrases of m words, by the ids
+    of their first and last m - 1. ``ids``: the words; ``gram``: ids of the m - 1
+    words from each place, -1 where they aren't frequent."""
+    # a phrase of m words starts where two frequent ones of m - 1 start in a row
+    begins = np.zeros(len(ids), bool)
+    begins[:-1] = (gram[:-1] >= 0) & (gram[1:] >= 0)
+    order, starts, n = phrase_intervals(ids, room_for(begins, m), m)
+    for a in range(0, len(starts), 1 << 16):
+        at, some = order[starts[a : a + (1 << 16)]], n[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), pa.array(gram[at]), pa.array(gram[at + 1]), pa.array(some)], names=["shard", "head", "tail", "n"])
+
+
+def named_words(codes: bytes, found: pa.StructArray) -> np.ndarray:
+    """The ids of a shard's words, -1 between pieces and for rare ones; ``found``: place and id of the frequent."""
+    codes, (place, ids) = np.frombuffer(codes, np.int32), (np.asarray(x) for x in found.flatten())
+    table = np.full(max(int(codes.max(initial=0)), int(place.max(initial=0))) + 1, -1, np.int64)
+    table[place] = ids
+    words = table[codes]
+    near = np.concatenate(([-1], words, [-1])) >= 0
+    return words[near[1:-1] | near[:-2]]  # one end of piece is enough
+
+
+def named_phrases(gram: np.ndarray, found: pa.StructArray) -> np.ndarray:
+    """Ids of the phrases of one word more from each place; ``found``: head, tail and id of the frequent."""
+    head, tail, ids = (np.asarray(x) for x in found.flatten())
+    # pairs as one number: places of their parts among the parts that occur
+    parts = np.unique(np.concatenate((head, tail)))
+    key = np.searchsorted(parts, head) * len(parts) + np.searchsorted(parts, tail)
+    order = np.argsort(key)
+    key, ids = key[order], ids[order]
+    met, which = np.unique(gram, return_inverse=True)
+    at = np.minimum(np.searchsorted(parts, met), len(parts) - 1)
+    at = np.where(parts[at] == met, at, -1)[which]
+    both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+    pair, back = np.unique(at[both] * len(parts) + at[both + 1], return_inverse=True)
+    slot = np.minimum(np.searchsorted(key, pair), len(key) - 1)
+    longer = np.full(len(gram), -1, np.int64)
+    longer[both] = np.where(key[slot] == pair, ids[slot], -1)[back]
+    return longer
+
+
+def _shards(batches):
+    base.cached()
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column(0)[k].as_py(), [x[k] for x in batch.columns[1:]]
 
-    def run(batches):
-        base.cached()
-        for batch in batches:
-            for name, words, grams in zip(*[batch.column(k) for k in range(3)], strict=True):
-                ids = np.frombuffer(words.as_py(), np.int64)
-                gram = ids if grams.as_py() is None else np.frombuffer(grams.as_py(), np.int64)
-                # a phrase of m words starts where two frequent ones of m - 1 start in a row
-                begins = np.zeros(len(ids), bool)
-                begins[:-1] = (gram[:-1] >= 0) & (gram[1:] >= 0)
-                order, starts, n = phrase_intervals(ids, room_for(begins, m), m)
-                for a in range(0, len(starts), 1 << 16):
-                    at, some = order[starts[a : a + (1 << 16)]], n[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name.as_py())), pa.array(gram[at]), pa.array(gram[at + 1]), pa.array(some)], names=["shard", "head", "tail", "n"])
 
-    return run
+def _stream(name: int, words: np.ndarray, gram: np.ndarray | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([words.tobytes()], pa.binary()), pa.array([None if gram is None else gram.tobytes()], pa.binary())], names=["shard", "words", "grams"])
+
+
+def _read(words, grams) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(words.as_py(), np.int64)
+    return ids, np.frombuffer(grams.as_py(), np.int64) if grams.is_valid else ids
 
 
 def name_words(batches):
     """(shard, codes, ids of its frequent words) to (shard, words, grams)."""
-    base.cached()
-    for batch in batches:
-        for k in range(batch.num_rows):
-            codes = np.frombuffer(batch.column(1)[k].as_py(), np.int32)
-            place, ids = (np.asarray(x) for x in batch.column(2)[k].values.flatten())
-            table = np.full(max(int(codes.max(initial=0)), int(place.max(initial=0))) + 1, -1, np.int64)
-            table[place] = ids
-            words = table[codes]
-            near = np.concatenate(([-1], words, [-1])) >= 0
-            words = words[near[1:-1] | near[:-2]]  # one end of piece is enough
-            yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], pa.array([words.tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["shard", "words", "grams"])
+    for name, (codes, found) in _shards(batches):
+        yield _stream(name, named_words(codes.as_py(), found.values), None)
 
 
 def name_phrases(batches):
-    """(shard, words, grams, frequent phrases as head, tail, id) to (shard, words, grams of one word more)."""
-    base.cached()
-    for batch in batches:
-        for k in range(batch.num_rows):
-            words, grams = (x[k].as_py() for x in batch.columns[1:3])
-            gram = np.frombuffer(words if grams is None else grams, np.int64)
-            head, tail, ids = (np.asarray(x) for x in batch.column(3)[k].values.flatten())
-            # pairs as one number: places of their parts among the parts that occur
-            parts = np.unique(np.concatenate((head, tail)))
-            key = np.searchsorted(parts, head) * len(parts) + np.searchsorted(parts, tail)
-            by = np.argsort(key)
-            at = np.minimum(np.searchsorted(parts, gram), len(parts) - 1)
-            known = parts[at] == gram
-            pair = at[:-1] * len(parts) + at[1:]
-            slot = by[np.minimum(np.searchsorted(key, pair, sorter=by), len(by) - 1)]
-            longer = np.full(len(gram), -1, np.int64)
-            longer[:-1] = np.where(known[:-1] & known[1:] & (key[slot] == pair), ids[slot], -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], batch.column(1)[k : k + 1], pa.array([longer.tobytes()], pa.binary())], names=["shard", "words", "grams"])
+    """(shard, words, grams, frequent phrases) to (shard, words, grams of one word more)."""
+    for name, (words, grams, found) in _shards(batches):
+        ids, gram = _read(words, grams)
+        yield _stream(name, ids, named_phrases(gram, found.values))
+
+
+def count_phrases(m: int, named: bool):
+    """(shard, words, grams) to its phrases of m words; unless ``named``, grams are those
+    of m - 2 words, and a fourth column has the frequent ones of m - 1."""
+
+    def run(batches):
+        for name, (words, grams, *found) in _shards(batches):
+            ids, gram = _read(words, grams)
+            yield from phrases_of(name, ids, gram if named else named_phrases(gram, found[0].values), m)
+
+    return run
 
 
 STREAMS = "shard long, words binary, grams binary"
@@ -259,22 +284,26 @@ def phrase_counts(docs: DataFrame, scratch: base.Scratch, lang_col: str = "lang"
         base.sweep(spark)
         one = words.select("id", "lang", F.array("word").alias("phrase"), "n", F.lit(None).cast("long").alias("head"), F.lit(None).cast("long").alias("tail"), F.array("n").alias("heads"), F.array("n").alias("tails"))
         levels = [one]
+        read, named = stream, True
         for m in range(2, most + 1):
-            found = stream.mapInArrow(count_phrases(m), "shard long, head long, tail long, n long")
+            found = read.mapInArrow(count_phrases(m, named), "shard long, head long, tail long, n long")
             if m == most:
                 frequent = found.groupBy("head", "tail").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-                named = scratch.table(frequent.withColumn("id", F.lit(None).cast("long")))
+                level = scratch.table(frequent.withColumn("id", F.lit(None).cast("long")))
             else:
                 of_key = Window.partitionBy("head", "tail")
                 there = scratch.table(found.withColumn("total", F.sum("n").over(of_key)).filter(F.col("total") >= least).select("shard", "head", "tail", F.col("total").alias("n")))
                 base.sweep(spark)
-                named = scratch.table(with_ids(there.groupBy("head", "tail").agg(F.first("n").alias("n")), scratch))
-                own = there.join(base.small(named.select("head", "tail", "id")), ["head", "tail"]).groupBy("shard").agg(F.collect_list(F.struct("head", "tail", "id")).alias("ids"))
-                stream = scratch.table(stream.join(own, "shard").mapInArrow(name_phrases, STREAMS))
-                base.sweep(spark)
+                level = scratch.table(with_ids(there.groupBy("head", "tail").agg(F.first("n").alias("n")), scratch))
+                own = there.join(base.small(level.select("head", "tail", "id")), ["head", "tail"]).groupBy("shard").agg(F.collect_list(F.struct("head", "tail", "id")).alias("ids"))
+                read, named = stream.join(own, "shard"), False  # named and counted in one pass
+                if m + 1 < most:
+                    stream = read = scratch.table(read.mapInArrow(name_phrases, STREAMS))
+                    named = True
+                    base.sweep(spark)
             first = base.small(levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("p"), F.col("heads").alias("h")))
             last = base.small(levels[-1].select(F.col("id").alias("tail"), F.col("phrase").alias("q"), F.col("tails").alias("t")))
-            joined = named.join(first, "head").join(last, "tail")
+            joined = level.join(first, "head").join(last, "tail")
             phrase = F.concat("p", F.slice("q", -1, 1))
             levels.append(scratch.table(joined.select("id", "lang", phrase.alias("phrase"), "n", "head", "tail", F.concat("h", F.array("n")).alias("heads"), F.concat("t", F.array("n")).alias("tails"))))
     return totals, levels
