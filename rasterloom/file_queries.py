@@ -313,8 +313,8 @@ def _ac_codes(name, bits, symbols):
         return entropy.canonical_codes(spark, bits, symbols)
 
 
-_ac_codes("huffman_codes_ac_luma", fixed.AC_LUMA_BITS, fixed.ac_symbols(fixed.AC_LUMA_FIRST))
-_ac_codes("huffman_codes_ac_chroma", fixed.AC_CHROMA_BITS, fixed.ac_symbols(fixed.AC_CHROMA_FIRST))
+_ac_codes("huffman_codes_ac_luma", fixed.AC_LUMA_BITS, fixed.AC_LUMA)
+_ac_codes("huffman_codes_ac_chroma", fixed.AC_CHROMA_BITS, fixed.AC_CHROMA)
 
 
 @query()

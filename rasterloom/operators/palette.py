@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -120,16 +120,89 @@ def box_palette(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(F.col("box").alias("idx")).agg(mean("r"), mean("g"), mean("b"))
 
 
-def dithered(pixels: DataFrame, colors: int) -> DataFrame:
+def dithered(pixels: DataFrame, colors: int | Column) -> DataFrame:
     """``pixels`` with the ordered 4x4 thresholds added for a palette of ``colors``
     entries, in single precision, rounded half away from zero and clamped."""
-    spread = F.lit(255.0).cast("float") / F.lit(max(colors - 1, 1)).cast("float") if colors > 1 else F.lit(128.0).cast("float")
-    spread = spread.cast("float")
+    n = F.lit(colors) if isinstance(colors, int) else colors
+    spread = F.when(n > 1, F.lit(255.0).cast("float") / F.greatest(n - 1, F.lit(1)).cast("float")).otherwise(128.0).cast("float")
     at = F.element_at(F.array(*[F.lit(v / 16).cast("float") for v in fixed.BAYER]), (F.pmod("y", F.lit(4)) * 4 + F.pmod("x", F.lit(4)) + 1).cast("int"))
     moved = {c: (F.col(c).cast("float") + (at * spread).cast("float")).cast("float").cast("double") for c in "rgb"}
     return pixels.withColumns({c: clamp(F.when(v >= 0, F.floor(v + 0.5)).otherwise(F.ceil(v - 0.5))) for c, v in moved.items()})
 
 
+def diffuse(y: np.ndarray, x: np.ndarray, rgb: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Entry numbers of one image's pixels, given in any order, with error diffusion.
+
+    A pixel takes 7/16, 3/16, 5/16 and 1/16 of the errors of its left, upper
+    right, upper and upper left neighbour, in single precision; it is rounded
+    half away from zero and clamped before its entry is chosen (the first of
+    equally near ones) and its own error taken. Pixels with equal x + 2 y don't
+    wait for each other: an image takes W + 2 H steps over vectors."""
+    height, width = int(y.max()) + 1, int(x.max()) + 1
+    own = np.zeros((height, width, 3), np.float32)
+    own[y, x] = rgb
+    error = np.zeros((height + 1, width + 2, 3), np.float32)  # a border without errors: above, left and right
+    out = np.zeros((height, width), np.int64)
+    shares = [np.float32(n / 16) for n in (1, 5, 3, 7)]
+    for t in range(width + 2 * (height - 1)):
+        r = np.arange(max(0, -(-(t - width + 1) // 2)), min(height - 1, t // 2) + 1)
+        c = t - 2 * r
+        v = own[r, c]
+        for share, (dr, dc) in zip(shares, ((0, 0), (0, 1), (0, 2), (1, 0)), strict=True):
+            v = v + error[r + dr, c + dc] * share
+        shown = np.clip(np.trunc(v + np.copysign(np.float32(0.5), v)), 0, 255).astype(np.int64)
+        near = ((shown[:, None] - entries[None]) ** 2).sum(axis=2).argmin(axis=1)
+        out[r, c] = near
+        error[r + 1, c + 1] = shown - entries[near]
+    return out[y, x]
+
+
+def error_diffused(pixels: DataFrame, palette: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``pixels`` (keys, y, x, r, g, b and others) with idx, images apart by ``keys``.
+
+    ``palette`` has idx, r, g, b of every image. An image is a group, as every
+    pixel waits for those before it; images run side by side. Images without a
+    palette have no result."""
+    if not keys:
+        raise ValueError("error diffusion needs the columns that tell images apart")
+    ready(pixels.sparkSession)
+
+    def run(image: pa.Table, entries: pa.Table) -> pa.Table:
+        if not image.num_rows or not entries.num_rows:
+            return image.slice(0, 0).append_column("idx", pa.array([], pa.int64()))
+        entries = entries.sort_by("idx")
+        colors = np.stack([entries[c].to_numpy() for c in "rgb"], 1).astype(np.int64)
+        at = diffuse(image["y"].to_numpy(), image["x"].to_numpy(), np.stack([image[c].to_numpy() for c in "rgb"], 1), colors)
+        return image.append_column("idx", pa.array(entries["idx"].to_numpy()[at]))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.schema)
+    own = [f"_k{i}" for i in range(len(keys))]  # the palettes may come from the same table
+    entries = palette.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col("idx").cast("bigint").alias("idx"), *[F.col(c).alias(c) for c in "rgb"])
+    return pixels.groupBy(*keys).cogroup(entries.groupBy(*own)).applyInArrow(run, f"{kinds}, idx bigint")
+
+
+def quantize_images(pixels: DataFrame, colors: int = 256, method: str = "median_cut", dither: str = "none", keys: tuple[str, ...] = ("image",)) -> tuple[DataFrame, DataFrame]:
+    """(palettes, pixels with idx) of many images told apart by ``keys``, each with a palette of its own.
+
+    method: median_cut or uniform; dither: none, ordered or diffused. Images
+    meet only their own palettes, by a join on the keys."""
+    if method not in ("median_cut", "uniform") or dither not in ("none", "ordered", "diffused"):
+        raise ValueError(f"no quantization {method} with dither {dither}")
+    if method == "median_cut":
+        entries = median_cut(pixels, colors, keys)
+    else:
+        entries = pixels.select(*keys).distinct().join(F.broadcast(uniform_palette(pixels.sparkSession, colors)))  # at most 216 entries
+    if dither == "diffused":
+        return entries, error_diffused(pixels, entries, keys)
+    gathered = entries.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("entries"))  # at most 256 an image
+    shown = pixels.join(gathered, list(keys))
+    if dither == "ordered":
+        shown = dithered(shown, F.size("entries"))
+    near = F.array_min(F.transform("entries", lambda e: F.struct(
+        ((F.col("r") - e.r) * (F.col("r") - e.r) + (F.col("g") - e.g) * (F.col("g") - e.g) + (F.col("b") - e.b) * (F.col("b") - e.b)).alias("d"), e.idx.alias("idx"))))
+    return entries, shown.select(*pixels.columns, near["idx"].alias("idx"))
+
+
 def quantize(pixels: DataFrame, colors: int = 256, method: str = "median_cut", dither: str = "none") -> tuple[DataFrame, DataFrame]:
     """(palette, pixels with idx) of one image: median_cut or uniform, plain or ordered."""
     if method not in ("median_cut", "uniform") or dither not in ("none", "ordered"):

@@ -635,3 +635,4 @@ def decode_limits(spark, sf_dir):
 
 
 from . import file_queries  # noqa: E402, F401  registers its own here
+from . import batch_queries  # noqa: E402, F401  as well
