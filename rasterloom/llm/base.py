@@ -48,6 +48,29 @@ def cached(name: str | None = None, make=None):
     return _cached.get(name)
 
 
+class Seen(dict):
+    """What ``make`` gave for keys of at most 64 characters or bytes met lately.
+
+    ``age`` keeps the last ``limit`` keys and as many before them: what is met
+    again in time stays."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(key) <= 64:
+            self[key] = made
+        return made
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

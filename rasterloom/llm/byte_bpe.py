@@ -72,26 +72,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-class Seen(dict):
-    """Ids of the pre-tokens met lately; what is met again before the next ``age`` that is due stays."""
-
-    def __init__(self, encode):
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encode(word.encode())
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def age(self) -> None:
-        if len(self) > CACHE:
-            self.older = dict(self)
-            self.clear()
-
-
 class Codec:
     """Encoder and decoder of one vocabulary, with the pre-tokens seen lately."""
 
@@ -109,7 +89,7 @@ class Codec:
         self.words = [0] * ((size >> self.shift) + 1)
         self.bit = [1 << k for k in range(max(1 << self.shift, len(self.words)))]
         self.buckets: list = [None] * size
-        self.seen = Seen(self.packed)
+        self.seen = base.Seen(lambda word: self.packed(word.encode()), CACHE)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. ``top`` and ``words`` are the bitmap, all zero between calls."""

@@ -13,7 +13,8 @@ piece. Nothing is shuffled but the partition totals.
 
 Tokens are looked up by word: the tokenizer drops white space, so a text's ids
 are those of its white-space separated chunks, and most chunks recur. The
-cache of a worker is bounded: ``CACHE`` chunks of at most 64 bytes, under 100 MB.
+cache of a worker is bounded: the last ``CACHE`` chunks of at most 64 bytes and as
+many before them, under 100 MB.
 
 Defined results: a null or empty text is one separator. Null and repeated ids
 are packed like others, one document per row. Very long texts are cut like
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 600_000, 128
+LENGTH, SEPARATOR, CACHE, GROUP = 2048, 1, 300_000, 128
 
 
 def tokenizer_path() -> str:
@@ -48,61 +49,40 @@ def text_encoder(path: str):
     """A function from lists of UTF-8 texts to lists of little-endian uint32 id bytes.
 
     It lives as long as the Python worker, so tasks share its cache. A new
-    chunk is looked up as a word and its closing ASCII punctuation, which the
+    chunk is taken as a word and its closing ASCII punctuation, which the
     tokenizer splits anyway, and only new words are encoded."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    cache: dict[bytes, bytes] = {}
-
-    def chunks(text: bytes) -> list[bytes]:
-        # Special tokens and combining marks (UTF-8 CC, CD) are sensitive to case; else case doesn't matter.
-        plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
-        return (text.lower() if plain else text).split()
-
-    def parts(chunk: bytes) -> tuple[bytes, ...]:
-        head = chunk.rstrip(PUNCTUATION)
-        whole = b"<|" in chunk or not head or len(head) == len(chunk) or not head[-1:].isalnum()
-        return (chunk,) if whole else (head, chunk[len(head) :])
-
     model = tok.model
     # The byte-level alphabet: printable bytes stand for themselves, the rest for 256 and on.
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letter = [chr(b if b in printable else 256 + b - sum(p < b for p in printable)) for b in range(256)]
 
-    def encode_words(pieces: list[bytes]) -> dict[bytes, bytes]:
+    def packed(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def ids_of(chunk: bytes) -> bytes:
         """Letters of the Latin blocks are one word of the model in any case; the rest takes the whole tokenizer."""
-        out, rest = {}, []
-        for p in pieces:
-            if p.isalpha():
-                word = p.decode().lower()
-            elif p.isascii() or not (word := p.decode().lower()).isalpha() or max(word) >= "\u0180":
-                rest.append(p)
-                continue
-            else:
-                word = "".join([letter[b] for b in word.encode()])
-            out[p] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
-        for p, e in zip(rest, tok.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
-            out[p] = array("I", e.ids).tobytes()
-        return out
+        if chunk.isalpha():  # of bytes: ASCII letters
+            return packed([t.id for t in model.tokenize(chunk.decode().lower())])
+        head = chunk.rstrip(PUNCTUATION)
+        if head and len(head) < len(chunk) and head[-1:].isalnum() and b"<|" not in chunk:
+            return seen[head] + seen[chunk[len(head) :]]
+        if not chunk.isascii() and (word := chunk.decode().lower()).isalpha() and max(word) < "\u0180":
+            return packed([t.id for t in model.tokenize("".join([letter[b] for b in word.encode()]))])
+        return packed(tok.encode(chunk.decode(), add_special_tokens=False).ids)
+
+    seen = base.Seen(ids_of, CACHE)
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(cache) > CACHE:
-            cache.clear()
-        words = [chunks(t) for t in texts]
-        split = {w: parts(w) for w in set().union(*words) if w not in cache}
-        ids = encode_words(list({p for ps in split.values() for p in ps if p not in cache}))
-        long = []
-        for w, ps in split.items():
-            both = [ids[p] if p in ids else cache[p] for p in ps]
-            cache[w] = both[0] if len(ps) == 1 else both[0] + both[1]
-            if len(w) > 64:
-                long.append(w)
-        out = [b"".join(map(cache.__getitem__, ws)) for ws in words]
-        for w in long:
-            del cache[w]
-        cache.update((p, x) for p, x in ids.items() if len(p) <= 64)
+        out = []
+        for text in texts:
+            # Special tokens and combining marks (UTF-8 CC, CD) are sensitive to case; else case doesn't matter.
+            plain = b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+            out.append(b"".join(map(seen.__getitem__, (text.lower() if plain else text).split())))
+            seen.age()
         return out
 
     return encode
