@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .base import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, at_most: int | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, at_most: int | None = None) -> DataFrame:
     """(node, label): the smallest node reachable, for every node that has an edge.
+    Rounds go on until none changes an edge; their number grows with the
+    logarithm of the nodes.
 
     ``edges`` has u and v (long), in any direction. Each round is two
     aggregations with partial aggregation and two joins; hot nodes are joined,
@@ -20,7 +22,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, at_most: in
 
     now = scratch.table(canon(edges), rows=at_most)
     seen, size = None, now.count()
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = canon(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))

@@ -11,7 +11,8 @@ Documents with equal n-gram sets form a class; classes are joined at Jaccard
    one class are set aside: no overlap contains them. A class with too few
    shared n-grams leaves.
 3. Classes that share an n-gram of their new prefixes are candidates. Connected
-   candidates are brought together, at most about ``GROUP`` in a task.
+   candidates are brought together, at most about ``GROUP`` of them and ``GRAMS``
+   n-grams in a task (about 200 MB; one class with more is alone).
 4. Prefix-tree join. A task stores the ordered sets of a group in a trie, so
    equal beginnings are stored and compared once. A probe walks the trie with
    its overlap so far; a subtree is left when the overlap so far and the
@@ -50,7 +51,7 @@ from pyspark.sql import functions as F
 
 from . import base, grams, graph
 
-N, PERCENT, GROUP, CHUNK = 5, 75, 1500, 256
+N, PERCENT, GROUP, GRAMS, CHUNK = 5, 75, 1500, 2_000_000, 256
 #: N-grams in a bucket, classes that make an n-gram hot, n-grams a task counts at once.
 BUCKET, HOT, COUNTED = 4_000_000, 1_000_000, 2_000_000
 #: Times the hashes may mislead before it is an error.
@@ -160,7 +161,7 @@ def hot_grams(texts: DataFrame, n: int, seed: int, least: int, scratch: base.Scr
     return np.sort(np.array([r[0] for r in found.collect()], "<i8").view("<u8"))  # at most 2 n-grams / least rows
 
 
-def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch: base.Scratch, group: int = GROUP, seed: int = 0, n_grams: int = 0, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch: base.Scratch, group: int = GROUP, seed: int = 0, n_grams: int = 0, hot: int = HOT, most: int = GRAMS) -> tuple[DataFrame, DataFrame]:
     """((node, label) of linked classes, the links); ``texts`` has cid and text."""
     spark = texts.sparkSession
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_grams // BUCKET))
@@ -245,19 +246,27 @@ def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch
     near = held.join(heads, "token").select(F.col("cid").alias("u"), F.col("head").alias("v")).distinct()
     candidates = graph.components(near, scratch)
 
-    sized = scratch.table(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("k")), rows=n_classes)
-    placed = candidates.join(sized, "label").select(F.col("node").alias("cid"), F.col("label").alias("comp"), (F.col("k") > group).alias("large"), F.ceil(F.col("k") / group).alias("blocks"))
-    placed = placed.join(sets, "cid").withColumn("rarest", F.col("prefix")[0])
-    small_bin = F.pmod(F.xxhash64("comp"), F.lit(n_buckets)).cast("long")
+    lengths = sets.select("cid", (F.octet_length("tokens") / 8).cast("long").alias("size"))
+
+    def groups_of(rows, per: int = 1):
+        """Groups of at most ``per`` times ``group`` rows and of ``most`` n-grams that ``rows`` and the sum of ``size`` take."""
+        return F.ceil(F.greatest(rows / (per * group), F.sum("size") / most))
+
+    sized = candidates.join(lengths, candidates.node == lengths.cid).groupBy("label").agg(groups_of(F.count(F.lit(1))).alias("blocks"), F.sum("size").alias("size"))
+    sized = scratch.table(sized, rows=n_classes)
+    placed = candidates.join(sized.drop("size"), "label").select(F.col("node").alias("cid"), F.col("label").alias("comp"), (F.col("blocks") > 1).alias("large"), "blocks")
+    placed = placed.join(sets, "cid").withColumn("rarest", F.col("prefix")[0]).withColumn("size", F.octet_length("tokens") / 8)
+    bins = max(n_buckets, -(-2 * (sized.filter("blocks = 1").agg(F.sum("size")).first()[0] or 0) // most))
+    small_bin = F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("long")
     small_ones = placed.filter("NOT large").select("cid", "comp", "large", "n", "tokens", (-1 - small_bin).alias("bin"), F.lit(0).cast("long").alias("block"))
     # sets with one rarest n-gram lie together; many of them are dealt to blocks of their own
-    family = placed.filter("large").groupBy("comp", "rarest").agg(F.ceil(F.count(F.lit(1)) / group).alias("parts"))
+    family = placed.filter("large").groupBy("comp", "rarest").agg(groups_of(F.count(F.lit(1))).alias("parts"))
     block = F.when(F.col("parts") > 1, F.xxhash64("rarest", F.pmod(F.xxhash64("cid"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("rarest"), F.col("blocks")))
     dealt = placed.filter("large").join(family, ["comp", "rarest"]).select("cid", "comp", "large", "n", "tokens", F.col("comp").alias("bin"), block.cast("long").alias("block"))
     members = scratch.table(small_ones.unionByName(dealt))
     links = members.withColumn("asks", F.lit(True)).withColumn("known", F.col("cid")).groupBy("bin", "block").applyInArrow(trie_links(percent), "u long, v long")
     links = scratch.table(links)
-    if sized.filter(F.col("k") > group).isEmpty():
+    if sized.filter("blocks > 1").isEmpty():
         return graph.components(links, scratch), links
 
     # The classes outside the largest component of their large group probe the other blocks they may link in.
@@ -273,7 +282,7 @@ def join_classes(texts: DataFrame, n_classes: int, n: int, percent: int, scratch
     fits = (F.col("block") != F.col("own")) & (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
     visits = scratch.table(asked.join(places, ["comp", "token"]).filter(fits).select("cid", "comp", "block").distinct())
     # a block with many visitors is held by several tasks
-    shares = scratch.table(visits.groupBy("comp", "block").agg(F.ceil(F.count(F.lit(1)) / (4 * group)).alias("shares")))
+    shares = scratch.table(visits.join(lengths, "cid").groupBy("comp", "block").agg(groups_of(F.count(F.lit(1)), 4).alias("shares")))
     probes = visits.join(shares, ["comp", "block"]).withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares"))).join(rest.drop("comp", "block"), "cid").withColumn("asks", F.lit(True))
     stored = large.join(shares, ["comp", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).withColumn("asks", F.lit(False))
     columns = ["bin", "block", "share", "comp", "cid", "n", "tokens", "known", "asks"]
@@ -394,14 +403,14 @@ def trie_links(percent: int):
             up = {}
             for i in rows:
                 up[int(cid[i])] = up[int(known[i])] = int(known[i])
-            root, stored = Trie(local[0][:0]), set()
+            root, stored, mark = Trie(local[0][:0]), set(), np.zeros(len(every), bool)
             # sets that don't ask first: then every asking set meets all others once
             for i, s in sorted(zip(rows.tolist(), local, strict=True), key=lambda x: bool(asks[x[0]])):
                 me = int(cid[i])
                 if asks[i]:
-                    mark = np.zeros(len(every), bool)
                     mark[s] = True
                     probe(root, mark, int(n[i]), len(s), me, up, links)
+                    mark[s] = False
                 if me not in stored:
                     stored.add(me)
                     root.insert(s, int(n[i]), me)
@@ -410,7 +419,7 @@ def trie_links(percent: int):
     return run
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, group: int = GROUP, hot: int = HOT) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, group: int = GROUP, hot: int = HOT, most: int = GRAMS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, carrier (hash of the text)."""
     scratch = base.Scratch(docs.sparkSession, "ngram")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -426,7 +435,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = found.select("cid", "text")
         if not classes.filter("copies > 1").isEmpty():  # of a repeated carrier row one text is kept
             texts = found.filter("copies = 1").select("cid", "text").unionByName(found.filter("copies > 1").select("cid", "text").dropDuplicates(["cid"]))
-        linked, links = join_classes(texts, classes.count(), n, percent, scratch, group, seed, classes.agg(F.sum("n")).first()[0], hot)
+        linked, links = join_classes(texts, classes.count(), n, percent, scratch, group, seed, classes.agg(F.sum("n")).first()[0], hot, most)
         if false_links(links, texts, n, percent).isEmpty():
             break
     else:

@@ -1,5 +1,6 @@
 import random
 import re
+import uuid
 from collections import Counter
 
 import pytest
@@ -101,6 +102,16 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_a_long_path_is_one_component(spark):
+    """As many rounds as it takes."""
+    n = 3000
+    ids = list(range(n))
+    random.Random(1).shuffle(ids)
+    edges = list(zip(ids, ids[1:], strict=False))
+    got = graph.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"))
+    assert got.count() == n and {r.label for r in got.select("label").distinct().collect()} == {0}
+
+
 def test_repeats_beside_partial_overlap(spark):
     """Repeated rows and null-id copies don't add to the overlap of their set."""
     rng = random.Random(12)
@@ -158,6 +169,30 @@ def test_a_misleading_hash_is_noticed(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows) and len(seeds) == 2
 
 
+@pytest.mark.parametrize("most", [60, 700, 20_000])
+def test_groups_are_bounded_by_their_n_grams(spark, monkeypatch, tmp_path, most):
+    """No task gets far more n-grams than asked for, and results don't change."""
+    folder, rows = str(tmp_path), corpus(6) + [(5000 + i, t, None, None, None, None, None) for i, t in enumerate(chain(80, 9))]
+    links = ngram_join.trie_links
+
+    def measured(percent):
+        run = links(percent)
+
+        def wrapped(table):
+            tokens = [len(t) // 8 for t in table["tokens"].to_pylist()]
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{sum(tokens)} {max(tokens)}")
+            return run(table)
+
+        return wrapped
+
+    monkeypatch.setattr(ngram_join, "trie_links", measured)
+    got = ngram_join.ngram_join(frame(spark, rows), most=most).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    seen = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert seen and all(total <= 4 * (most + largest) for total, largest in seen)
+
+
 @pytest.mark.parametrize("hot", [2, 5])
 def test_hot_grams_change_nothing(spark, hot):
     rows = corpus(7)
