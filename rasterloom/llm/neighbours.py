@@ -18,9 +18,9 @@ of a curve depends on it; isotropic data such as the test tables needs a wide
 one. All windows of a query together are 0.9 of the rows on large tables, under
 one scan. Recall against brute force is tested to be at least 0.9.
 
-Defined results: vectors that are null, zero, of another length than the first
-valid one, or hold null or non-finite components take no part, nor do rows
-with a null id. Repeated rows (same id and vector) count once; rows with one id
+Defined results: vectors that are null, zero, or hold null or non-finite
+components take no part, nor do rows with a null id. Vectors of several lengths
+are searched among their own. Repeated rows (same id and vector) count once; rows with one id
 and several vectors are each a row of that id. With fewer than k other rows all
 are returned. An empty table gives an empty result.
 """
@@ -79,18 +79,27 @@ def valid_rows(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     vec = F.col("vec")
     rows = table.select(table[id_col].alias("vec_id"), table[vec_col].cast("array<double>").alias("vec")).filter("vec_id IS NOT NULL AND vec IS NOT NULL")
     good = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = rows.filter(good)
-    first = rows.agg(F.min(F.struct("vec_id", F.size("vec").alias("n"))).alias("m")).first()["m"]
-    return rows.filter(F.size("vec") == (first["n"] if first else 0))
+    return rows.filter(good)
 
 
 def search(table: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10,
            curves: int = CURVES, dims: int = DIMS, bits: int = BITS, cell: int = CELL, window: float = WINDOW) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for every
-    row whose id satisfies ``is_query`` (a function of the column vec_id)."""
-    spark = table.sparkSession
-    scratch = base.Scratch(spark, "ann")
+    row whose id satisfies ``is_query`` (a function of the column vec_id), among
+    the vectors of its length; lengths are searched one after the other."""
+    scratch = base.Scratch(table.sparkSession, "ann")
     rows = scratch.table(valid_rows(table, id_col, vec_col))
+    lengths = sorted(r[0] for r in rows.select(F.size("vec")).distinct().collect())  # a number per length
+    out = None
+    for n in lengths or [0]:
+        found = _search(rows if len(lengths) < 2 else rows.filter(F.size("vec") == n), scratch, is_query, k, curves, dims, bits, cell, window)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(rows: DataFrame, scratch: base.Scratch, is_query, k: int, curves: int, dims: int, bits: int, cell: int, window: float) -> DataFrame:
+    """``search`` over valid vectors of one length."""
+    spark = rows.sparkSession
     vectors = scratch.table(rows.groupBy("vec").agg(F.min("vec_id").alias("lead")).select(F.monotonically_increasing_id().alias("c"), "lead", "vec"))
     first = vectors.select(F.size("vec")).first()
     if first is None:

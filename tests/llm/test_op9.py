@@ -87,3 +87,16 @@ def test_registered_query(spark, tmp_path):
     want = brute(rows)
     got = neighbours.op9_neighbours(spark, str(tmp_path)).collect()
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(q, n, i) for q, best in want.items() for n, (_, i) in enumerate(best, 1)}
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = random.Random(17)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3 if i % 4 == 0 else 5)], None, None, None) for i in range(420)] + [(1000, [1.0], None, None, None), (1001, [], None, None, None)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, SCHEMA), lambda i: (i % 100 == 0) | (i == 101)).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    by = {i: [np.float32(x) for x in v] for i, v, *_ in rows if v}
+    for q in (0, 100, 101, 200, 300, 400):
+        want = sorted((math.dist(map(float, by[q]), map(float, v)), i) for i, v in by.items() if i != q and len(v) == len(by[q]))[:10]
+        assert [got[q][k] for k in range(1, 11)] == [i for _, i in want]
+    assert 1000 not in got
