@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .file_queries import _idct, _matrix, _samples
+from .file_queries import _idct, _samples
 from .functions import fixed
 from .functions.quality import quantize
 from .operators import bitpack, dct, entropy, palette, planes, smoothing

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import color, fixed, geometry, pixels, quality
+from .functions import color, fixed, pixels, quality
 from .operators import blocks as B
 from .operators import dct, entropy, metadata, palette, planes
 from .queries import CLAMP, COEF, NEAR, PIX, PLANE, QUANT, UNIFORM, YCC, ZIG, query, quantized, ycc
@@ -106,14 +106,6 @@ def icc_round_trip(spark, sf_dir):
     return back.select(F.col("image_id").alias("id"), F.hex("profile").alias("profile"))
 
 
-@query("""SELECT e, n, CASE WHEN e = 1 THEN 'own' WHEN n > 0 THEN 'w0' END AS stopped, CASE WHEN e = 1 THEN 'own' END AS going FROM range(2) a(e), range(3) b(n)""")
-def stop_on_warning(spark, sf_dir):
-    t = spark.range(2).select(F.col("id").alias("e"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("n"))
-    error = F.when(F.col("e") == 1, "own")
-    warnings = F.filter(F.array(F.lit("w0"), F.lit("w1")), lambda w: F.substring(w, 2, 1).cast("bigint") < F.col("n"))
-    return t.select("e", "n", metadata.stop_on_warning(error, warnings).alias("stopped"), metadata.stop_on_warning(error, warnings, False).alias("going"))
-
-
 # Transforms
 
 def _matrix(name, rows):
@@ -301,43 +293,12 @@ for _n in range(2, 8):
 
 # Tables and symbols
 
-def _ac_codes(name, bits, symbols):
-    lengths = [n for n, c in enumerate(bits, 1) for _ in range(c)]
-    rows = ", ".join(f"({i}, {n}, {s})" for i, (n, s) in enumerate(zip(lengths, symbols, strict=True)))
-    sql = f"""WITH t AS (SELECT CAST(p AS BIGINT) AS position, CAST(l AS BIGINT) AS length, CAST(s AS BIGINT) AS symbol FROM (VALUES {rows}) t(p, l, s)),
-    s AS (SELECT *, coalesce(sum(pow(2, 16 - length)) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
-    SELECT position, length, CAST(before / pow(2, 16 - length) AS BIGINT) AS code, symbol FROM s"""
-
-    @query(sql, name)
-    def run(spark, sf_dir):
-        return entropy.canonical_codes(spark, bits, symbols)
-
-
-_ac_codes("huffman_codes_ac_luma", fixed.AC_LUMA_BITS, fixed.AC_LUMA)
-_ac_codes("huffman_codes_ac_chroma", fixed.AC_CHROMA_BITS, fixed.AC_CHROMA)
-
-
 @query()
 def huff_optimal_ac(spark, sf_dir):
     """The best AC table for the quantized blocks."""
     return entropy.optimal_tables(entropy.ac_frequencies(quantized(spark, sf_dir)).withColumn("table", F.lit(0)), ("table",))
 
 
-QSCALE = "CAST(CASE WHEN q <= 0 THEN 5000 WHEN q < 50 THEN floor(5000.0 / q) ELSE 200 - 2 * q END AS BIGINT)"
-
-
-@query(f"""WITH {QUANT}, t AS (SELECT tq, s, CASE tq WHEN 0 THEN s WHEN 1 THEN 100 - s WHEN 2 THEN 50 ELSE s % 7 * 10 END AS q FROM range(4) a(tq), range(0, 101) b(s)), e AS (SELECT tq, s, {QSCALE} AS scale FROM t)
-SELECT s, tq, k, CASE WHEN tq = 3 AND k < 8 THEN 255 ELSE CAST(least(255, greatest(1, floor(((CASE WHEN tq = 0 THEN quant.q ELSE c END) * scale + 50) / 100.0))) AS BIGINT) END AS q FROM e, quant""")
-def per_table_quality(spark, sf_dir):
-    """Four tables with a quality each; the first row of the last is set by the caller and cut for baseline."""
-    s, k, tq = F.col("s"), F.col("k"), F.col("tq")
-    rows = spark.range(101).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("tq"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("k"))
-    custom = F.when((tq == 3) & (k < 8), 300)
-    entry = quality.table_entry(tq, B.lookup(fixed.LUMA, k), B.lookup(fixed.CHROMA, k), F.array(s, 100 - s, F.lit(50).cast("bigint"), s % 7 * 10), custom, True)
-    return rows.select("s", "tq", "k", entry.alias("q"))
-
-
 # Pixel formats
 
 def _digits(fmt, **sql):
@@ -429,29 +390,6 @@ def yuv420_decode(spark, sf_dir):
 
 # Regions and plans
 
-@query("""SELECT x, w, n, mh, CASE WHEN n = 1 THEN 8 ELSE mh * 8 END AS unit, least(x, 100) - least(x, 100) % CASE WHEN n = 1 THEN 8 ELSE mh * 8 END AS left_x,
- least(w + least(x, 100) % CASE WHEN n = 1 THEN 8 ELSE mh * 8 END, 100 - least(x, 100) + least(x, 100) % CASE WHEN n = 1 THEN 8 ELSE mh * 8 END) AS out_w,
- least(x, 60) AS top_y, least(w, 60 - least(x, 60)) AS out_h FROM range(0, 110, 3) a(x), range(0, 60, 7) b(w), (VALUES (1), (3)) c(n), (VALUES (1), (2), (4)) d(mh)""")
-def crop_region(spark, sf_dir):
-    t = spark.range(0, 110, 3).select(F.col("id").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint"), F.lit(7).cast("bigint"))).alias("w"))
-    t = t.select("*", F.explode(F.array(F.lit(1), F.lit(3))).alias("n")).select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("mh"))
-    x, w = F.col("x"), F.col("w")
-    region = geometry.crop_region(x, x, w, w, F.lit(100).cast("bigint"), F.lit(60).cast("bigint"), F.col("n"), F.col("mh"))
-    out = t.withColumn("c", region)
-    return out.select("x", "w", "n", "mh", F.when(F.col("n") == 1, 8).otherwise(F.col("mh") * 8).alias("unit"), F.col("c.x").alias("left_x"), F.col("c.w").alias("out_w"), F.col("c.y").alias("top_y"), F.col("c.h").alias("out_h"))
-
-
-@query("""SELECT h, v, merged, rgb, fast, cw, CASE WHEN h = 1 AND v = 1 THEN 'none' WHEN merged AND rgb AND h = 2 AND v < 3 THEN 'merged' WHEN fast OR cw <= 2 THEN 'box'
- WHEN h = 2 AND v = 2 THEN 'fancy h2v2' WHEN h = 2 AND v = 1 THEN 'fancy h2v1' WHEN h = 1 AND v = 2 THEN 'fancy h1v2' ELSE 'box' END AS path
-FROM (VALUES (1), (2), (4)) a(h), (VALUES (1), (2), (4)) b(v), (VALUES (true), (false)) c(merged), (VALUES (true), (false)) d(rgb), (VALUES (true), (false)) e(fast), (VALUES (2), (9)) f(cw)""")
-def upsample_path(spark, sf_dir):
-    t = spark.range(1).select(F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("h")).select("*", F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("v"))
-    for c in ("merged", "rgb", "fast"):
-        t = t.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias(c))
-    t = t.select("*", F.explode(F.array(F.lit(2), F.lit(9))).alias("cw"))
-    one = F.lit(1)
-    return t.withColumn("path", geometry.upsampling(F.col("h"), F.col("v"), one, one, F.col("merged"), F.col("rgb"), F.col("fast"), F.col("cw"), F.lit(8)))
-
 
 # Palettes
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import color, fixed, geometry, quality
+from .functions import color, fixed, quality
 from .operators import blocks as B
 from .operators import dct, entropy, metadata, palette, planes
 from .sources import derived
@@ -136,38 +136,8 @@ def twelve_bit_to_eight(spark, sf_dir):
     return p.select("id", color.from_12_bit(F.col("r") * 16 + 7).alias("eight"), color.gray_of_rgb8("r", "g", "b").alias("gray"))
 
 
-@query("""SELECT CAST(n AS BIGINT) AS n, CAST(a AS BIGINT) AS a, CASE WHEN n = 1 THEN 'Grayscale' WHEN n = 3 AND a = 0 THEN 'RGB' WHEN n = 3 THEN 'YCbCr'
- WHEN n = 4 AND (a IS NULL OR a = 0) THEN 'CMYK' WHEN n = 4 THEN 'YCCK' ELSE 'Unknown' END AS space
-FROM range(1, 6) t(n), (VALUES (NULL), (0), (1), (2)) s(a)""")
-def color_space_detect(spark, sf_dir):
-    n = spark.range(1, 6).withColumnRenamed("id", "n")
-    both = n.withColumn("a", F.explode(F.array(F.lit(None).cast("bigint"), *[F.lit(i).cast("bigint") for i in range(3)])))
-    return both.select("n", "a", color.color_space(F.col("n"), F.col("a")).alias("space"))
-
-
 # Quality and quantization
 
-SCALE = "CAST(CASE WHEN q <= 0 THEN 5000 WHEN q < 50 THEN floor(5000.0 / q) ELSE 200 - 2 * q END AS BIGINT)"
-
-
-@query(f"SELECT q, {SCALE} AS scale FROM range(0, 101) t(q)")
-def quality_scaling(spark, sf_dir):
-    return spark.range(101).select(F.col("id").alias("q"), quality.scaling(F.col("id")).alias("scale"))
-
-
-@query(f"""WITH {QUANT}, s AS (SELECT q AS quality, {SCALE} AS scale FROM range(0, 101) t(q))
-SELECT quality, k, CAST(least(255, greatest(1, floor((q * scale + 50) / 100.0))) AS BIGINT) AS luma, CAST(least(32767, greatest(1, floor((c * scale + 50) / 100.0))) AS BIGINT) AS chroma,
- CAST(least(65535, q * 16) AS BIGINT) AS twelve FROM s, quant""")
-def scale_quant_tables(spark, sf_dir):
-    q = spark.range(101).select(F.col("id").alias("quality"), quality.scaling(F.col("id")).alias("scale"))
-    k = q.select("*", F.posexplode(F.arrays_zip(F.array(*map(F.lit, fixed.LUMA)).alias("l"), F.array(*map(F.lit, fixed.CHROMA)).alias("c"))).alias("k", "t"))
-    return k.select("quality", F.col("k").cast("bigint").alias("k"), quality.scaled_entry(F.col("t.l"), F.col("scale")).alias("luma"), quality.scaled_entry(F.col("t.c"), F.col("scale"), False).alias("chroma"), quality.entry_12_bit(F.col("t.l")).alias("twelve"))
-
-
-@query("SELECT s, CAST(least(100, greatest(1, CASE WHEN s >= 100 THEN floor(5000.0 / s) ELSE floor((200 - s) / 2.0) END)) AS BIGINT) AS quality FROM range(0, 6001) t(s)")
-def linear_quality(spark, sf_dir):
-    return spark.range(6001).select(F.col("id").alias("s"), quality.linear_quality(F.col("id")).alias("quality"))
-
 
 def quantized(spark, sf_dir):
     c = derived.blocks(spark, sf_dir)
@@ -277,27 +247,8 @@ def crop_blocks(spark, sf_dir):
     return B.crop(derived.blocks(spark, sf_dir), 17, 37, 30, 40, 160, 200, 16, 16)
 
 
-@query("SELECT w, h, w % 16 = 0 AND h % 16 = 0 AS rot180, w % 16 = 0 AS flip_h, h % 16 = 0 AS flip_v FROM range(1, 65) a(w), range(1, 65) b(h)")
-def perfect_transform(spark, sf_dir):
-    w, h = spark.range(1, 65).withColumnRenamed("id", "w"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(64).cast("bigint"))).alias("h")
-    return w.select("w", h).select("w", "h", *[B.perfect(op, F.col("w"), F.col("h"), 16, 16).alias(op) for op in ("rot180", "flip_h", "flip_v")])
-
-
-@query(f"WITH {QUANT} SELECT (k % 8) * 8 + CAST(floor(k / 8.0) AS BIGINT) AS k, q FROM quant")
-def transpose_quant_table(spark, sf_dir):
-    t = spark.range(64).select(F.col("id").alias("k"), B.lookup(fixed.LUMA, F.col("id")).alias("q"))
-    k, _ = B.spatial("transpose", F.col("k"), F.col("q"))
-    return t.select(k.alias("k"), "q")
-
-
 # Symbols
 
-@query(f"SELECT v, {CATEGORY.format('v')} AS category, CASE WHEN v >= 0 THEN v ELSE v + CAST(pow(2, {CATEGORY.format('v')}) AS BIGINT) - 1 END AS bits, v AS back FROM range(-2048, 2049) t(v)")
-def magnitude_categories(spark, sf_dir):
-    t = spark.range(-2048, 2049).select(F.col("id").alias("v"))
-    t = t.withColumns({"category": quality.category(F.col("v")), "bits": quality.magnitude_bits(F.col("v"))})
-    return t.withColumn("back", quality.extend(F.col("bits"), F.col("category")))
-
 
 @query(f"WITH {COEF} SELECT id, v - coalesce(lag(v) OVER (ORDER BY id), 0) AS d, v - coalesce(lag(v) OVER (PARTITION BY CAST(floor(id / 7.0) AS BIGINT) ORDER BY id), 0) AS restarted FROM coef WHERE k = 0")
 def dc_differential(spark, sf_dir):
@@ -327,23 +278,6 @@ def huff_ac_freq(spark, sf_dir):
     return entropy.ac_frequencies(quantized(spark, sf_dir))
 
 
-def _codes_sql(bits):
-    rows = ", ".join(f"({i}, {n})" for i, n in enumerate([n for n, c in enumerate(bits, 1) for _ in range(c)]))
-    return f"""WITH t AS (SELECT CAST(p AS BIGINT) AS position, CAST(l AS BIGINT) AS length FROM (VALUES {rows}) t(p, l)),
-    s AS (SELECT *, coalesce(sum(pow(2, 16 - length)) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
-    SELECT position, length, CAST(before / pow(2, 16 - length) AS BIGINT) AS code, position AS symbol FROM s"""
-
-
-@query(_codes_sql(fixed.DC_LUMA_BITS))
-def huffman_codes_dc_luma(spark, sf_dir):
-    return entropy.canonical_codes(spark, fixed.DC_LUMA_BITS)
-
-
-@query(_codes_sql(fixed.DC_CHROMA_BITS))
-def huffman_codes_dc_chroma(spark, sf_dir):
-    return entropy.canonical_codes(spark, fixed.DC_CHROMA_BITS)
-
-
 # Lossless prediction
 
 GUESS = ["a", "b", "c", "a + b - c", "a + ((b - c) >> 1)", "b + ((a - c) >> 1)", "(a + b) >> 1"]
@@ -518,11 +452,6 @@ UNIFORM = "pal AS (SELECT i AS idx, CAST(floor(CAST(floor(i / 25.0) AS BIGINT) *
 NEAR = "near AS (SELECT id, min(((r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb)) * 1000 + idx) % 1000 AS idx FROM pix, pal GROUP BY id)"
 
 
-@query(f"WITH {UNIFORM} SELECT idx, pr AS r, pg AS g, pb AS b FROM pal")
-def uniform_palette(spark, sf_dir):
-    return palette.uniform_palette(spark, 128)
-
-
 @query(f"WITH {PIX}, {UNIFORM}, {NEAR} SELECT id, idx FROM near")
 def nearest_palette(spark, sf_dir):
     return palette.index_pixels(derived.pixels(spark, sf_dir), palette.uniform_palette(spark, 128)).select("id", "idx")
@@ -549,50 +478,6 @@ def median_cut_palette(spark, sf_dir):
     return palette.median_cut(derived.pixels(spark, sf_dir), 16)
 
 
-# Sizes
-
-SAMPLINGS = "s AS (SELECT name, CAST(sh AS BIGINT) AS sh, CAST(sv AS BIGINT) AS sv FROM (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, (a, b) in fixed.SAMPLING.items()) + ") t(name, sh, sv))"
-
-
-def sizes(spark):
-    w = spark.range(1, 65).withColumnRenamed("id", "w").select("w", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(64).cast("bigint"))).alias("h"))
-    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).cast("bigint").alias("sh"), F.lit(b).cast("bigint").alias("sv")) for n, (a, b) in fixed.SAMPLING.items()])).alias("s")
-    return w.select("w", "h", kinds).select("w", "h", "s.*")
-
-
-@query(f"""WITH {SAMPLINGS} SELECT w, h, name, CAST(ceil(w / (sh*8.0)) * sh*8 * ceil(h / (sv*8.0)) * sv*8 * (2 + floor(4.0 / (sh*sv))) + 2048 AS BIGINT) AS jpeg,
- CAST(ceil(w / (sh*1.0)) * sh * ceil(h / (sv*1.0)) * sv + 2 * ceil(w / (sh*1.0)) * ceil(h / (sv*1.0)) AS BIGINT) AS yuv, CAST(ceil(w / (sh*1.0)) AS BIGINT) AS chroma_w, CAST(ceil(h / (sv*1.0)) AS BIGINT) AS chroma_h
-FROM range(1, 65) a(w), range(1, 65) b(h), s""")
-def buffer_sizes(spark, sf_dir):
-    w, h, sh, sv = (F.col(c) for c in ("w", "h", "sh", "sv"))
-    return sizes(spark).select("w", "h", "name", geometry.jpeg_buffer(w, h, sh, sv).alias("jpeg"), geometry.yuv_buffer(w, h, sh, sv).alias("yuv"), geometry.plane_width(1, w, sh).alias("chroma_w"), geometry.plane_height(1, h, sv).alias("chroma_h"))
-
-
-@query("SELECT w, n, CAST(ceil(w * n / 8.0) AS BIGINT) AS scaled FROM range(1, 1001) a(w), range(1, 17) b(n)")
-def scaled_dimensions(spark, sf_dir):
-    t = spark.range(1, 1001).select(F.col("id").alias("w"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(16).cast("bigint"))).alias("n"))
-    return t.select("w", "n", geometry.scaled(F.col("w"), F.col("n"), F.lit(8)).alias("scaled"))
-
-
-@query(f"WITH {SAMPLINGS} SELECT name, sh AS h, sv AS v, name AS found FROM s")
-def subsampling_detect(spark, sf_dir):
-    one = F.lit(1).cast("bigint")
-    return sizes(spark).filter("w = 1 AND h = 1").select("name", F.col("sh").alias("h"), F.col("sv").alias("v"), geometry.subsampling(F.col("sh"), F.col("sv"), one, one).alias("found"))
-
-
-DOUBLE = "CASE WHEN {0} < 8 AND (mh * size) % (h * {0} * 2) = 0 AND (mv * size) % (v * {0} * 2) = 0 THEN {0} * 2 ELSE {0} END"
-
-
-@query(f"""WITH g AS (SELECT size, mh, mv, h, v FROM range(1, 17) a(size), range(1, 5) b(mh), range(1, 5) c(mv), range(1, 5) d(h), range(1, 5) e(v) WHERE h <= mh AND v <= mv),
-s1 AS (SELECT *, {DOUBLE.format('size')} AS s1 FROM g), s2 AS (SELECT *, {DOUBLE.format('s1')} AS s2 FROM s1) SELECT size, mh, mv, h, v, {DOUBLE.format('s2')} AS out FROM s2""")
-def component_block_size(spark, sf_dir):
-    g = spark.range(1, 17).withColumnRenamed("id", "size")
-    for c in ("mh", "mv", "h", "v"):
-        g = g.withColumn(c, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))))
-    g = g.filter("h <= mh AND v <= mv")
-    return g.withColumn("out", geometry.component_block_size(*[F.col(c) for c in ("size", "mh", "mv", "h", "v")]))
-
-
 # Metadata
 
 @query("""WITH c AS (SELECT conv_id AS image_id, turn + 1 AS seq_no, text FROM conversations),
@@ -628,11 +513,5 @@ def last_comment(spark, sf_dir):
     return metadata.last_comment(segments(spark, sf_dir))
 
 
-@query("SELECT w, h, w * h <= 2000 AND w * h * 3 + w * h * 3 <= 9000 AS ok FROM range(1, 65) a(w), range(1, 65) b(h)")
-def decode_limits(spark, sf_dir):
-    w = spark.range(1, 65).withColumnRenamed("id", "w").select("w", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(64).cast("bigint"))).alias("h"))
-    return w.select("w", "h", metadata.within_limits(F.col("w"), F.col("h"), F.lit(3), F.lit(3), 2000, 9000).alias("ok"))
-
-
 from . import file_queries  # noqa: E402, F401  registers its own here
-from . import batch_queries  # noqa: E402, F401  as well
+from . import batch_queries, size_queries  # noqa: E402, F401  as well

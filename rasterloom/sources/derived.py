@@ -25,6 +25,15 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("id", (F.col("id") % 20).alias("gx"), F.floor(F.col("id") / 20).alias("gy"), F.col("k").cast("bigint").alias("k"), F.floor(F.col("e").cast("double") * 256).alias("v"))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, w, h, q (quality), size (of a transform), mh, mv (largest factors): the numbers of an image for each row of ``part``."""
+    p = F.col("p_partkey").cast("bigint")
+    return table(spark, sf_dir, "part").select(
+        p.alias("id"), (p % 997 + 1).alias("w"), (F.col("p_size").cast("bigint") * 7 + 1).alias("h"), (p * 31 % 101).alias("q"),
+        (p % 16 + 1).alias("size"), (p % 4 + 1).alias("mh"), (F.floor(p / 4) % 4 + 1).alias("mv"),
+    )
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """y, x, v: one plane of samples 0..255 from the blocks."""
     k = F.col("k")
