@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .file_queries import _idct, _samples
 from .functions import fixed
 from .functions.quality import quantize
-from .operators import bitpack, dct, entropy, palette, planes, smoothing
+from .operators import bitpack, dct, entropy, palette, planes, scan_symbols, smoothing
 from .operators import blocks as B
 from .queries import COEF, PLANE, QUANT, ZIG, query
 from .sources import derived
@@ -176,3 +176,76 @@ def restart_segments(spark, sf_dir):
     start = F.when(at > 0, at + 13).otherwise(F.length("content"))  # behind the scan's 14 bytes
     cut = bitpack.restart_segments(files.withColumn("start", start.cast("int")))
     return cut.select("id", "segment", "marker", F.hex("bytes").alias("bytes"))
+
+
+# Progressive scans
+
+_FINE = "q AS (SELECT id, z, CAST(CASE WHEN v < 0 THEN -floor((-v + floor(q / 8.0)) / floor(q / 4.0)) ELSE floor((v + floor(q / 8.0)) / floor(q / 4.0)) END AS BIGINT) AS v FROM coef JOIN quant USING (k) JOIN zig ON zig.k = coef.k)"
+
+
+def fine_blocks(spark, sf_dir):
+    """Blocks quantized finely enough that bits remain for later scans."""
+    v = quantize(F.col("v"), F.floor(B.lookup(fixed.LUMA, F.col("k")) / 4))
+    return derived.blocks(spark, sf_dir).select("id", B.to_zigzag(F.col("k")).alias("z"), v.alias("v"))
+
+
+def _scans(spark, first):
+    """The default script's AC scans of one component."""
+    return scan_symbols.scan_table(spark).filter("ss > 0 AND ah = 0" if first else "ss > 0 AND ah > 0")
+
+
+_SCRIPT = [(n, ss, se, ah, al) for n, (_, ss, se, ah, al) in enumerate(entropy.progressive_script(1)) if ss]
+_FIRST = "sc AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {ss}, {se}, {al})" for n, ss, se, ah, al in _SCRIPT if not ah) + ") t(scan, ss, se, al))"
+_LATER = "sc AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {ss}, {se}, {al})" for n, ss, se, ah, al in _SCRIPT if ah) + ") t(scan, ss, se, al))"
+#: Every coefficient of a band, zeros too.
+_BAND = "b AS (SELECT scan, id, z, ss, se, abs(v) >> al AS t FROM q JOIN sc ON z BETWEEN ss AND se)"
+
+
+@query(f"""WITH {COEF}, {QUANT}, {ZIG}, {_FINE}, {_FIRST}, {_BAND},
+n AS (SELECT scan, id, z, t, z - coalesce(lag(z) OVER (PARTITION BY scan, id ORDER BY z), ss - 1) - 1 AS run FROM b WHERE t > 0),
+l AS (SELECT scan, id, max(se) AS se, max(CASE WHEN t > 0 THEN z END) AS z FROM b GROUP BY scan, id),
+sy AS (SELECT scan, run % 16 * 16 + length(ltrim(bin(t), '0')) AS symbol FROM n
+  UNION ALL SELECT scan, 240 FROM n, range(1, 4) r(i) WHERE i <= run // 16
+  UNION ALL SELECT scan, 0 FROM l WHERE z IS NULL OR z < se)
+SELECT CAST(scan AS BIGINT) AS scan, CAST(symbol AS BIGINT) AS symbol, count(*) AS n FROM sy GROUP BY scan, symbol""")
+def progressive_first_freq(spark, sf_dir):
+    """Symbols of the default script's first AC scans."""
+    return scan_symbols.first_frequencies(fine_blocks(spark, sf_dir), _scans(spark, True))
+
+
+_REFINED = f"""{_BAND}, n AS (SELECT *, count(CASE WHEN t = 0 THEN 1 END) OVER (PARTITION BY scan, id ORDER BY z) AS zeros FROM b),
+f AS (SELECT scan, id, z, zeros - coalesce(lag(zeros) OVER (PARTITION BY scan, id ORDER BY z), 0) AS run FROM n WHERE t = 1),
+l AS (SELECT scan, id, max(zeros) - coalesce(max(CASE WHEN t = 1 THEN zeros END), 0) AS rest FROM n GROUP BY scan, id)"""
+
+
+@query(f"""WITH {COEF}, {QUANT}, {ZIG}, {_FINE}, {_LATER}, {_REFINED},
+sy AS (SELECT scan, run % 16 * 16 + 1 AS symbol FROM f UNION ALL SELECT scan, 240 FROM f, range(1, 4) r(i) WHERE i <= run // 16 UNION ALL SELECT scan, 0 FROM l WHERE rest > 0)
+SELECT CAST(scan AS BIGINT) AS scan, CAST(symbol AS BIGINT) AS symbol, count(*) AS n FROM sy GROUP BY scan, symbol""")
+def progressive_refine_freq(spark, sf_dir):
+    """Symbols of the default script's refinement scans."""
+    return scan_symbols.refine_frequencies(fine_blocks(spark, sf_dir), _scans(spark, False))
+
+
+@query(f"WITH {COEF}, {QUANT}, {ZIG}, {_FINE}, {_LATER}, {_BAND} SELECT CAST(scan AS BIGINT) AS scan, count(CASE WHEN t > 1 THEN 1 END) AS n FROM b GROUP BY scan")
+def correction_bits(spark, sf_dir):
+    return scan_symbols.correction_bits(fine_blocks(spark, sf_dir), _scans(spark, False))
+
+
+@query(f"""WITH {COEF}, {QUANT}, {ZIG}, {_FINE}, {_FIRST}, {_BAND},
+l AS (SELECT scan, id, max(se) AS se, max(CASE WHEN t > 0 THEN z END) AS z FROM b GROUP BY scan, id),
+r AS (SELECT *, count(z) OVER (PARTITION BY scan ORDER BY id) AS run FROM l),
+g AS (SELECT scan, min(id) AS start, count(*) AS n FROM r WHERE z IS NULL OR z < se GROUP BY scan, run),
+p AS (SELECT scan, start, i AS part, least(n - i * 32767, 32767) AS blocks FROM g, range(1000) t(i) WHERE i * 32767 < n),
+ru AS (SELECT *, length(ltrim(bin(blocks), '0')) - 1 AS size FROM p)
+SELECT CAST(scan AS BIGINT) AS scan, start, part, blocks, CAST(size * 16 AS BIGINT) AS symbol, blocks - (1 << size) AS bits, CAST(size AS BIGINT) AS size FROM ru""")
+def end_of_band_runs(spark, sf_dir):
+    """Ends of band joined over blocks, for the default script's first AC scans."""
+    return scan_symbols.end_runs(fine_blocks(spark, sf_dir), _scans(spark, True))
+
+
+@query()
+def progressive_tables(spark, sf_dir):
+    """The best table for every AC scan of the default script."""
+    blocks = fine_blocks(spark, sf_dir)
+    first, later = scan_symbols.first_frequencies(blocks, _scans(spark, True)), scan_symbols.refine_frequencies(blocks, _scans(spark, False))
+    return entropy.optimal_tables(first.unionByName(later), ("scan",))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import fixed
-from rasterloom.operators import bitpack, dct, entropy, palette, smoothing
+from rasterloom.operators import bitpack, dct, entropy, palette, scan_symbols, smoothing
 
 RNG = random.Random(7)
 
@@ -302,3 +302,82 @@ def test_long_scans_are_cut(spark):
     files = spark.createDataFrame([(1, bytearray(one), 0), (2, bytearray(many), 0)], "id int, content binary, start int")
     got = {r.id: (r.n, r.size) for r in bitpack.restart_segments(files).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("size")).collect()}
     assert got == {1: (1, len(one)), 2: (100_000, 200_000)}
+
+
+# Progressive scans
+
+
+def plain_scan(block, ss, se, al, refine):
+    """(symbols, known bits) of one block of zigzag coefficients, position by position."""
+    t = [abs(v) >> al for v in block]
+    out, run, known = [], 0, 0
+    last = max((k for k in range(ss, se + 1) if (t[k] == 1 if refine else t[k])), default=ss - 1)
+    for k in range(ss, se + 1):
+        if t[k] == 0:
+            run += 1
+            continue
+        while run > 15 and k <= last:
+            out.append(240)
+            run -= 16
+        if refine and t[k] > 1:
+            known += 1
+            continue
+        out.append(run << 4 | (1 if refine else t[k].bit_length()))
+        run = 0
+    return (out + [0] if run else out), known
+
+
+def test_scan_symbols(spark):
+    blocks = {1: made_blocks(9), 2: made_blocks(4), 3: [[5] + [0] * 63]}
+    for b in blocks[1]:
+        for k in range(1, 64):
+            if RNG.random() < 0.3:
+                b[k] = RNG.choice([0, 1, -2, 3, 4, -9])
+    rows = [(i, n, z, v) for i, bs in blocks.items() for n, b in enumerate(bs) for z, v in enumerate(b) if v or z == 0 or RNG.random() < 0.3]
+    coeffs = spark.createDataFrame(rows, "image int, id int, z int, v int").repartition(3)
+    scans = [(0, 1, 5, 0), (1, 6, 63, 1), (2, 1, 63, 0), (3, 10, 10, 2)]
+    table = spark.createDataFrame(scans, "scan int, ss int, se int, al int")
+    for refine, run in ((False, scan_symbols.first_frequencies), (True, scan_symbols.refine_frequencies)):
+        want, bits = {}, {}
+        for i, bs in blocks.items():
+            for n, ss, se, al in scans:
+                for b in bs:
+                    symbols, known = plain_scan(b, ss, se, al, refine)
+                    bits[i, n] = bits.get((i, n), 0) + known
+                    for s in symbols:
+                        want[i, n, s] = want.get((i, n, s), 0) + 1
+        assert {(r.image, r.scan, r.symbol): r.n for r in run(coeffs, table, ("image",)).collect()} == want
+    assert {(r.image, r.scan): r.n for r in scan_symbols.correction_bits(coeffs, table, ("image",)).collect()} == bits
+
+
+def test_runs_of_ends_of_band(spark, monkeypatch):
+    monkeypatch.setattr(scan_symbols, "RANGE", 4)
+    blocks = {1: [[1] + [0] * 63 for _ in range(23)], 2: [[1] + [0] * 63 for _ in range(40)]}
+    for k, z in ((3, 5), (4, 63), (5, 7), (16, 63), (17, 2)):
+        blocks[1][k][z] = 7
+    rows = [(i, n, z, v) for i, bs in blocks.items() for n, b in enumerate(bs) for z, v in enumerate(b) if v]
+    coeffs = spark.createDataFrame(rows, "image int, id int, z int, v int").repartition(3)
+    table = spark.createDataFrame([(0, 1, 63, 0), (1, 1, 5, 0)], "scan int, ss int, se int, al int")
+    got = {}
+    for r in scan_symbols.end_runs(coeffs, table, ("image",), longest=6).collect():
+        assert r.symbol == r.size * 16 and r.blocks == (1 << r.size) + r.bits
+        got.setdefault((r.image, r.scan), []).append((r.start, r.part, r.blocks))
+    for i, bs in blocks.items():
+        for n, ss, se, _ in [(0, 1, 63, 0), (1, 1, 5, 0)]:
+            want, run, start = [], 0, 0
+
+            def flush():
+                part = 0
+                while run - 6 * part > 0:
+                    want.append((start, part, min(6, run - 6 * part)))  # noqa: B023
+                    part += 1
+
+            for k, b in enumerate(bs):
+                held = [z for z in range(ss, se + 1) if b[z]]
+                if held:
+                    flush()
+                    run = 0
+                if not held or held[-1] < se:
+                    start, run = (k if run == 0 else start), run + 1
+            flush()
+            assert sorted(got[i, n]) == sorted(want)
