@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import fixed
+from rasterloom.operators import blocks as B
 from rasterloom.operators import bitpack, dct, entropy, palette, scan_symbols, smoothing
+from rasterloom.plans.transform import TransformOptions, transform_images
 
 RNG = random.Random(7)
 
@@ -381,3 +383,70 @@ def test_runs_of_ends_of_band(spark, monkeypatch):
                     start, run = (k if run == 0 else start), run + 1
             flush()
             assert sorted(got[i, n]) == sorted(want)
+
+
+# Transforms of many images
+
+
+def test_transforms_of_many_images(spark):
+    """One job over images with options of their own gives what one image at a time does."""
+    options, sizes = {}, {}
+    n = 0
+    for op in B.OPS:
+        for trim, mcu, crop in ((False, (8, 8), None), (True, (16, 8), None), (False, (16, 16), (9, 17, 20, 11)), (True, (8, 16), (0, 5, 100, 30))):
+            n += 1
+            sizes[n] = (RNG.randrange(33, 60), RNG.randrange(33, 60))
+            options[n] = TransformOptions(op, trim=trim, grayscale=n % 3 == 0, crop=crop, mcu=mcu)
+    rows, images = [], []
+    for i, o in options.items():
+        w, h = sizes[i]
+        images.append((i, w, h, o.op, False, o.trim, o.grayscale, *o.mcu, o.crop))
+        rows += [(i, comp, x, y, k, RNG.randrange(-50, 50)) for comp in (0, 1) for y in range(-(-h // 8)) for x in range(-(-w // 8)) for k in (0, 1, 8, 27)]
+    images += [(900, 20, 16, "rot180", True, False, False, 8, 8, None), (901, 7, 40, "flip_h", False, True, False, 8, 8, None), (902, 8, 8, "spin", False, False, False, 8, 8, None), (903, 8, 8, "none", None, None, None, 7, 8, None), (904, 8, 8, None, False, False, False, 8, 8, None)]
+    rows += [(i, 0, 0, 0, 0, 5) for i in range(900, 906)]
+    table = spark.createDataFrame(images, "image int, width int, height int, op string, perfect boolean, trim boolean, grayscale boolean, mcu_w int, mcu_h int, crop struct<x:int,y:int,width:int,height:int>")
+    df = spark.createDataFrame(rows, "image int, component int, gx int, gy int, k int, v int").repartition(3)
+    moved, told = transform_images(df, table)
+    got = {}
+    for r in moved.collect():
+        got.setdefault(r.image, set()).add((r.component, r.gx, r.gy, r.k, r.v))
+    told = {r.image: (r.width, r.height, r.problem) for r in told.collect()}
+    assert set(got) == set(options)
+    assert [told[i][2] for i in range(900, 905)] == ["the transform isn't perfect for this size", "trim would remove all image data", "unknown transform spin", "MCU sides are 8 to 32 in steps of 8", "unknown transform null"] and told[900][:2] == (20, 16)
+    for i, o in options.items():
+        want = set()
+        width, height = sizes[i]
+        full = {comp: [(r[2], r[3], r[4], r[5]) for r in rows if r[0] == i and r[1] == comp] for comp in ((0,) if o.grayscale else (0, 1))}
+        for comp, part in full.items():
+            out, w, h = plain_transform(part, width, height, o)
+            want |= {(comp, *b) for b in out}
+        assert got[i] == want and told[i] == (w, h, None), (i, o)
+
+
+def plain_transform(blocks, width, height, o):
+    """Blocks (gx, gy, k, v) of one component, one after the other."""
+    (mw, mh), op = o.mcu, o.op
+    across, down = op in ("flip_h", "transverse", "rot90", "rot180", "rot270"), op in ("flip_v", "transverse", "rot90", "rot180", "rot270")
+    if o.trim:
+        width = width // mw * mw if across and op != "rot90" else width
+        height = height // mh * mh if down and op != "rot270" else height
+    fw, fh = width // mw * mw // 8, height // mh * mh // 8
+    out = []
+    for x, y, k, v in blocks:
+        if x >= -(-width // 8) or y >= -(-height // 8):
+            continue
+        r, c = divmod(k, 8)
+        fx, fy = {"flip_h": (True, False), "flip_v": (False, True), "rot180": (True, True), "rot90": (False, True), "rot270": (True, False), "transverse": (True, True)}.get(op, (False, False))
+        fx, fy = fx and x < fw, fy and y < fh
+        nx, ny = fw - 1 - x if fx else x, fh - 1 - y if fy else y
+        v = -v if (c * fx + r * fy) % 2 else v
+        out.append((ny, nx, c * 8 + r, v) if op in B.SWAPS else (nx, ny, k, v))
+    if op in B.SWAPS:
+        width, height, mw, mh = height, width, mh, mw
+    if o.crop:
+        x, y, w, h = o.crop
+        x0, y0 = x // mw * mw, y // mh * mh
+        width, height = min(w + x - x0, width - x0), min(h + y - y0, height - y0)
+        nx, ny = -(-width // mw) * mw // 8, -(-height // mh) * mh // 8
+        out = [(a - x0 // 8, b - y0 // 8, k, v) for a, b, k, v in out if 0 <= a - x0 // 8 < nx and 0 <= b - y0 // 8 < ny]
+    return out, width, height
