@@ -1,15 +1,17 @@
 """Registered queries over many images at once: smoothing across blocks, inverse
-transforms to any size, quantization and restoring by image, bit packing."""
+transforms to any size, quantization, restoring and transforms by image, bit
+packing, progressive scans, ranges of rows and damaged data."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .file_queries import _idct, _samples
+from .file_queries import _idct, _inverse_sql, _matrix, _samples
 from .functions import fixed
 from .functions.quality import quantize
-from .operators import bitpack, dct, entropy, palette, planes, scan_symbols, smoothing
+from .operators import bitpack, dct, entropy, palette, planes, recovery, scan_symbols, smoothing
 from .operators import blocks as B
+from .plans import transform
 from .queries import COEF, PLANE, QUANT, ZIG, query
 from .sources import derived
 
@@ -249,3 +251,60 @@ def progressive_tables(spark, sf_dir):
     blocks = fine_blocks(spark, sf_dir)
     first, later = scan_symbols.first_frequencies(blocks, _scans(spark, True)), scan_symbols.refine_frequencies(blocks, _scans(spark, False))
     return entropy.optimal_tables(first.unionByName(later), ("scan",))
+
+
+# Transforms, rows and damage
+
+@query()
+def transform_images(spark, sf_dir):
+    """Images of 20 x 5 blocks, each with a transform, a crop and an MCU of its own."""
+    blocks = derived.blocks(spark, sf_dir).withColumns({"image": F.floor(F.col("gy") / 5), "gy": F.col("gy") % 5})
+    i, ops = F.col("image"), F.array(*map(F.lit, B.OPS))
+    images = blocks.select("image").distinct().select(
+        "image", F.lit(157).alias("width"), F.lit(37).alias("height"), F.element_at(ops, (i % 8 + 1).cast("int")).alias("op"), F.lit(False).alias("perfect"), (i % 2 == 1).alias("trim"), F.lit(False).alias("grayscale"),
+        F.when(i % 3 == 0, 16).otherwise(8).alias("mcu_w"), F.when(i % 5 == 0, 16).otherwise(8).alias("mcu_h"),
+        F.when(i % 4 == 1, F.struct((i % 7).cast("int").alias("x"), F.lit(9).alias("y"), F.lit(21).alias("width"), F.lit(13).alias("height"))).alias("crop"),
+    )
+    return transform.transform_images(blocks, images)[0].select("image", "id", "gx", "gy", "k", "v")
+
+
+_ROWS = (37, 122)
+
+
+@query(f"""WITH {_samples(64)}, {_matrix('m2', dct.INVERSE[8][0].tolist())}, y0 AS (SELECT id, r, c, v * 16 AS v FROM x), {_inverse_sql(11, 18, 128, 'y0')},
+plane AS (SELECT CAST(floor(id / 20.0) AS BIGINT) * 8 + r AS y, id % 20 * 8 + c AS x, v FROM z),
+n AS (SELECT *, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM plane WINDOW w AS (PARTITION BY x ORDER BY y)),
+u AS (SELECT y * 2 AS y, x, (3*v + a + 1) >> 2 AS v FROM n UNION ALL SELECT y * 2 + 1, x, (3*v + b + 2) >> 2 FROM n)
+SELECT y - {_ROWS[0]} AS y, x, v FROM u WHERE y BETWEEN {_ROWS[0]} AND {_ROWS[1]}""")
+def decode_row_range(spark, sf_dir):
+    """Rows of the decoded plane, twice as high: only the rows of blocks that give them are read."""
+    low, high = planes.row_range(*_ROWS, factor=2)
+    stored = derived.table(spark, sf_dir, "embeddings").filter(F.col("vec_id").between(low * 20, high * 20 + 19))  # reaches the scan
+    blocks = stored.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: F.floor(e.cast("double") * 64)).alias("block"))
+    out = dct.inverse(blocks, quant=[16] * 64).select("id", F.posexplode("block").alias("k", "v"))
+    plane = out.select((F.floor(F.col("id") / 20) * 8 + F.floor(F.col("k") / 8)).alias("y"), (F.col("id") % 20 * 8 + F.col("k") % 8).alias("x"), "v")
+    return planes.cut_rows(planes.fancy_h1v2(plane), *_ROWS)
+
+
+def _damaged(spark, sf_dir):
+    """DC differences of images of 100 blocks: every 17th can't be read, every 13th is lost, some images end early."""
+    dc = derived.blocks(spark, sf_dir).filter("k = 0").select(F.floor(F.col("gy") / 5).alias("image"), (F.col("gy") % 5 * 20 + F.col("gx")).alias("id"), F.col("v").alias("d"))
+    ends = (F.col("image") % 3 == 2) & (F.col("id") == 60)
+    error = F.when(ends, "end").when(F.col("id") % 17 == 3, "code")
+    return dc.withColumn("error", error).filter("id % 13 <> 5"), dc.groupBy("image").agg(F.count(F.lit(1)).alias("total"), F.lit(7).alias("restart"))
+
+
+_DAMAGE = f"""{COEF}, e0 AS (SELECT CAST(floor(gy / 5.0) AS BIGINT) AS image, gy % 5 * 20 + gx AS id, v AS d FROM coef WHERE k = 0),
+g AS (SELECT *, CASE WHEN image % 3 = 2 AND id = 60 THEN 'end' WHEN id % 17 = 3 THEN 'code' WHEN id % 13 = 5 THEN 'code' END AS error, max(CASE WHEN image % 3 = 2 AND id = 60 THEN id END) OVER (PARTITION BY image) AS stop FROM e0)"""
+
+
+@query(f"""WITH {_DAMAGE}, r AS (SELECT *, CAST(floor(id / 7.0) AS BIGINT) AS s, count(error) OVER (PARTITION BY image, CAST(floor(id / 7.0) AS BIGINT) ORDER BY id) AS resets FROM g)
+SELECT image, id, CAST(CASE WHEN stop IS NOT NULL OR error IS NOT NULL THEN 0 ELSE sum(CASE WHEN error IS NULL THEN d ELSE 0 END) OVER (PARTITION BY image, s, resets ORDER BY id) END AS BIGINT) AS v FROM r""")
+def lenient_blocks(spark, sf_dir):
+    """DC values of damaged images: prediction starts anew after what can't be read."""
+    return recovery.recover(*_damaged(spark, sf_dir))[0]
+
+
+@query(f"WITH {_DAMAGE} SELECT image, error AS kind, id, CASE WHEN error = 'end' THEN id END AS blocks FROM g WHERE error = 'end' OR (error IS NOT NULL AND (stop IS NULL OR id < stop))")
+def lenient_warnings(spark, sf_dir):
+    return recovery.recover(*_damaged(spark, sf_dir))[1]

@@ -190,3 +190,16 @@ def smooth_downsample(plane: DataFrame, width: int, height: int, factor: int, ke
     sums = played.groupBy(*keys, F.col("_y.c").alias("y"), F.col("_x.c").alias("x")).agg(F.sum(F.col("v") * weight).alias("s"))
     v = F.shiftright(F.col("s") + 32768, 16)
     return sums.select(*keys, "y", "x", F.least(F.lit(255).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), v)).alias("v"))
+
+
+def row_range(first: int, last: int, factor: int = 1, context: int = 1, size: int = 8) -> tuple[int, int]:
+    """First and last row of blocks that give the output rows ``first`` to ``last`` of a
+    plane enlarged ``factor`` times, with ``context`` more samples for filters."""
+    if not 0 <= first <= last:
+        raise ValueError("an empty range of rows")
+    return max(0, first // factor - context) // size, (last // factor + context) // size
+
+
+def cut_rows(plane: DataFrame, first: int, last: int) -> DataFrame:
+    """The rows asked for, numbered from 0."""
+    return plane.filter(F.col("y").between(first, last)).withColumn("y", F.col("y") - first)

@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom import queries
 from rasterloom.functions import fixed
+from rasterloom.operators import bitpack, dct, entropy, palette, planes, recovery, scan_symbols, smoothing
 from rasterloom.operators import blocks as B
-from rasterloom.operators import bitpack, dct, entropy, palette, scan_symbols, smoothing
 from rasterloom.plans.transform import TransformOptions, transform_images
+from rasterloom.streaming import progressive
 
 RNG = random.Random(7)
 
@@ -450,3 +452,101 @@ def plain_transform(blocks, width, height, o):
         nx, ny = -(-width // mw) * mw // 8, -(-height // mh) * mh // 8
         out = [(a - x0 // 8, b - y0 // 8, k, v) for a, b, k, v in out if 0 <= a - x0 // 8 < nx and 0 <= b - y0 // 8 < ny]
     return out, width, height
+
+
+# Damage, rows, display
+
+
+def test_recovery_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(recovery, "RANGE", 4)
+    images, rows, want, warned = [], [], {}, set()
+    for i, (total, restart, stop) in enumerate([(30, 7, None), (25, 0, None), (20, 4, 11), (1, 0, 0), (9, 3, None), (0, 2, None)]):
+        images.append((i, total, restart))
+        value, values, seen = 0, [], []
+        for n in range(total):
+            if restart and n % restart == 0:
+                value = 0
+            d = RNG.randrange(-50, 50)
+            error = "end" if n == stop else "code" if RNG.random() < 0.15 else None
+            lost = RNG.random() < 0.1 and n != stop
+            if not lost:
+                rows.append((i, n, d, error))
+            if lost or error:
+                value = 0
+                values.append(0)
+                seen.append(("code", n, None) if n != stop else ("end", n, n))
+            else:
+                value += d
+                values.append(value)
+        if stop is not None:
+            values, seen = [0] * total, [w for w in seen if w[1] <= stop]
+        want |= {(i, n): v for n, v in enumerate(values)}
+        warned |= {(i, *w) for w in seen}
+    RNG.shuffle(rows)
+    coded = spark.createDataFrame(rows, "image int, id long, d int, error string").repartition(3)
+    blocks, warnings = recovery.recover(coded, spark.createDataFrame(images, "image int, total int, restart int"))
+    assert {(r.image, r.id): r.v for r in blocks.collect()} == want
+    assert {(r.image, r.kind, r.id, r.blocks) for r in warnings.collect()} == warned
+
+
+@pytest.mark.parametrize("first,last,factor", [(0, 0, 1), (37, 122, 2), (8, 15, 1), (5, 40, 3)])
+def test_row_ranges_hold_what_filters_need(first, last, factor):
+    low, high = planes.row_range(first, last, factor)
+    assert low * 8 <= max(0, first // factor - 1) and high * 8 + 7 >= last // factor + 1 and high - low <= (last - first) // factor // 8 + 3
+
+
+def test_only_the_rows_asked_for_are_read(spark):
+    plan = queries.QUERIES["decode_row_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(vec_id,40)" in plan and "LessThanOrEqual(vec_id,159)" in plan
+
+
+def scans_of(images):
+    """Rows of progressive.SCHEMA: DC at bit 1, AC at bit 1, then the rest."""
+    rows = []
+    for i, blocks in images.items():
+        for b, block in enumerate(blocks):
+            for k, v in enumerate(block):
+                high, low = v >> 1, v & 1
+                rows += [(i, 0 if k == 0 else 1, b, k, high, 1), (i, 2, b, k, low, 0)]
+    return rows
+
+
+def test_display_with_late_and_repeated_scans(spark, tmp_path):
+    """Scans in any order and twice give what they give in order; gaps are told."""
+    images = {i: [[RNG.randrange(-40, 40) if k < 4 else 0 for k in range(64)] for _ in range(4)] for i in (1, 2)}
+    rows = scans_of(images)
+    src = tmp_path / "scans"
+    parts = [[r for r in rows if r[1] == 2 and r[0] == 1], [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 2 and r[0] == 1], [r for r in rows if r[1] == 1]]
+    src.mkdir()
+    stream = progressive.coefficients(spark.readStream.schema(progressive.SCHEMA).parquet(str(src))).writeStream.outputMode("complete").format("memory").queryName("shown").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        have = []
+        for part in parts:
+            spark.createDataFrame(part, progressive.SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
+            stream.processAllAvailable()
+            have += part
+            want = {}
+            for i, _, b, k, bits, al in set(have):
+                want[i, b, k] = want.get((i, b, k), 0) + (bits << al)
+            held = spark.table("shown")
+            assert {(r.image_id, r.block, r.k): r.v for r in held.collect()} == want
+            seen = progressive.progress(spark.createDataFrame(have, progressive.SCHEMA)).collect()
+            assert {r.image_id: r.whole for r in seen} == {i: min(set(range(4)) - {r[1] for r in have if r[0] == i}) for i in {r[0] for r in have}}
+        layout = spark.createDataFrame([(i, 0, b, b % 2, b // 2) for i in images for b in range(4)], "image long, component int, block long, gx int, gy int")
+        one = spark.createDataFrame([(i, 0) for i in images], "image long, component int")
+        quant, bits = progressive.default_tables(one), one.withColumn("bits", F.array(*[F.lit(0)] * 10))
+        shown = {(r.image, r.gx, r.gy): r.block for r in progressive.preview(held, layout, bits, quant).collect()}
+        x = np.array([want.get((1, 3, k), 0) * fixed.LUMA[k] for k in range(64)])[None]
+        assert shown[1, 1, 1] == dct.inverse_integer(x)[0].tolist() and len(shown) == 8
+        rough = bits.withColumn("bits", F.array(F.lit(0), *[F.lit(-1)] * 9))
+        flat = held.filter("k = 0")
+        smooth = {(r.image, r.gx, r.gy): r.block for r in progressive.preview(flat, layout, rough, quant).collect()}
+        dc = {i: [[want[i, b, 0]] + [0] * 63 for b in range(4)] for i in images}
+        for i in images:
+            out = plain_smooth(dc[i], 2, 2, [0] + [-1] * 9, fixed.LUMA)
+            for b in range(4):
+                assert smooth[i, b % 2, b // 2] == dct.inverse_integer(np.array([out[b]]) * np.array([fixed.LUMA]))[0].tolist()
+        none = progressive.preview(flat.limit(0), layout, rough, quant, smooth=False).collect()
+        assert all(r.block == [128] * 64 for r in none) and len(none) == 8
+    finally:
+        stream.stop()
