@@ -12,8 +12,8 @@ from .functions.quality import quantize
 from .operators import bitpack, dct, entropy, palette, planes, recovery, scan_symbols, smoothing
 from .operators import blocks as B
 from .plans import transform
-from .queries import COEF, PLANE, QUANT, ZIG, query
-from .sources import derived
+from .queries import COEF, PIX, PLANE, QUANT, ZIG, query
+from .sources import derived, images
 
 # Inverse transforms to any size
 
@@ -50,8 +50,8 @@ def _block_images(spark, sf_dir):
 
 
 def _tables(blocks, bits):
-    images = blocks.select("image", "component").distinct()
-    return images.withColumn("bits", bits), images.withColumn("quant", F.array(*map(F.lit, fixed.LUMA)))
+    each = blocks.select("image", "component").distinct()
+    return each.withColumn("bits", bits), each.withColumn("quant", F.array(*map(F.lit, fixed.LUMA)))
 
 
 def _low(smoothed):
@@ -127,8 +127,8 @@ for _p in range(3, 8):
 
     def _restore(spark, sf_dir, number=_p):
         """Planes of 40 rows, each restored by itself."""
-        images = derived.samples(spark, sf_dir).withColumns({"image": F.floor(F.col("y") / 40), "y": F.col("y") % 40})
-        return planes.undo_prediction(planes.lossless_difference(images, number, keys=("image",)), number, keys=("image",))
+        whole = derived.samples(spark, sf_dir).withColumns({"image": F.floor(F.col("y") / 40), "y": F.col("y") % 40})
+        return planes.undo_prediction(planes.lossless_difference(whole, number, keys=("image",)), number, keys=("image",))
 
     query(f"WITH {PLANE} SELECT CAST(floor(y / 40.0) AS BIGINT) AS image, y % 40 AS y, x, v FROM plane", f"lossless_restore_images_{_p}")(_restore)
 
@@ -260,12 +260,12 @@ def transform_images(spark, sf_dir):
     """Images of 20 x 5 blocks, each with a transform, a crop and an MCU of its own."""
     blocks = derived.blocks(spark, sf_dir).withColumns({"image": F.floor(F.col("gy") / 5), "gy": F.col("gy") % 5})
     i, ops = F.col("image"), F.array(*map(F.lit, B.OPS))
-    images = blocks.select("image").distinct().select(
+    asked = blocks.select("image").distinct().select(
         "image", F.lit(157).alias("width"), F.lit(37).alias("height"), F.element_at(ops, (i % 8 + 1).cast("int")).alias("op"), F.lit(False).alias("perfect"), (i % 2 == 1).alias("trim"), F.lit(False).alias("grayscale"),
         F.when(i % 3 == 0, 16).otherwise(8).alias("mcu_w"), F.when(i % 5 == 0, 16).otherwise(8).alias("mcu_h"),
         F.when(i % 4 == 1, F.struct((i % 7).cast("int").alias("x"), F.lit(9).alias("y"), F.lit(21).alias("width"), F.lit(13).alias("height"))).alias("crop"),
     )
-    return transform.transform_images(blocks, images)[0].select("image", "id", "gx", "gy", "k", "v")
+    return transform.transform_images(blocks, asked)[0].select("image", "id", "gx", "gy", "k", "v")
 
 
 _ROWS = (37, 122)
@@ -308,3 +308,65 @@ def lenient_blocks(spark, sf_dir):
 @query(f"WITH {_DAMAGE} SELECT image, error AS kind, id, CASE WHEN error = 'end' THEN id END AS blocks FROM g WHERE error = 'end' OR (error IS NOT NULL AND (stop IS NULL OR id < stop))")
 def lenient_warnings(spark, sf_dir):
     return recovery.recover(*_damaged(spark, sf_dir))[1]
+
+
+# 12 bits: images two columns wide, which 8-bit filters would copy
+
+_TWELVE = f"""WITH {PLANE}, t AS (SELECT CAST(floor(x / 2.0) AS BIGINT) AS image, y, x % 2 AS x, v * 16 + x % 16 AS v FROM plane),
+n AS (SELECT *, coalesce(lag(v) OVER d, v) AS above, coalesce(lead(v) OVER d, v) AS below, lag(v) OVER r AS a, lead(v) OVER r AS c FROM t WINDOW d AS (PARTITION BY image, x ORDER BY y), r AS (PARTITION BY image, y ORDER BY x))"""
+
+
+def _twelve(spark, sf_dir):
+    x = F.col("x")
+    return derived.samples(spark, sf_dir).select(F.floor(x / 2).alias("image"), "y", (x % 2).alias("x"), (F.col("v") * 16 + x % 16).alias("v"))
+
+
+@query(f"{_TWELVE} SELECT image, y, x * 2 AS x, coalesce((3*v + a + 1) >> 2, v) AS v FROM n UNION ALL SELECT image, y, x * 2 + 1, coalesce((3*v + c + 2) >> 2, v) FROM n")
+def upsample_12_bit_h2v1(spark, sf_dir):
+    return planes.fancy_12_bit(_twelve(spark, sf_dir), 2, 1, keys=("image",))
+
+
+@query(f"{_TWELVE} SELECT image, y * 2 AS y, x, (3*v + above + 1) >> 2 AS v FROM n UNION ALL SELECT image, y * 2 + 1, x, (3*v + below + 2) >> 2 FROM n")
+def upsample_12_bit_h1v2(spark, sf_dir):
+    return planes.fancy_12_bit(_twelve(spark, sf_dir), 1, 2, keys=("image",))
+
+
+@query(f"""{_TWELVE}, s AS (SELECT image, y * 2 AS y, x, 3*v + above AS s FROM n UNION ALL SELECT image, y * 2 + 1, x, 3*v + below FROM n),
+m AS (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS c FROM s WINDOW w AS (PARTITION BY image, y ORDER BY x)),
+o AS (SELECT image, y, x * 2 AS x, (coalesce(3*s + a, 4*s) + 8) >> 4 AS v FROM m UNION ALL SELECT image, y, x * 2 + 1, (coalesce(3*s + c, 4*s) + 7) >> 4 FROM m) SELECT * FROM o WHERE x < 3""")
+def upsample_12_bit_h2v2(spark, sf_dir):
+    """Cut to three columns."""
+    return planes.fancy_12_bit(_twelve(spark, sf_dir), 2, 2, width=3, keys=("image",))
+
+
+# Pixel files
+
+def _pixel_rows(spark, sf_dir, order):
+    """width, height and interleaved samples of every image, 25 rows of 20 pixels."""
+    p = _pixel_images(spark, sf_dir)
+    data = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", *order))), lambda s: F.concat(*[F.lpad(F.hex(s[c]), 2, "0") for c in order])), ""))
+    return p.groupBy("image").agg(F.lit(20).alias("width"), (F.max("y") + 1).cast("int").alias("height"), data.alias("data"), F.count(F.lit(1)).alias("n")).filter("n = width * height").drop("n")
+
+
+_FILES = f"""WITH {PIX}, i AS (SELECT *, CAST(floor(y / 25.0) AS BIGINT) AS image FROM pix), whole AS (SELECT image FROM i GROUP BY image HAVING count(*) = 20 * (max(y % 25) + 1))
+SELECT image, y % 25 AS y, x, r, g, b FROM i JOIN whole USING (image)"""
+
+
+@query(_FILES)
+def bmp_round_trip(spark, sf_dir):
+    """Every image written as a BMP file's bytes, told by its kind and read again."""
+    files = images.bmp_bytes(_pixel_rows(spark, sf_dir, "rgb"), "rgb").select(F.col("image").alias("key"), "content")
+    return _read_again(files)
+
+
+@query(_FILES)
+def pnm_round_trip(spark, sf_dir):
+    """Every image written as a PPM file's bytes, told by its kind and read again."""
+    rows = _pixel_rows(spark, sf_dir, "rgb")
+    files = rows.select(F.col("image").alias("key"), images.pnm_bytes(F.col("width"), F.col("height"), F.col("data"), 3).alias("content"))
+    return _read_again(files)
+
+
+def _read_again(files):
+    back = images.load_pixels(files, "key")
+    return back.select(F.col("key").alias("image"), *[F.col(c).cast("bigint").alias(c) for c in ("y", "x", "r", "g", "b")])

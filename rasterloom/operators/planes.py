@@ -32,18 +32,18 @@ def pairs(rows: DataFrame, axis: str, value: str) -> DataFrame:
     return rows.select(*rest, axis, both).select(*rest, (F.col(axis) * 2 + F.col("_o.d")).alias(axis), F.col("_o.v").alias(value))
 
 
-def replicate(plane: DataFrame, fx: int, fy: int) -> DataFrame:
+def replicate(plane: DataFrame, fx: int, fy: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Nearest upsampling."""
     dx, dy = F.explode(F.sequence(F.lit(0), F.lit(fx - 1))).alias("dx"), F.explode(F.sequence(F.lit(0), F.lit(fy - 1))).alias("dy")
-    return plane.select("*", dx).select("*", dy).select((F.col("y") * fy + F.col("dy")).alias("y"), (F.col("x") * fx + F.col("dx")).alias("x"), "v")
+    return plane.select("*", dx).select("*", dy).select(*keys, (F.col("y") * fy + F.col("dy")).alias("y"), (F.col("x") * fx + F.col("dx")).alias("x"), "v")
 
 
-def fancy_h2v1(plane: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Triangle filter to twice the width; the outer samples are copied."""
+def fancy_h2v1(plane: DataFrame, keys: tuple[str, ...] = (), narrow: int = 2) -> DataFrame:
+    """Triangle filter to twice the width; the outer samples are copied, and all of planes up to ``narrow`` wide."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "y"))
     c, left, right = F.col("v"), F.lag("v").over(along("x", keys)), F.lead("v").over(along("x", keys))
-    even = F.when(left.isNull() | (n <= 2), c).otherwise(F.shiftright(3 * c + left + 1, 2))
-    odd = F.when(right.isNull() | (n <= 2), c).otherwise(F.shiftright(3 * c + right + 2, 2))
+    even = F.when(left.isNull() | (n <= narrow), c).otherwise(F.shiftright(3 * c + left + 1, 2))
+    odd = F.when(right.isNull() | (n <= narrow), c).otherwise(F.shiftright(3 * c + right + 2, 2))
     return pairs(plane.select(*keys, "y", "x", even.alias("_0"), odd.alias("_1")), "x", "v")
 
 
@@ -54,18 +54,26 @@ def fancy_h1v2(plane: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return pairs(plane.select(*keys, "y", "x", F.shiftright(3 * c + above + 1, 2).alias("_0"), F.shiftright(3 * c + below + 2, 2).alias("_1")), "y", "v")
 
 
-def fancy_h2v2(plane: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Triangle filter on both axes: column sums first, then rows with +8 and +7."""
+def fancy_h2v2(plane: DataFrame, keys: tuple[str, ...] = (), narrow: int = 2) -> DataFrame:
+    """Triangle filter on both axes: column sums first, then rows with +8 and +7; planes up to ``narrow`` wide aren't filtered across."""
     c = F.col("v")
     sums = [(3 * c + neighbour("y", step, c, keys=keys)).alias(name) for name, step in (("_0", -1), ("_1", 1))]
     cols = pairs(plane.select(*keys, "y", "x", *sums), "y", "s")
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "y"))
     s, left, right = F.col("s"), F.lag("s").over(along("x", keys)), F.lead("s").over(along("x", keys))
-    even = F.shiftright(F.when(left.isNull() | (n <= 2), 4 * s).otherwise(3 * s + left) + 8, 4)
-    odd = F.shiftright(F.when(right.isNull() | (n <= 2), 4 * s).otherwise(3 * s + right) + 7, 4)
+    even = F.shiftright(F.when(left.isNull() | (n <= narrow), 4 * s).otherwise(3 * s + left) + 8, 4)
+    odd = F.shiftright(F.when(right.isNull() | (n <= narrow), 4 * s).otherwise(3 * s + right) + 7, 4)
     return pairs(cols.select(*keys, "y", "x", even.alias("_0"), odd.alias("_1")), "x", "v")
 
 
+def fancy_12_bit(plane: DataFrame, fx: int, fy: int, width: int | None = None, height: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Upsampling of 12-bit planes by ``fx`` and ``fy``: triangle filters for 2 x 1, 1 x 2
+    and 2 x 2 whatever the width, nearest for other factors; cut to ``width`` and ``height``."""
+    kinds = {(2, 1): lambda: fancy_h2v1(plane, keys, 1), (1, 2): lambda: fancy_h1v2(plane, keys), (2, 2): lambda: fancy_h2v2(plane, keys, 1)}
+    out = kinds.get((fx, fy), lambda: replicate(plane, fx, fy, keys))()
+    return out.filter((F.lit(width is None) | (F.col("x") < F.lit(width))) & (F.lit(height is None) | (F.col("y") < F.lit(height))))
+
+
 def downsample(plane: DataFrame, fx: int, fy: int, mean: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """Box average of fx x fy samples. The encoder's bias alternates by column
     for 2x1 (0, 1) and 2x2 (1, 2); ``mean`` rounds to nearest instead.

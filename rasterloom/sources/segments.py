@@ -71,14 +71,25 @@ def scan(images: DataFrame, key: str = "path", content: str = "content") -> Data
     ready(images.sparkSession)
     kind = images.schema[key].dataType.simpleString()
 
+    names, types = ["key", "ordinal", "marker", "offset", "payload", "error"], (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string())
+
     def run(batches):
         for b in batches:
+            rows, size = [], 0
+
+            def gathered():
+                at, *cols = zip(*rows, strict=True)  # noqa: B023
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=names)  # noqa: B023
+
             for i, data in enumerate(b.column(1).to_pylist()):
                 if data is not None:
-                    rows = [(n, *s) for n, s in enumerate(file_segments(data))]
-                    cols = list(zip(*rows, strict=True))
-                    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows), pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["key", "ordinal", "marker", "offset", "payload", "error"])
+                    rows += [(i, n, *s) for n, s in enumerate(file_segments(data))]
+                    size += len(data)
+                    if size > 4 << 20:  # small files share a batch
+                        yield gathered()
+                        rows, size = [], 0
+            if rows:
+                yield gathered()
 
     narrow = images.select(F.col(key).alias("key"), F.col(content).alias("content"))
     return narrow.mapInArrow(run, f"key {kind}, ordinal int, marker int, offset long, payload binary, error string")
