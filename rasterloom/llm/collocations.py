@@ -52,6 +52,11 @@ CODED = "shard long, codes binary, words array<struct<lang:string,word:string,n:
 WORD = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """Words and phrases are built into hash tables on the driver: less than elsewhere may be broadcast."""
+    return base.small(table, 250_000, 16 << 20)
+
+
 class Codes(dict):
     """Word to code within a shard, by order of appearance; code 0 ends a piece."""
 
@@ -261,7 +266,7 @@ def with_ids(rows: DataFrame, scratch: base.Scratch) -> DataFrame:
     totals = named.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     starts = scratch.table(totals.select("_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_start")))
-    return named.join(base.small(starts), "_part").withColumn("id", F.col("_at") + F.col("_start")).drop("_at", "_part", "_start")
+    return named.join(_small(starts), "_part").withColumn("id", F.col("_at") + F.col("_start")).drop("_at", "_part", "_start")
 
 
 def phrase_counts(docs: DataFrame, scratch: base.Scratch, lang_col: str = "lang", text_col: str = "text", most: int = MOST, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, list[DataFrame]]:
@@ -278,7 +283,7 @@ def phrase_counts(docs: DataFrame, scratch: base.Scratch, lang_col: str = "lang"
         totals = scratch.table(merged.groupBy("lang").agg(F.sum("n").alias("total")))
         words = scratch.table(with_ids(merged.filter(F.col("n") >= least), scratch))
         scratch.drop(merged)
-        own = listed.join(base.small(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("ids"))  # at most a shard's words
+        own = listed.join(_small(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("ids"))  # at most a shard's words
         stream = scratch.table(coded.select("shard", "codes").join(own, "shard").mapInArrow(name_words, STREAMS))
         scratch.drop(coded)
         base.sweep(spark)
@@ -295,14 +300,14 @@ def phrase_counts(docs: DataFrame, scratch: base.Scratch, lang_col: str = "lang"
                 there = scratch.table(found.withColumn("total", F.sum("n").over(of_key)).filter(F.col("total") >= least).select("shard", "head", "tail", F.col("total").alias("n")))
                 base.sweep(spark)
                 level = scratch.table(with_ids(there.groupBy("head", "tail").agg(F.first("n").alias("n")), scratch))
-                own = there.join(base.small(level.select("head", "tail", "id")), ["head", "tail"]).groupBy("shard").agg(F.collect_list(F.struct("head", "tail", "id")).alias("ids"))
+                own = there.join(_small(level.select("head", "tail", "id")), ["head", "tail"]).groupBy("shard").agg(F.collect_list(F.struct("head", "tail", "id")).alias("ids"))
                 read, named = stream.join(own, "shard"), False  # named and counted in one pass
                 if m + 1 < most:
                     stream = read = scratch.table(read.mapInArrow(name_phrases, STREAMS))
                     named = True
                     base.sweep(spark)
-            first = base.small(levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("p"), F.col("heads").alias("h")))
-            last = base.small(levels[-1].select(F.col("id").alias("tail"), F.col("phrase").alias("q"), F.col("tails").alias("t")))
+            first = _small(levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("p"), F.col("heads").alias("h")))
+            last = _small(levels[-1].select(F.col("id").alias("tail"), F.col("phrase").alias("q"), F.col("tails").alias("t")))
             joined = level.join(first, "head").join(last, "tail")
             phrase = F.concat("p", F.slice("q", -1, 1))
             levels.append(scratch.table(joined.select("id", "lang", phrase.alias("phrase"), "n", "head", "tail", F.concat("h", F.array("n")).alias("heads"), F.concat("t", F.array("n")).alias("tails"))))
@@ -325,7 +330,7 @@ def collocations(
             longer = levels[m]
             # where a phrase lies in any longer one, it lies in one of a single word more that is at least as frequent
             around = longer.select(F.col("head").alias("id"), "n").unionByName(longer.select(F.col("tail").alias("id"), "n")).groupBy("id").agg(F.max("n").alias("around"))
-            level = level.join(base.small(scratch.table(around)), "id", "left").filter(F.col("around").isNull() | (100 * F.col("around") < half * F.col("n")))
+            level = level.join(_small(scratch.table(around)), "id", "left").filter(F.col("around").isNull() | (100 * F.col("around") < half * F.col("n")))
         cut = F.array(*[F.struct(*_score(F.col("n"), F.element_at("heads", k), F.element_at("tails", m - k), F.lit(k))) for k in range(1, m)])
         kept.append(level.select("lang", F.array_join("phrase", " ").alias("phrase"), F.col("n").alias("a"), F.array_min(cut).alias("cut")))
     every = kept[0]
@@ -336,7 +341,7 @@ def collocations(
     # each task keeps its best before they meet
     with base.conf(spark, spark__sql__optimizer__windowGroupLimitThreshold=str(max(top, 1000))):
         ranked = scratch.table(every.withColumn("rank", best.cast("long")).filter(F.col("rank") <= top))
-    return ranked.join(base.small(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    return ranked.join(_small(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
 def _score(a, left, right, k):
