@@ -31,11 +31,27 @@ def uniform_palette(spark: SparkSession, colors: int) -> DataFrame:
 def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """r, g, b, idx: the entry of least squared distance, the first of equals.
 
-    The palette (at most 256 rows) is gathered to one array; there is no join of rows."""
-    entries = palette.agg(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("entries"))
-    near = F.array_min(F.transform("entries", lambda e: F.struct(
-        ((F.col("r") - e.r) * (F.col("r") - e.r) + (F.col("g") - e.g) * (F.col("g") - e.g) + (F.col("b") - e.b) * (F.col("b") - e.b)).alias("d"), e.idx.alias("idx"))))
-    return colors.select("r", "g", "b").distinct().join(F.broadcast(entries)).select("r", "g", "b", near["idx"].alias("idx"))
+    The palette (at most 256 rows) goes to the tasks as one matrix; distinct
+    colours meet it block by block. A null channel gets the first entry; without
+    a palette ``idx`` is null."""
+    ready(colors.sparkSession)
+    rows = sorted(tuple(r) for r in palette.select("idx", "r", "g", "b").limit(257).collect())
+    if len(rows) > 256:
+        raise ValueError("a palette has at most 256 entries")
+    if not rows:
+        return colors.select("r", "g", "b").distinct().withColumn("idx", F.lit(None).cast("bigint"))
+    entries = np.array(rows, np.float64)
+    names = ["r", "g", "b"]
+    schema = ", ".join(f"{c} {colors.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches):
+        for b in batches:
+            rgb = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(3)], 1)
+            at = [((rgb[a : a + 2048, None] - entries[None, :, 1:]) ** 2).sum(axis=2).argmin(axis=1) for a in range(0, len(rgb), 2048)]
+            idx = entries[np.concatenate(at), 0].astype(np.int64) if at else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(idx)], names=[*names, "idx"])
+
+    return colors.select(*names).distinct().mapInArrow(run, f"{schema}, idx bigint")
 
 
 def index_pixels(pixels: DataFrame, palette: DataFrame) -> DataFrame:
