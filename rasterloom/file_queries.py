@@ -354,13 +354,12 @@ def lossless_output(spark, sf_dir):
 @query(f"WITH {PIX}, {YCC} SELECT id, f.f AS format, yy, cb, cr, yy AS luma FROM ycc, (SELECT unnest({COLOURS}) AS f) f UNION ALL SELECT id, 'gray', r, NULL, NULL, r FROM pix")
 def encoder_planes(spark, sf_dir):
     """Packed pixels of every format to the encoder's planes and to luma."""
-    p, out = derived.pixels(spark, sf_dir), None
-    for f in [*COLOURS, "gray"]:
-        packed = p.select("id", pixels.pack(f, r="r", g="g", b="b", v="r").alias("p"))
-        found = [*pixels.encoder_planes(f, F.col("p")), *[F.lit(None).cast("bigint")] * 2][:3]
-        rows = packed.select("id", F.lit(f).alias("format"), *[c.alias(n) for c, n in zip(found, ("yy", "cb", "cr"), strict=True)], pixels.luminance(f, F.col("p")).alias("luma"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = []
+    for f in [*COLOURS, "gray"]:  # a struct per format, from one scan
+        packed = pixels.pack(f, r="r", g="g", b="b", v="r")
+        found = [*pixels.encoder_planes(f, packed), *[F.lit(None).cast("bigint")] * 2][:3]
+        rows.append(F.struct(F.lit(f).alias("format"), *[c.cast("bigint").alias(n) for c, n in zip([*found, pixels.luminance(f, packed)], ("yy", "cb", "cr", "luma"), strict=True)]))
+    return derived.pixels(spark, sf_dir).select("id", F.explode(F.array(*rows)).alias("p")).select("id", "p.*")
 
 
 CHROMA = "c AS (SELECT CAST(floor(y / 2.0) AS BIGINT) AS cy, CAST(floor(x / 2.0) AS BIGINT) AS cx, CAST(floor((sum(cb) + floor(count(*) / 2.0)) / count(*)) AS BIGINT) AS cb, CAST(floor((sum(cr) + floor(count(*) / 2.0)) / count(*)) AS BIGINT) AS cr FROM ycc GROUP BY 1, 2)"
