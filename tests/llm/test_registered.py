@@ -6,8 +6,10 @@ import duckdb
 import numpy as np
 import pytest
 import test_op2
+import test_op3
 import test_op7
 from data import awkward, words, write
+from pyspark.sql import functions as F
 
 from rasterloom.llm import exact_dedup, ngram_join, passages, registry, sentencepiece_codec, toxicity
 
@@ -58,3 +60,21 @@ def test_sentencepiece(spark, tmp_path):
     assert len(got) == len(rows)
     for i, t, *_ in rows:
         assert got[i].decoded_sha256 == sha256((t or "").encode()).hexdigest()
+
+
+def test_sentencepiece_ids(spark, tmp_path):
+    """The registered counts and hashes are those of ids whose score no other segmentation beats."""
+    rows = [(i, t, None, None, None, None, None) for i, t in enumerate([*test_op3.MARKED, "the international Device 2024", "", None, "é漢🎉 ab  c"])]
+    got = {r.doc_id: r for r in sentencepiece_codec.op3_sentencepiece(spark, write(spark, tmp_path, rows)).collect()}
+    encoded = sentencepiece_codec.encode(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    model = sentencepiece_codec.Model.load(sentencepiece_codec.model_path())
+    kept = [i for i in range(len(model.pieces)) if i not in model.skip]
+    byte_ids = set(model.bytes.values())
+    for r in encoded.select("doc_id", "ids", F.xxhash64("ids").alias("h")).collect():
+        assert got[r.doc_id].n_ids == len(r.ids) and got[r.doc_id].ids_hash == r.h
+        text = rows[r.doc_id][1]
+        if text:
+            score = sum(sentencepiece_codec.BYTE_SCORE if i in byte_ids else model.scores[i] for i in r.ids)
+            marked = sentencepiece_codec.MARK + text.replace(" ", sentencepiece_codec.MARK)
+            best = test_op3.brute_score(marked, [model.pieces[i] for i in kept], [model.scores[i] for i in kept], sentencepiece_codec.BYTE_SCORE)
+            assert abs(score - best) < 1e-6
