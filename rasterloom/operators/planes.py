@@ -186,7 +186,8 @@ def smooth_downsample(plane: DataFrame, width: int, height: int, factor: int, ke
 
     Every sample is a member of its own cell and an outer neighbour of the next
     one (at an edge: of its own), along each axis; one aggregation sums the four
-    parts it plays. Sides count twice, corners once."""
+    parts it plays. Sides count twice, corners once. A plane may lack blocks of
+    its last rows: cells without a sample of their own have no average."""
     def parts(axis: str, size: int):
         cell = F.floor(F.col(axis) / 2)
         next_ = F.when(F.pmod(F.col(axis), F.lit(2)) == 0, F.greatest(cell - 1, F.lit(0))).otherwise(F.least(cell + 1, F.lit(size // 2 - 1)))
@@ -195,9 +196,9 @@ def smooth_downsample(plane: DataFrame, width: int, height: int, factor: int, ke
     played = plane.select(*keys, "x", "v", parts("y", height).alias("_y")).select(*keys, "v", "_y", parts("x", width).alias("_x"))
     outer = F.col("_y.out") + F.col("_x.out")
     weight = F.when(outer == 0, 16384 - factor * 80).when(outer == 1, factor * 32).otherwise(factor * 16)
-    sums = played.groupBy(*keys, F.col("_y.c").alias("y"), F.col("_x.c").alias("x")).agg(F.sum(F.col("v") * weight).alias("s"))
+    sums = played.groupBy(*keys, F.col("_y.c").alias("y"), F.col("_x.c").alias("x")).agg(F.sum(F.col("v") * weight).alias("s"), F.count_if(outer == 0).alias("own"))
     v = F.shiftright(F.col("s") + 32768, 16)
-    return sums.select(*keys, "y", "x", F.least(F.lit(255).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), v)).alias("v"))
+    return sums.filter("own > 0").select(*keys, "y", "x", F.least(F.lit(255).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), v)).alias("v"))
 
 
 def row_range(first: int, last: int, factor: int = 1, context: int = 1, size: int = 8) -> tuple[int, int]:

@@ -45,3 +45,15 @@ def test_whole_planes(spark):
     assert queries.QUERIES["trim_blocks_whole"](spark, SF).selectExpr("max(gy) + 1").first()[0] == (h * 8 - 1) // 16 * 2
     rows = derived.pixels(spark, SF).selectExpr("max(y) + 1").first()[0]
     assert queries.QUERIES["pad_edges_whole"](spark, SF).selectExpr("count(distinct y)").first()[0] == -(-rows // 8) * 8
+
+
+def test_smooth_downsample_of_a_ragged_plane(spark, tmp_path):
+    """The last row of blocks ends early: no cell is made of neighbours alone."""
+    import duckdb
+
+    rows = [(i, [float((i * 64 + k) * 37 % 101 - 50) / 100 for k in range(64)]) for i in range(27)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(f"SELECT y, x, v FROM ({queries.SQL['smooth_downsample_whole']})").fetchall()
+    assert sorted(map(tuple, queries.QUERIES["smooth_downsample_whole"](spark, str(tmp_path)).select("y", "x", "v").collect())) == sorted(want)
