@@ -37,7 +37,7 @@ def quality_scaling(spark, sf_dir):
 
 
 def _scaled_tables(spark, sf_dir):
-    t = derived.images(spark, sf_dir).select("id", quality.scaling(F.col("q")).alias("scale"))
+    t = derived.spread(derived.images(spark, sf_dir), "id").select("id", quality.scaling(F.col("q")).alias("scale"))
     both = F.arrays_zip(F.array(*map(F.lit, fixed.LUMA)).alias("l"), F.array(*map(F.lit, fixed.CHROMA)).alias("c"))
     return t.select("*", F.posexplode(both).alias("k", "t")).withColumn("k", F.col("k").cast("bigint"))
 
@@ -70,7 +70,7 @@ def per_table_quality(spark, sf_dir):
     """Four tables an image with a quality each; the first row of the last is set by the caller and cut for baseline."""
     s, k, tq = F.col("s"), F.col("k"), F.col("tq")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n).cast("bigint")))
-    rows = derived.images(spark, sf_dir).select("id", F.col("q").alias("s"), each(3).alias("tq")).select("*", each(63).alias("k"))
+    rows = derived.spread(derived.images(spark, sf_dir).select("id", F.col("q").alias("s")), "id").select("id", "s", each(3).alias("tq")).select("*", each(63).alias("k"))
     custom = F.when((tq == 3) & (k < 8), 300)
     entry = quality.table_entry(tq, B.lookup(fixed.LUMA, k), B.lookup(fixed.CHROMA, k), F.array(s, 100 - s, F.lit(50).cast("bigint"), s % 7 * 10), custom, True)
     return rows.select("id", "tq", "k", entry.alias("q"))
@@ -138,7 +138,7 @@ def buffer_sizes(spark, sf_dir):
 
 @query(f"WITH {IMG} SELECT id, n, CAST(ceil(w * n / 8.0) AS BIGINT) AS scaled_w, CAST(ceil(h * n / 8.0) AS BIGINT) AS scaled_h FROM img, range(1, 17) b(n)")
 def scaled_dimensions(spark, sf_dir):
-    t = derived.images(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(16).cast("bigint"))).alias("n"))
+    t = derived.spread(derived.images(spark, sf_dir), "id").select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(16).cast("bigint"))).alias("n"))
     return t.select("id", "n", *[geometry.scaled(F.col(c), F.col("n"), F.lit(8)).alias(f"scaled_{c}") for c in ("w", "h")])
 
 

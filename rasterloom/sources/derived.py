@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` dealt to all cores: a table of few narrow rows is a split or two,
+    which alone would make what grows out of them many times over."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), by)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, x, y, r, g, b: a 20 pixel wide image."""
     p = F.col("p_partkey").cast("bigint")

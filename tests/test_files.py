@@ -47,6 +47,14 @@ def test_segments_and_headers(spark):
     assert S.headers(S.scan(spark.createDataFrame([], "path long, content binary"))).count() == 0
 
 
+def test_small_tables_that_grow_are_spread(spark):
+    """A table of one split is dealt out before each row becomes many."""
+    from rasterloom import queries
+
+    for name in ("per_table_quality", "scale_quant_tables", "scaled_dimensions"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count() == 4, name
+
+
 def tiff(order, tag=0x0112, kind=3, value=6, magic=42, n=1):
     e = "<" if order == b"II" else ">"
     return order + struct.pack(e + "HI", magic, 8) + struct.pack(e + "H", n) + struct.pack(e + "HHIHH", tag, kind, 1, value, 0)
