@@ -23,7 +23,7 @@ def files(spark, sf_dir):
 
 
 def parsed(spark, sf_dir):
-    return S.scan(files(spark, sf_dir), "id")
+    return S.scan_files(files(spark, sf_dir), "id")
 
 
 @query(f"""WITH {FILE} SELECT id, CASE WHEN whole THEN size * 3 END AS width, CASE WHEN whole THEN id % 900 END AS height, CASE WHEN whole THEN progressive END AS progressive,
@@ -62,7 +62,7 @@ UNION ALL SELECT id, 1, c, blocks, 'missing DC table' FROM f, c WHERE whole AND
 def scan_plan(spark, sf_dir):
     """Components of every scan with the tables they lack: the files define one DC table only."""
     nth = F.dense_rank().over(Window.partitionBy("key").orderBy("ordinal"))
-    return S.scan_plan(parsed(spark, sf_dir)).select(F.col("key").alias("id"), nth.cast("bigint").alias("scan"), F.col("id").alias("component"), "blocks", "error")
+    return S.scan_plan(S.scan(files(spark, sf_dir), "id")).select(F.col("key").alias("id"), nth.cast("bigint").alias("scan"), F.col("id").alias("component"), "blocks", "error")
 
 
 @query(f"WITH {FILE} SELECT id, size * 3 AS width, id % 900 AS height, 8 AS precision, 3 AS components FROM f WHERE whole")
@@ -93,7 +93,7 @@ def strip_adobe(spark, sf_dir):
     """Bytes that go with the Adobe segment; files that end inside it keep what there is."""
     f = files(spark, sf_dir)
     is_adobe = (F.col("marker") == 0xEE) & S.starts(F.col("payload"), "41646F6265")
-    out = metadata.strip_segments(parsed(spark, sf_dir), f.withColumn("n", F.octet_length("content")), is_adobe, "id")
+    out = metadata.strip_segments(S.scan(files(spark, sf_dir), "id"), f.withColumn("n", F.octet_length("content")), is_adobe, "id")
     return out.select("id", (F.col("n") - F.octet_length("content")).alias("gone"), F.hex("content").contains("FFEE").alias("left_over"))
 
 

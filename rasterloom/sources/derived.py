@@ -72,4 +72,5 @@ def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 2 == 1, F.lit("FFDA000801010001050" + "2" + "ABFF00")).otherwise(z), F.lit("FFD9"),
     )
     cut = F.when(i % 11 == 10, F.substring(text, 1, 44)).otherwise(text)
-    return table(spark, sf_dir, "part").select(i.alias("id"), F.unhex(cut).alias("content"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    return rows.select(i.alias("id"), F.unhex(cut).alias("content"))

@@ -1,9 +1,11 @@
 """Files to tables of their segments, and header fields as columns of payloads.
 
-``scan`` reads the headers of each file once, in an Arrow pass; everything else
-works on its rows (key, ordinal, marker, offset, payload). Tables with many
-entries (quantization, Huffman) are long tables, where the last definition of
-a file counts.
+``scan_files`` reads the headers of each file once, in an Arrow pass, to a row
+per file with the array of its segments; ``scan`` has a row per segment (key,
+ordinal, marker, offset, payload). What is asked of files takes either. Rows per
+file pass without a shuffle or a sort, so a task holds a batch of files; rows
+per segment are gathered by key first. Tables with many entries (quantization,
+Huffman) are long tables, where the last definition of a file counts.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -64,35 +66,55 @@ def file_segments(content: bytes):
         yield None, at, None, "missing scan"
 
 
-def scan(images: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """key, ordinal, marker, offset, payload, error: a row per segment of every
-    file, and a last one (marker null) for what the file lacks. A null file has
-    no row."""
+SEGMENTS = "array<struct<ordinal:int,marker:int,offset:bigint,payload:binary,error:string>>"
+_ITEM = pa.struct([("ordinal", pa.int32()), ("marker", pa.int32()), ("offset", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+
+
+def scan_files(images: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """key, segments: the segments of every file in order, the last one (marker
+    null) says what the file lacks. A null file has no row."""
     ready(images.sparkSession)
     kind = images.schema[key].dataType.simpleString()
 
-    names, types = ["key", "ordinal", "marker", "offset", "payload", "error"], (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string())
-
     def run(batches):
         for b in batches:
-            rows, size = [], 0
+            at, ends, items, size = [], [0], [], 0
 
             def gathered():
-                at, *cols = zip(*rows, strict=True)  # noqa: B023
-                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=names)  # noqa: B023
+                fields = [pa.array(c, f.type) for c, f in zip(zip(*items, strict=True), _ITEM, strict=True)]  # noqa: B023
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_ITEM)))  # noqa: B023
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), lists], names=["key", "segments"])  # noqa: B023
 
-            for i, data in enumerate(b.column(1).to_pylist()):
+            for i in range(b.num_rows):
+                data = b.column(1)[i].as_py()
                 if data is not None:
-                    rows += [(i, n, *s) for n, s in enumerate(file_segments(data))]
+                    items += [(n, *s) for n, s in enumerate(file_segments(data))]
+                    at.append(i)
+                    ends.append(len(items))
                     size += len(data)
                     if size > 4 << 20:  # small files share a batch
                         yield gathered()
-                        rows, size = [], 0
-            if rows:
+                        at, ends, items, size = [], [0], [], 0
+            if at:
                 yield gathered()
 
     narrow = images.select(F.col(key).alias("key"), F.col(content).alias("content"))
-    return narrow.mapInArrow(run, f"key {kind}, ordinal int, marker int, offset long, payload binary, error string")
+    return narrow.mapInArrow(run, f"key {kind}, segments {SEGMENTS}")
+
+
+def scan(images: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """key, ordinal, marker, offset, payload, error: a row per segment of every
+    file, and a last one (marker null) for what the file lacks. A null file has
+    no row."""
+    return scan_files(images, key, content).select("key", F.inline("segments"))
+
+
+def per_file(segments: DataFrame) -> DataFrame:
+    """Rows of ``scan_files`` as they are, those of ``scan`` gathered by key."""
+    if "segments" in segments.columns:
+        return segments
+    one = F.struct("ordinal", "marker", "offset", "payload", "error")
+    return segments.groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("segments"))
 
 
 def number(payload: Column, at, size: int = 1, little=None) -> Column:
@@ -176,41 +198,59 @@ def icc_chunks(segments: DataFrame) -> DataFrame:
 
 def headers(segments: DataFrame) -> DataFrame:
     """A row per file: key, frame, adobe, density, comment (the last), exif (the
-    first), orientation, restart, scans, error. One aggregation; of repeated
-    frames, densities and restart intervals the last counts."""
-    m, p, at = F.col("marker"), F.col("payload"), F.col("ordinal")
-
-    def last(value: Column, which: Column) -> Column:
-        return F.max_by(value, F.when(which & value.isNotNull(), at))
-
-    first_exif = F.min_by(exif(p), F.when((m == 0xE1) & exif(p).isNotNull(), at))
-    rows = segments.groupBy("key").agg(
-        last(frame_header(m, p), m.isin(*FRAMES)).alias("frame"), last(adobe_transform(p), m == 0xEE).alias("adobe"), last(density(p), m == 0xE0).alias("density"),
-        last(F.decode(p, "UTF-8"), m == 0xFE).alias("comment"), first_exif.alias("exif"), last(number(p, 0, 2), m == 0xDD).alias("restart"),
-        F.count_if(m == 0xDA).alias("scans"), F.max("error").alias("error"))
+    first), orientation, restart, scans, error. Of repeated frames, densities and
+    restart intervals the last counts."""
+
+    def pick(which, value, at: int) -> Column:
+        found = F.transform(F.filter("segments", which), value)
+        return F.try_element_at(F.filter(found, lambda v: v.isNotNull()), F.lit(at))
+
+    def last(value, *markers: int) -> Column:
+        return pick(lambda s: s.marker.isin(*markers), value, -1)
+
+    rows = per_file(segments).select(
+        "key", last(lambda s: frame_header(s.marker, s.payload), *FRAMES).alias("frame"), last(lambda s: adobe_transform(s.payload), 0xEE).alias("adobe"),
+        last(lambda s: density(s.payload), 0xE0).alias("density"), last(lambda s: F.decode(s.payload, "UTF-8"), 0xFE).alias("comment"),
+        pick(lambda s: s.marker == 0xE1, lambda s: exif(s.payload), 1).alias("exif"), last(lambda s: number(s.payload, 0, 2), 0xDD).alias("restart"),
+        F.size(F.filter("segments", lambda s: s.marker == 0xDA)).cast("bigint").alias("scans"), F.array_max(F.col("segments.error")).alias("error"))
     bad = F.when(F.col("frame").isNull() & F.col("error").isNull(), "bad frame header").otherwise(F.col("error"))
     return rows.select("key", "frame", "adobe", "density", "comment", "exif", orientation(F.col("exif")).alias("orientation"), "restart", "scans", bad.alias("error"))
 
 
-def _table_rows(segments: DataFrame, marker: int, parse, columns: list[str], identity: list[str]) -> DataFrame:
-    """Rows that ``parse`` finds in the segments with this marker; of a table defined again the last stays."""
+def _table_rows(segments: DataFrame, marker: int, parse, columns: list[str], identity: int) -> DataFrame:
+    """Rows that ``parse`` finds in the segments with this marker; of a table
+    (the first ``identity`` columns) defined again in a file the last stays."""
     kind = segments.schema["key"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             at, rows = [], []
-            for i, payload in enumerate(b.column(2).to_pylist()):
-                for nth, row in parse(payload):
-                    at.append(i)
-                    rows.append((nth, *row))
-            cols = list(zip(*rows, strict=True)) or [()] * (len(columns) + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), *[pa.array(c, pa.int32()) for c in cols]], names=["key", "ordinal", "nth", *columns])
+
+            def gathered():
+                cols = list(zip(*rows, strict=True)) or [()] * len(columns)  # noqa: B023
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, pa.int32()) for c in cols]], names=["key", *columns])  # noqa: B023
+
+            for i in range(b.num_rows):
+                newest: dict = {}
+                for n, payload in enumerate(b.column(1)[i].as_py()):
+                    for nth, row in parse(payload):
+                        made, found = newest.get(row[:identity], (None, None))
+                        if made != (n, nth):
+                            found = []
+                            newest[row[:identity]] = (n, nth), found
+                        found.append(row)
+                for _, found in newest.values():
+                    at += [i] * len(found)
+                    rows += found
+                if len(rows) > 1 << 16:
+                    yield gathered()
+                    at, rows = [], []
+            yield gathered()
 
     ready(segments.sparkSession)
-    own = segments.filter((F.col("marker") == marker) & F.col("payload").isNotNull()).select("key", "ordinal", "payload")
-    rows = own.mapInArrow(run, f"key {kind}, ordinal int, nth int, " + ", ".join(f"{c} int" for c in columns))
-    newest = F.max(F.struct("ordinal", "nth")).over(Window.partitionBy("key", *identity))
-    return rows.withColumn("newest", newest).filter("newest.ordinal = ordinal AND newest.nth = nth").select("key", *columns)
+    own = F.filter("segments", lambda s: (s.marker == marker) & s.payload.isNotNull())
+    payloads = per_file(segments).select("key", F.transform(own, lambda s: s.payload).alias("payloads"))
+    return payloads.mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} int" for c in columns))
 
 
 def quant_tables(segments: DataFrame) -> DataFrame:
@@ -228,7 +268,7 @@ def quant_tables(segments: DataFrame) -> DataFrame:
                 yield nth, (tq, order[z], int.from_bytes(body[z * width : (z + 1) * width], "big"))
             at, nth = at + 1 + 64 * width, nth + 1
 
-    return _table_rows(segments, 0xDB, parse, ["tq", "k", "q"], ["tq"])
+    return _table_rows(segments, 0xDB, parse, ["tq", "k", "q"], 1)
 
 
 def huffman_tables(segments: DataFrame) -> DataFrame:
@@ -250,7 +290,7 @@ def huffman_tables(segments: DataFrame) -> DataFrame:
                 code <<= 1
             at, nth = at + 17 + sum(bits), nth + 1
 
-    return _table_rows(segments, 0xC4, parse, ["cls", "id", "position", "length", "code", "symbol"], ["cls", "id"])
+    return _table_rows(segments, 0xC4, parse, ["cls", "id", "position", "length", "code", "symbol"], 2)
 
 
 def arithmetic_tables(segments: DataFrame) -> DataFrame:
@@ -262,7 +302,7 @@ def arithmetic_tables(segments: DataFrame) -> DataFrame:
             if id_ < 4:
                 yield nth, (cls, id_, v & 15 if cls == 0 else None, v >> 4 if cls == 0 else None, None if cls == 0 else v)
 
-    return _table_rows(segments, 0xCC, parse, ["cls", "id", "low", "high", "kx"], ["cls", "id"])
+    return _table_rows(segments, 0xCC, parse, ["cls", "id", "low", "high", "kx"], 2)
 
 
 def scan_plan(segments: DataFrame) -> DataFrame:

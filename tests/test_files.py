@@ -47,11 +47,29 @@ def test_segments_and_headers(spark):
     assert S.headers(S.scan(spark.createDataFrame([], "path long, content binary"))).count() == 0
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_headers_and_tables_without_shuffles(spark):
+    """Rows per file give what rows per segment do, and no task gathers files."""
+    one = b"\xff\xdb\x00\x43\x00" + bytes(range(1, 65))
+    both = b"\xff\xdb\x00\x84\x00" + bytes([7] * 64) + b"\x01" + bytes([9] * 64) + one.replace(b"\x00\x01\x02", b"\x00\x05\x05")
+    com = b"\xff\xfe\x00\x05one\xff\xfe\x00\x05two"
+    files = table(spark, b"\xff\xd8" + one + com + SOF + SOS, b"\xff\xd8" + both + SOF.replace(b"\x08\x00\x02", b"\x08\x00\x07") + SOF + SOF.replace(b"\x00\x03\x01", b"\x00\x00\x01") + b"\xff\xdd\x00\x04\x00\x09" + SOS, None, b"", b"\xff\xd8" + one[:20])
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for made in (S.headers, S.quant_tables, S.huffman_tables, S.arithmetic_tables, lambda s: B.critical_parameters(S.headers(s))):
+        assert rows(made(S.scan_files(files))) == rows(made(S.scan(files))) and shuffles(made(S.scan_files(files))) == 0
+    got = {r.key: r for r in S.headers(S.scan_files(files)).collect()}
+    assert (got[0].comment, got[1].frame.height, got[1].restart, got[3].error, got[4].error) == ("two", 2, 9, "no start marker", "segment cut off")
+    assert {(r.tq, r.q) for r in S.quant_tables(S.scan_files(files)).filter("key = 1 AND k = 0").collect()} == {(0, 5), (1, 9)}
+
+
 def test_small_tables_that_grow_are_spread(spark):
-    """A table of one split is dealt out before each row becomes many."""
+    """A table of one split is dealt out before each row becomes many, or a file."""
     from rasterloom import queries
 
-    for name in ("per_table_quality", "scale_quant_tables", "scaled_dimensions"):
+    for name in ("per_table_quality", "scale_quant_tables", "scaled_dimensions", "file_headers", "file_quant_tables"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count() == 4, name
 
 
