@@ -3,7 +3,6 @@ palettes, and the SQL that checks them; ``queries`` holds the others."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import color, fixed, pixels, quality
@@ -61,8 +60,7 @@ SELECT id, n AS scan, c AS component, blocks, 'missing AC table' AS error FROM f
 UNION ALL SELECT id, 1, c, blocks, 'missing DC table' FROM f, c WHERE whole AND c > 1""")
 def scan_plan(spark, sf_dir):
     """Components of every scan with the tables they lack: the files define one DC table only."""
-    nth = F.dense_rank().over(Window.partitionBy("key").orderBy("ordinal"))
-    return S.scan_plan(S.scan(files(spark, sf_dir), "id")).select(F.col("key").alias("id"), nth.cast("bigint").alias("scan"), F.col("id").alias("component"), "blocks", "error")
+    return S.scan_plan(parsed(spark, sf_dir)).select(F.col("key").alias("id"), F.col("scan").cast("bigint").alias("scan"), F.col("id").alias("component"), "blocks", "error")
 
 
 @query(f"WITH {FILE} SELECT id, size * 3 AS width, id % 900 AS height, 8 AS precision, 3 AS components FROM f WHERE whole")

@@ -305,14 +305,34 @@ def arithmetic_tables(segments: DataFrame) -> DataFrame:
     return _table_rows(segments, 0xCC, parse, ["cls", "id", "low", "high", "kx"], 2)
 
 
+def defined_huffman(payload: Column) -> Column:
+    """The first bytes (class and id) of the tables with codes in a Huffman segment, as ``huffman_tables`` reads them.
+
+    A step per table at most; the state is the next table's place, null behind the last whole one."""
+    none = F.lit(None).cast("int")
+
+    def step(state: Column, _: Column) -> Column:
+        at, kind = state.at, number(payload, state.at)
+        codes = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0), lambda n, i: n + number(payload, at + i))
+        whole = at.isNotNull() & (F.octet_length(payload) >= at + 17 + codes) & (kind.bitwiseAND(15) < 4)
+        return F.struct(F.when(whole, at + 17 + codes).otherwise(none).alias("at"), F.when(whole & (codes > 0), F.array_append(state.found, kind)).otherwise(state.found).alias("found"))
+
+    steps = F.sequence(F.lit(0), F.floor(F.octet_length(payload) / 17).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")), step)["found"]
+
+
 def scan_plan(segments: DataFrame) -> DataFrame:
-    """key, ordinal, id, blocks, dc, ac, error: the components of every scan with
-    their blocks in a unit; error names what a scan refers to and the file lacks."""
-    m, p = F.col("marker"), F.col("payload")
-    asked = segments.filter(m == 0xDA).select("key", "ordinal", F.explode(scan_header(p)["components"]).alias("c")).select("key", "ordinal", "c.*")
-    frames = headers(segments).select("key", F.explode("frame.components").alias("f")).select("key", F.col("f.id").alias("id"), (F.col("f.h") * F.col("f.v")).alias("blocks"))
-    tables = huffman_tables(segments).select("key", "cls", F.col("id").alias("t")).distinct()
-    has = lambda cls, name: tables.filter(F.col("cls") == cls).select("key", F.col("t").alias(name), F.lit(True).alias(f"has_{name}"))
-    out = asked.join(frames, ["key", "id"], "left").join(has(0, "dc"), ["key", "dc"], "left").join(has(1, "ac"), ["key", "ac"], "left")
-    error = F.when(F.col("blocks").isNull(), "unknown component").when(F.col("has_dc").isNull(), "missing DC table").when(F.col("has_ac").isNull(), "missing AC table")
-    return out.select("key", "ordinal", "id", "blocks", "dc", "ac", error.alias("error"))
+    """key, ordinal, scan, id, blocks, dc, ac, error: the components of every scan
+    (numbered from 1 among those with components) with their blocks in a unit;
+    error names what a scan refers to and the file lacks."""
+    of = lambda marker: F.filter("segments", lambda s: s.marker == marker)
+    scans = F.filter(F.transform(of(0xDA), lambda s: F.struct(s.ordinal.alias("ordinal"), scan_header(s.payload)["components"].alias("asked"))), lambda s: s.asked.isNotNull())
+    frames = F.transform(F.filter("segments", lambda s: s.marker.isin(*FRAMES)), lambda s: frame_header(s.marker, s.payload)["components"])
+    tables = F.flatten(F.transform(F.filter(of(0xC4), lambda s: s.payload.isNotNull()), lambda s: defined_huffman(s.payload)))
+    files = per_file(segments).select("key", F.try_element_at(F.filter(frames, lambda f: f.isNotNull()), F.lit(-1)).alias("parts"), tables.alias("tables"), scans.alias("scans"))
+    asked = files.select("key", "parts", "tables", F.posexplode("scans").alias("n", "s")).select("key", "parts", "tables", "n", "s.ordinal", F.explode("s.asked").alias("c"))
+    # a component that the frame lists twice is planned twice
+    out = asked.select("key", "tables", "n", "ordinal", "c", F.explode_outer(F.filter("parts", lambda f: f.id == F.col("c.id"))).alias("f"))
+    has = lambda kind: F.coalesce(F.array_contains("tables", kind), F.lit(False))
+    error = F.when(F.col("f").isNull(), "unknown component").when(~has(F.col("c.dc")), "missing DC table").when(~has(F.col("c.ac") + 16), "missing AC table")
+    return out.select("key", "ordinal", (F.col("n") + 1).alias("scan"), "c.id", (F.col("f.h") * F.col("f.v")).alias("blocks"), "c.dc", "c.ac", error.alias("error"))

@@ -51,6 +51,22 @@ def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
 
+def test_scan_plan_reads_files_once(spark):
+    segment = lambda marker, p: b"\xff" + bytes([marker]) + struct.pack(">H", len(p) + 2) + p
+    sof = segment(0xC2, bytes([8, 0, 2, 0, 3, 4, 1, 0x22, 0, 2, 0x11, 0, 2, 0x12, 0, 3, 0x11, 0]))
+    codes = lambda kind, n: bytes([kind, n]) + bytes(15) + bytes(range(n))
+    dht = segment(0xC4, codes(0x00, 1) + codes(0x12, 0) + codes(0x11, 2) + codes(0x03, 1)[:-1]) + segment(0xC4, codes(0x05, 1) + codes(0x01, 1))
+    sos = lambda *parts: segment(0xDA, bytes([len(parts), *[b for p in parts for b in p], 0, 63, 0])) + b"ab"
+    files = table(spark, b"\xff\xd8" + sof + dht + sos((1, 0x01), (2, 0x00)) + sos() + sos((9, 0x01), (3, 0x31), (3, 0x02), (3, 0x11)) + b"\xff\xd9", b"\xff\xd8" + sos((1, 0x00)), None)
+    dc, ac = "missing DC table", "missing AC table"
+    want = [(0, 3, 1, 1, 4, None), (0, 3, 1, 2, 1, ac), (0, 3, 1, 2, 2, ac), (0, 5, 2, 3, 1, dc), (0, 5, 2, 3, 1, ac), (0, 5, 2, 3, 1, dc), (0, 5, 2, 9, None, "unknown component"), (1, 0, 1, 1, None, "unknown component")]
+    for segments in (S.scan_files(files), S.scan(files)):
+        got = S.scan_plan(segments).select("key", "ordinal", "scan", "id", "blocks", "error").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    plan = S.scan_plan(S.scan_files(files))
+    assert shuffles(plan) == 0 and plan._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_headers_and_tables_without_shuffles(spark):
     """Rows per file give what rows per segment do, and no task gathers files."""
     one = b"\xff\xdb\x00\x43\x00" + bytes(range(1, 65))
