@@ -4,19 +4,20 @@ Every distinct vector is projected at random to ``DIMS`` dimensions, shifted
 and ordered along a Hilbert curve, ``CURVES`` times; a sample of ``FIT`` vectors
 sets centre and scales. Spark range-partitions
 each ordering; partition totals and prefix sums turn sort positions into
-ranks, and ``CELL`` consecutive ranks form a cell. A query visits its own cell
-and, on every curve, a window of cells around it. Within a cell distances are
-exact doubles on the original vectors, taken for those that a matrix product
-finds near enough; the windows of all curves are merged and reranked.
-
-Groups are cells of ``CELL`` vectors at most plus the queries that visit them,
-so no task grows with the table. Equal vectors are indexed once: a hot vector
-is one entry, and of its rows only the k + 1 smallest ids can be answers.
-
-The window is a share of the rows (``WINDOW`` to either side), as the recall
-of a curve depends on it; isotropic data such as the test tables needs a wide
-one. All windows of a query together are 0.9 of the rows on large tables, under
-one scan. Recall against brute force is tested to be at least 0.9.
+ranks, and runs of consecutive ranks form cells. On every curve a query visits
+its own cell and the one to either side. Within a cell distances are exact
+doubles on the original vectors, taken for those that a matrix product finds
+near enough; the cells of all curves are merged and reranked.
+
+A cell is a share of the rows (``WINDOW``, ``CELL`` vectors at least), as the
+recall of a curve depends on it; isotropic data such as the test tables needs a
+wide one. So a query has three visits a curve and k + 1 rows of each, whatever
+the table's size: what is shuffled grows with the rows. Distances, which stay
+inside the tasks, grow with their square. The queries of a cell come first in
+its sorted rows and its vectors pass by ``POOL`` at a time, so a task holds the
+queries and their best. Recall against brute force is tested to be at least 0.9.
+Equal vectors are indexed once: a hot vector is one entry, and of its rows only
+the k + 1 smallest ids can be answers.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows with a null id. Vectors of several lengths
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from . import base
 
 CURVES, DIMS, BITS, CELL, WINDOW = 20, 8, 7, 256, 0.0175
+#: Vectors that are compared at once, and queries they are compared with.
+POOL, ASKS = 4096, 512
 #: Vectors that set the centre and scales of the projections.
 FIT = 10_000
 
@@ -97,6 +100,61 @@ def search(table: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "e
     return out
 
 
+class _Best:
+    """The ``k`` + 1 nearest vectors of a cell for the queries that visit it."""
+
+    def __init__(self, k: int, most: int):
+        self.k, self.most, self.asks, self.pool, self.held, self.best = k, most, [], [], 0, None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """Rows curve, cell, asks, c, lead, vec: all queries before the first vector."""
+        asks = rows.column(2)
+        n = asks.true_count
+        if n:
+            self.asks.append(rows.slice(0, n))
+        if self.asks and n < len(asks):
+            self.pool.append(rows.slice(n))
+            self.held += len(asks) - n
+            if self.held >= self.most:
+                self.compare()
+
+    def compare(self) -> None:
+        if not self.pool:
+            return
+        if self.best is None:
+            own = pa.Table.from_batches(self.asks)
+            self.q, self.vec = own["c"].to_numpy(), _matrix(own["vec"].combine_chunks())
+            self.norm, self.kind = (self.vec * self.vec).sum(axis=1), own.schema.field("lead").type
+            self.best = [(np.zeros(0), own["lead"].slice(0, 0).to_numpy(), np.zeros(0, np.int64))] * len(self.q)
+            self.edge = np.full(len(self.q), np.inf)  # the square beyond which nothing is taken any more
+        pool = pa.Table.from_batches(self.pool)
+        self.pool, self.held = [], 0
+        vec, c, lead = _matrix(pool["vec"].combine_chunks()), pool["c"].to_numpy(), pool["lead"].to_numpy()
+        norm, k = (vec * vec).sum(axis=1), min(self.k, len(vec) - 1)
+        for ask in np.array_split(np.arange(len(self.q)), -(-len(self.q) // ASKS)):
+            # squares by one product pick those that can be nearest; their distances are then taken on the vectors
+            square = self.norm[ask][:, None] + norm - 2 * (self.vec[ask] @ vec.T)
+            edge = np.minimum(self.edge[ask], np.partition(square, k, axis=1)[:, k] if k == self.k else np.inf)
+            near = square <= (edge + 1e-9 * (self.norm[ask] + norm.max()))[:, None]
+            for q, row in zip(ask, near, strict=True):
+                some = np.flatnonzero(row)
+                if len(some):
+                    d, of, who = self.best[q]
+                    d = np.concatenate((d, np.sqrt(((vec[some] - self.vec[q]) ** 2).sum(axis=1))))
+                    of, who = np.concatenate((of, lead[some])), np.concatenate((who, c[some]))
+                    top = np.lexsort((who, of, d))[: self.k + 1]
+                    self.best[q] = d[top], of[top], who[top]
+                    if len(top) > self.k:
+                        self.edge[q] = d[top[-1]] ** 2
+
+    def rows(self):
+        self.compare()
+        if self.best:
+            d, of, who = (np.concatenate(x) for x in zip(*self.best, strict=True))
+            q = np.repeat(self.q, [len(b[0]) for b in self.best])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(who), pa.array(of, self.kind), pa.array(d)], names=["q", "c", "lead", "score"])
+
+
 def _search(rows: DataFrame, scratch: base.Scratch, is_query, k: int, curves: int, dims: int, bits: int, cell: int, window: float) -> DataFrame:
     """``search`` over valid vectors of one length."""
     spark = rows.sparkSession
@@ -143,42 +201,39 @@ def _search(rows: DataFrame, scratch: base.Scratch, is_query, k: int, curves: in
                 seen[i] = seen.get(i, 0) + int(mine.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.full(len(which), pid, np.int32)), pa.array(at)], names=["curve", "c", "pid", "at"])
 
+    size = max(cell, int(np.ceil(window * total)))
+    last, most = -(-total // size) - 1, POOL
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = scratch.table(keyed.repartitionByRange(parts, "curve", "key", "c").sortWithinPartitions("curve", "key", "c").mapInArrow(local, "curve int, c long, pid int, at long"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = base.small(scratch.table(placed.groupBy("curve", "pid").agg(F.count(F.lit(1)).alias("n")).select("curve", "pid", before.alias("base"))))
-    cells = placed.join(offsets, ["curve", "pid"]).select("curve", "c", F.floor((F.col("base") + F.col("at")) / cell).alias("cell"))
+    cells = placed.join(offsets, ["curve", "pid"]).select("curve", "c", F.floor((F.col("base") + F.col("at")) / size).alias("cell"))
 
-    n_cells = -(-total // cell)
-    side = max(1, int(np.ceil(window * n_cells)))
     asked = cells.join(base.small(scratch.table(queries.select("c").distinct())), "c", "left_semi")
-    near = F.sequence(F.greatest(F.lit(0), F.col("cell") - side), F.least(F.lit(n_cells - 1), F.col("cell") + side))
+    near = F.sequence(F.greatest(F.lit(0), F.col("cell") - 1), F.least(F.lit(last), F.col("cell") + 1))
     visits = asked.select("curve", "c", F.explode(near).alias("cell"))
     both = cells.withColumn("asks", F.lit(False)).unionByName(visits.withColumn("asks", F.lit(True))).join(vectors.select("c", "lead", "vec"), "c")
 
     id_type = rows.schema["vec_id"].dataType.simpleString()
 
-    def nearest(group: pa.Table) -> pa.Table:
-        asks = group["asks"].to_numpy()
-        vec, c, lead = _matrix(group["vec"].combine_chunks()), group["c"].to_numpy(), group["lead"].to_numpy()
-        pool, norm = np.flatnonzero(~asks), (vec * vec).sum(axis=1)
-        qs, found, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for ask in np.array_split(np.flatnonzero(asks), max(1, asks.sum() // 512)) if len(pool) and asks.any() else []:
-            # squares by one product pick those that can be nearest; their distances are then taken on the vectors
-            square = norm[ask][:, None] + norm[pool] - 2 * (vec[ask] @ vec[pool].T)
-            edge = np.partition(square, min(k, len(pool) - 1), axis=1)[:, min(k, len(pool) - 1)]
-            near = square <= (edge + 1e-9 * (norm[ask] + norm[pool].max()))[:, None]
-            for q, row in zip(ask, near, strict=True):
-                some = pool[row]
-                d = np.sqrt(((vec[some] - vec[q]) ** 2).sum(axis=1))
-                best = np.lexsort((lead[some], d))[: k + 1]
-                qs.append(np.full(len(best), c[q]))
-                found.append(some[best])
-                dist.append(d[best])
-        at = np.concatenate(found)
-        return pa.table({"q": np.concatenate(qs), "c": c[at], "lead": group["lead"].combine_chunks().take(pa.array(at)), "score": np.concatenate(dist)})
-
-    hits = both.groupBy("curve", "cell").applyInArrow(nearest, f"q long, c long, lead {id_type}, score double")
+    def nearest(batches):
+        base.cached()
+        at, found = None, None
+        for b in batches:
+            place = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            for first, end in zip([0, *cuts], [*cuts, len(place)], strict=True):
+                if tuple(place[first]) != at:
+                    if found:
+                        yield from found.rows()
+                    at, found = tuple(place[first]), _Best(k, most)
+                found.add(b.slice(first, end - first))
+        if found:
+            yield from found.rows()
+
+    # the queries of a cell come before its vectors
+    dealt = both.select("curve", "cell", "asks", "c", "lead", "vec").repartition(parts, "curve", "cell").sortWithinPartitions("curve", "cell", F.desc("asks"), "c")
+    hits = dealt.mapInArrow(nearest, f"q long, c long, lead {id_type}, score double")
     hits = scratch.table(hits.dropDuplicates(["q", "c"]))
     best = hits.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "lead"))).filter(F.col("n") <= k + 1)
     pairs = queries.select(F.col("c").alias("q"), F.col("vec_id").alias("query_id")).join(best.select("q", "c", "score"), "q").join(answers, "c").filter("vec_id <> query_id")

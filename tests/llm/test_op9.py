@@ -100,3 +100,25 @@ def test_lengths_are_searched_apart(spark):
         want = sorted((math.dist(map(float, by[q]), map(float, v)), i) for i, v in by.items() if i != q and len(v) == len(by[q]))[:10]
         assert [got[q][k] for k in range(1, 11)] == [i for _, i in want]
     assert 1000 not in got
+
+
+def test_rows_of_cells_grow_with_the_table(spark, monkeypatch):
+    """Each query has three cells a curve with k + 1 rows each, whatever the table's size; vectors pass in parts."""
+    kind = type(spark.range(1))
+    made, kept = [], kind.dropDuplicates
+
+    def counted(self, subset=None):
+        if subset == ["q", "c"]:
+            made.append(self.count())
+        return kept(self, subset)
+
+    monkeypatch.setattr(kind, "dropDuplicates", counted)
+    got = []
+    for n, pool in ((4000, 4096), (16000, 4096), (4000, 50)):
+        v = np.random.default_rng(9).normal(size=(n, 8)).astype(np.float32)
+        table = spark.createDataFrame([(i, x.tolist(), 0, 0, "") for i, x in enumerate(v)], SCHEMA)
+        monkeypatch.setattr(neighbours, "POOL", pool)
+        found = neighbours.search(table, lambda i: i % 100 == 0, cell=32, curves=3).collect()
+        got.append({(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found})
+    assert made[1] <= 4.4 * made[0] and made[2] == made[0] and got[2] == got[0]
+    assert all(math.isclose(s, math.dist(map(float, v[q]), map(float, v[i])), rel_tol=1e-12) for (q, _), (i, s) in got[2].items())
